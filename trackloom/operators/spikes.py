@@ -57,7 +57,7 @@ def _side_median(x: np.ndarray, t: np.ndarray, first: np.ndarray, size: np.ndarr
     return out[0], out[1]
 
 
-def _group_median(code: np.ndarray, x: np.ndarray) -> np.ndarray:
+def group_median(code: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Median of the non-NaN ``x`` of each row's group."""
     order = np.lexsort((x, code))  # NaN sorts last
     first, size = _ranks(code)
@@ -96,7 +96,7 @@ def judge(code: np.ndarray, t: np.ndarray, v: np.ndarray, m: Measure, r: Rules)
     with np.errstate(invalid="ignore", divide="ignore"):
         off = x - (before + (after - before) * (tt - tb) / (ta - tb))
         left, right = x - before, x - after
-        scale = np.maximum(1.4826 * _group_median(c, np.abs(off)), m.floor)
+        scale = np.maximum(1.4826 * group_median(c, np.abs(off)), m.floor)
         least = np.where(left * right > 0, np.minimum(np.minimum(np.abs(left), np.abs(right)), np.abs(off)), 0.0)
         kind[free[least > r.factor * scale]] = 3
     return kind
