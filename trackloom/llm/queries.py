@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.packed import split_numbers
+from ..plans.problems import readings
 from ..session import stage, table
-from . import groups, spans, tokens
+from . import groups, leakage, matching, spans, tokens
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 LABELLED = ("features", "consensus_retrospective_labels")
@@ -74,5 +75,32 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.col("id").alias("doc_id"), "n_chars", "n_shared", "n_partners")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_splits, p8_ids, p8_roundtrip, p10_found, p10_shares)}
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, item_id and the words of the longest stretch."""
+    found = leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", ["passage", "question"])
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "words")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).select("doc_id", "item_id")
+
+
+def _sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    inside = F.col("X").between(0, 1023) & F.col("Y").between(0, 1023)
+    a = matching.tracks(readings(spark, d, ["X", "Y", "Area"]).where(inside), "seq", "cell_id", "frame", "X", "Y", "Area")
+    b = matching.tracks(table(spark, d, "consensus_data").where(inside), "seq", "Cell ID", "Frame", "X", "Y", "Area")
+    return a, b
+
+
+def p3_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every consensus cell with its features cell, the frames they have in common and the confidence."""
+    m = matching.match(*_sources(spark, d))
+    return m.select(F.col("g").alias("seq"), F.col("a").cast("int").alias("cell_id"), F.col("b").cast("int").alias("consensus_cell_id"), "common", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_matches(spark, d).select("seq", "cell_id", "consensus_cell_id")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_matches, p6_found, p6_splits, p8_ids, p8_roundtrip, p9_found, p9_leaks, p10_found, p10_shares)}
 ORACLE: dict[str, str] = {}
