@@ -110,8 +110,8 @@ def _flags(ks: list[str], measures: list[Measure], rules: Rules) -> object:
         for table in whole_groups(batches, [*ks, "shard"]):
             code = group_codes(table, [*ks, "shard"])
             t, own = table["t"].to_numpy(), table["own"].to_numpy(zero_copy_only=False)
-            for m in measures:
-                v = table[m.name].to_numpy()
+            for i, m in enumerate(measures):
+                v = table[f"m{i}"].to_numpy()
                 at = np.flatnonzero(~np.isnan(v))
                 kind = judge(code[at], t[at], v[at], m, rules)
                 hit = (kind > 0) & own[at]
@@ -134,15 +134,14 @@ def implausible(readings: DataFrame, source: list[str], time: str, measures: lis
     source is spread over many tasks; a source's usual variation is that of its shard.
     """
     ks = [f"s{i}" for i in range(len(source))]
-    d = readings.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(source, ks, strict=True)), F.col(f"`{time}`").cast("int").alias("t"), *(F.col(f"`{m.name}`").cast("double").alias(m.name) for m in measures))
+    d = readings.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(source, ks, strict=True)), F.col(f"`{time}`").cast("int").alias("t"), *(F.col(f"`{m.name}`").cast("double").alias(f"m{i}") for i, m in enumerate(measures)))
     for c in [*ks, "t"]:
         d = d.where(F.col(c).isNotNull())
     at = F.sequence(F.floor((F.col("t") - rules.halo) / rules.shard), F.floor((F.col("t") + rules.halo) / rules.shard))
     here = F.floor(F.col("t") / rules.shard)
-    # the neighbour's halo holds no reading for a source that ends before it; only halves that some own reading can see matter
-    d = d.withColumn("shard", F.explode(at)).withColumn("own", here == F.col("shard")).where("shard >= 0 or own")
+    d = d.withColumn("shard", F.explode(at)).withColumn("own", here == F.col("shard"))
     d = d.repartition(*ks, "shard").sortWithinPartitions(*ks, "shard", "t")
     types = dict(d.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in [*ks, "t"]) + ", field string, kind string, value double"
-    out = d.select(*ks, "shard", "t", "own", *(m.name for m in measures)).mapInArrow(_flags(ks, measures, rules), schema)
+    out = d.select(*ks, "shard", "t", "own", *(f"m{i}" for i in range(len(measures)))).mapInArrow(_flags(ks, measures, rules), schema)
     return out.select(*(F.col(k).alias(c) for k, c in zip([*ks, "t"], [*source, time], strict=True)), "field", "kind", "value")
