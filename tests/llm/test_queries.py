@@ -1,0 +1,14 @@
+import pytest
+from compare import SF, same
+
+from trackloom.llm.queries import ORACLE, QUERIES
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_query(spark, name):
+    df = QUERIES[name](spark, SF)
+    if name in ORACLE:
+        same(df, ORACLE[name])
+    else:
+        rows = df.collect()
+        assert len(rows) == len({tuple(map(str, r)) for r in rows})

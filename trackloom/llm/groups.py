@@ -142,32 +142,32 @@ def assign_splits(groups: DataFrame, shares: dict[str, float], buckets: int = 25
 
     Within each stratum every split gets rows as close to its share as whole groups allow; the last split gets the rest. Which
     groups of one size go where follows a hash of the ids, so that the result does not depend on the input's order. Sizes of 0 are
-    no groups. Only the histogram of sizes reaches the driver: distinct sizes add up to at most the row count, so there are
+    no groups; a NULL stratum is one of its own. Only the histogram of sizes reaches the driver: distinct sizes add up to at most the row count, so there are
     fewer than sqrt(2 n) of them.
     """
     ids = [c for c in groups.columns if c not in ("stratum", "size")]
-    h = stage(groups.where("size > 0").withColumn("h", F.xxhash64(*ids)).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int")))
-    counts = h.groupBy("stratum", "size", "bucket").count()
-    before = Window.partitionBy("stratum", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("stratum", "size", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    hist: dict[object, dict[int, int]] = {}
-    for r in h.groupBy("stratum", "size").count().collect():
+    h = groups.where("size > 0").withColumn("k", F.coalesce(F.col("stratum").cast("string"), F.lit("\0")))
+    h = stage(h.withColumn("h", F.xxhash64(*ids)).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int")))
+    counts = h.groupBy("k", "size", "bucket").count()
+    before = Window.partitionBy("k", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("k", "size", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    hist: dict[str, dict[int, int]] = {}
+    for r in h.groupBy("k", "size").count().collect():
         hist.setdefault(r[0], {})[r[1]] = r[2]
     plan, names = [], list(shares)
     for stratum, left in hist.items():
         total = sum(s * m for s, m in left.items())
         start = dict.fromkeys(left, 0)
         for name in names:
-            taken = {s: m for s, m in left.items()} if name == names[-1] else closest_counts(list(left.items()), round(total * shares[name]))
-            for s, k in taken.items():
-                if k:
-                    plan.append((stratum, s, start[s], start[s] + k, name))
-                    start[s] += k
-                    left[s] -= k
+            taken = dict(left) if name == names[-1] else closest_counts(list(left.items()), round(total * shares[name]))
+            for s, n in taken.items():
+                if n:
+                    plan.append((stratum, s, start[s], start[s] + n, name))
+                    start[s] += n
+                    left[s] -= n
             left = {s: m for s, m in left.items() if m}
-    bounds = groups.sparkSession.createDataFrame(plan, f"stratum {dict(groups.dtypes)['stratum']}, size long, low long, high long, split string")
-    rank = F.row_number().over(Window.partitionBy("stratum", "size", "bucket").orderBy("h", *ids)) - 1
-    ranked = h.withColumn("in_bucket", rank).join(counts, ["stratum", "size", "bucket"]).withColumn("place", F.col("before") + F.col("in_bucket"))
-    b = bounds.select(F.col("stratum").alias("s"), F.col("size").alias("z"), "low", "high", "split")
-    on = F.col("stratum").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high"))
-    return ranked.join(b, on).select(*ids, "stratum", "size", "split")
+    bounds = groups.sparkSession.createDataFrame(plan, "k string, size long, low long, high long, split string")
+    rank = F.row_number().over(Window.partitionBy("k", "size", "bucket").orderBy("h", *ids)) - 1
+    ranked = h.withColumn("in_bucket", rank).join(counts, ["k", "size", "bucket"]).withColumn("place", F.col("before") + F.col("in_bucket"))
+    inside = (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high"))
+    return ranked.join(bounds, ["k", "size"]).where(inside).select(*ids, "stratum", "size", "split")

@@ -166,10 +166,12 @@ def _landmarks(points: np.ndarray, texts: np.ndarray, lv: Levels) -> tuple[np.nd
     if len(runs):
         order = np.lexsort((place, key, of))
         of, key, place = of[order], key[order], place[order]
-        # repeats of one run: the first and the last of neighbours with one key stay
+        # repeats of one run: the first two, the last two and one in every window of neighbours with one key stay
         same = np.zeros(len(key), bool)
         same[1:] = (key[1:] == key[:-1]) & (of[1:] == of[:-1]) & (place[1:] - place[:-1] <= lv.window())
         inner = same & np.append(same[1:], False)
+        inner = inner & np.append(False, inner[:-1]) & np.append(inner[1:], False)
+        inner[1:] &= place[1:] // lv.window() == place[:-1] // lv.window()
         of, key, place = of[~inner], key[~inner], place[~inner]
     return of, place - texts[:-1][of], key
 
