@@ -103,4 +103,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_matches, p6_found, p6_splits, p8_ids, p8_roundtrip, p9_found, p9_leaks, p10_found, p10_shares)}
-ORACLE: dict[str, str] = {}
+_NAMED = r"""regexp_extract_all(regexp_replace(regexp_replace(coalesce("Parent ID", '') || '|' || coalesce("Daughter IDs", ''), '"(\d{1,3}),(\d{3})"', '"\1\2"', 'g'), '(\d)\.0+', '\1', 'g'), '\d+')"""
+_LINKS = " UNION ".join(f"""SELECT '{t}' AS tab, seq, "Cell ID" AS a, cast(x AS INTEGER) AS b FROM (SELECT seq, "Cell ID", unnest({_NAMED}) AS x FROM {t} WHERE "Cell ID" IS NOT NULL) WHERE cast(x AS INTEGER) > 0""" for t in LABELLED)
+_ROWS = " UNION ".join(f"""SELECT '{t}' AS tab, seq, "Cell ID" AS cell_id FROM {t} WHERE "Cell ID" IS NOT NULL""" for t in LABELLED)
+_WINDOWS = "w AS (SELECT doc_id, i, hash(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300))"
+
+ORACLE = {
+    "p6_found": f"WITH RECURSIVE l AS ({_LINKS}), c AS ({_ROWS}), e AS (SELECT * FROM l UNION SELECT tab, seq, b, a FROM l), r AS (SELECT tab, seq, cell_id AS a, cell_id AS b FROM c UNION SELECT r.tab, r.seq, r.a, e.b FROM r JOIN e ON e.tab = r.tab AND e.seq = r.seq AND e.a = r.b) SELECT r.tab, r.seq, r.a AS cell_id, min(r.b) AS group_id FROM r JOIN c ON c.tab = r.tab AND c.seq = r.seq AND c.cell_id = r.b GROUP BY ALL",
+    "p10_found": f"WITH {_WINDOWS} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON b.h = a.h AND a.doc_id < b.doc_id",
+    "p10_shares": f"WITH {_WINDOWS}, p AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM w a JOIN w b ON b.h = a.h AND a.doc_id <> b.doc_id), g AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1), s AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 300)) AS pos FROM w WHERE h IN (SELECT h FROM g)) GROUP BY doc_id) SELECT d.doc_id, coalesce(length(text), 0) AS n_chars, coalesce(s.n, 0) AS n_shared, (SELECT count(*) FROM p WHERE p.a = d.doc_id) AS n_partners FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id",
+}
