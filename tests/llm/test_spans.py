@@ -73,3 +73,17 @@ def test_every_shared_span_has_a_common_key(alphabet):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert spans.span_pairs(df, "doc_id", "text").collect() == [] and spans.shared_lengths(df, "doc_id", "text").collect() == []
+
+
+def test_many_whole_copies(spark):
+    rnd = random.Random(2)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    one, other = text(2000), text(900)
+    docs = {i: one for i in range(1, 61)} | {i: other for i in range(100, 103)} | {200: text(50) + one[700:1100] + text(50), 201: text(20) + one[900:1190], 202: other[:305] + one[:305]}
+    df = spark.createDataFrame(list(docs.items()) + [(3, one)], "doc_id long, text string")
+    got = [(r["a"], r["b"]) for r in spans.span_pairs(df, "doc_id", "text").collect()]
+    want = {(a, b) for a in docs for b in docs if a < b and docs[a] == docs[b]}
+    want |= {(i, 200) for i in range(1, 61)} | {(i, 202) for i in [*range(1, 61), *range(100, 103)]}
+    assert len(got) == len(set(got)) and set(got) == want
+    n = {r["id"]: (r["n_shared"], r["n_partners"]) for r in spans.shared_lengths(df, "doc_id", "text").collect()}
+    assert n[1] == (2000, 61) and n[100] == (900, 3) and n[200] == (400, 60) and n[201] == (0, 0) and n[202] == (610, 63)

@@ -204,15 +204,23 @@ def landmarks(docs: DataFrame, id_: str, text: str, lv: Levels = Levels()) -> Da
     return d.mapInArrow(_emit(lv), "id long, place int, key long")
 
 
-def shared_landmarks(docs: DataFrame, id_: str, text: str, lv: Levels = Levels()) -> DataFrame:  # noqa: B008
+def copies(docs: DataFrame, id_: str, text: str, lv: Levels = Levels()) -> DataFrame:  # noqa: B008
+    """Records of at least a span whose whole text stands in several: ``id, rep``, the smallest id with that text (itself included)."""
+    d = docs.select(F.col(f"`{id_}`").cast("long").alias("id"), F.md5(F.col(f"`{text}`").cast("binary")).alias("h"), F.length(text).alias("n"))
+    d = d.where(F.col("id").isNotNull() & (F.col("n") >= lv.span)).select("id", "h")
+    reps = d.groupBy("h").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("h", "rep")
+    return d.join(reps, "h").select("id", "rep").distinct()
+
+
+def shared_landmarks(docs: DataFrame, id_: str, text: str, same: DataFrame, lv: Levels = Levels()) -> DataFrame:  # noqa: B008
     """Landmarks whose key stands in more than one record, with the text around them: id, place, key, mid, lead, tail, before, gap.
 
     ``mid`` is the key's stretch, ``lead`` and ``tail`` up to ``beyond()`` characters around it; ``before`` and ``gap`` tell the
-    record's shared landmark before this one, where their stretches touch.
+    record's shared landmark before this one, where their stretches touch. Of ``same`` (see ``copies``) only the representatives stay.
     """
     marks = stage(landmarks(docs, id_, text, lv))
     spread = marks.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    kept = marks.join(spread, "key")
+    kept = marks.join(spread, "key").join(same.where("id <> rep").select("id"), "id", "left_anti")
     w = Window.partitionBy("id").orderBy("place", "key")
     kept = kept.withColumn("gap", F.col("place") - F.lag("place").over(w)).withColumn("before", F.lag("key").over(w))
     touch = F.col("gap") <= lv.reach() + lv.after()
@@ -228,14 +236,14 @@ def shared_landmarks(docs: DataFrame, id_: str, text: str, lv: Levels = Levels()
         F.substring("text", lo + size + 1, F.lit(b)).alias("tail"))
 
 
-def span_matches(docs: DataFrame, id_: str, text: str, lv: Levels = Levels()) -> DataFrame:  # noqa: B008
-    """Where two records share a span: ``a, b, place_a, place_b``, the smaller id first; a row per maximal stretch and landmark start.
+def span_matches(docs: DataFrame, id_: str, text: str, same: DataFrame, lv: Levels = Levels()) -> DataFrame:  # noqa: B008
+    """Where two records with different texts share a span: ``a, b, place_a, place_b``, the smaller id first; a row per maximal stretch and landmark start.
 
     Exact: keys only find candidates, the stretch is compared character by character. Two records that share a long stretch share
-    many landmarks; the row is formed at the first of them only (where the shared landmarks before differ), so copies cost one
-    comparison per pair. Every pair is one the statement asks for; keys with very many records are split by the join's skew handling.
+    many landmarks; the row is formed at the first of them only (where the shared landmarks before differ). Whole copies (``same``) are
+    left to their representatives, so that a text that stands in very many records is compared once.
     """
-    m = stage(shared_landmarks(docs, id_, text, lv))
+    m = stage(shared_landmarks(docs, id_, text, same, lv))
     a, b = (m.select(*(F.col(c).alias(f"{c}_{s}") for c in m.columns)) for s in "ab")
     same_before = F.coalesce((F.col("before_a") == F.col("before_b")) & (F.col("gap_a") == F.col("gap_b")), F.lit(False))
     p = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("id_a") < F.col("id_b")) & ~same_before & (F.col("mid_a") == F.col("mid_b")))
@@ -249,13 +257,23 @@ def span_matches(docs: DataFrame, id_: str, text: str, lv: Levels = Levels()) ->
     return p.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "place_a", "place_b")
 
 
+def _expanded(pairs: DataFrame, same: DataFrame) -> DataFrame:
+    """Pairs of representatives to pairs of all records, with the pairs inside the classes of copies."""
+    p = pairs
+    for c in "ab":
+        p = p.join(same.select(F.col("rep").alias(c), F.col("id").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).select("a", "b")
+    inside = same.select(F.col("id").alias("a"), "rep").join(same.select(F.col("id").alias("b"), "rep"), "rep").where("a < b").select("a", "b")
+    return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(inside)
+
+
 def span_pairs(docs: DataFrame, id_: str, text: str, lv: Levels = Levels()) -> DataFrame:  # noqa: B008
     """Pairs of records with an identical stretch of at least ``lv.span`` code points: ``a, b``, the smaller id first.
 
     NULL texts, NULL ids and texts shorter than the span have no pairs; repeated rows of one id count as one record; an
-    empty table gives no rows; other columns are ignored. See ``span_matches``.
+    empty table gives no rows; other columns are ignored. Found between classes of whole copies, then expanded. See ``span_matches``.
     """
-    return span_matches(docs, id_, text, lv).select("a", "b").distinct()
+    same = stage(copies(docs, id_, text, lv))
+    return _expanded(span_matches(docs, id_, text, same, lv).select("a", "b").distinct(), same)
 
 
 def _extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +297,8 @@ def shared_lengths(docs: DataFrame, id_: str, text: str, lv: Levels = Levels())
 
     NULL texts have n_chars 0. Spans that overlap count once. Rows with a NULL id are left out; repeated rows of one id give one row.
     """
-    found = stage(span_matches(docs, id_, text, lv))
+    same = stage(copies(docs, id_, text, lv))
+    found = stage(span_matches(docs, id_, text, same, lv))
     whole = docs.select(F.col(f"`{id_}`").cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text")).where("id is not null")
     whole = whole.groupBy("id").agg(F.max("text").alias("text"))
     d = found
@@ -289,7 +308,8 @@ def shared_lengths(docs: DataFrame, id_: str, text: str, lv: Levels = Levels())
     w = Window.partitionBy("id").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", F.coalesce(F.max("hi").over(w), F.lit(0))))
     length = parts.select("id", new.alias("new")).groupBy("id").agg(F.sum("new").alias("n_shared"))
-    partners = found.select("a", "b").distinct()
+    partners = _expanded(found.select("a", "b").distinct(), same)
     partners = partners.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_partners"))
     out = whole.select("id", F.length("text").cast("long").alias("n_chars")).join(length, "id", "left").join(partners, "id", "left")
+    out = out.join(same, "id", "left").withColumn("n_shared", F.when(F.col("rep").isNotNull(), F.col("n_chars")).otherwise(F.col("n_shared")))
     return out.select("id", "n_chars", F.coalesce("n_shared", F.lit(0)).alias("n_shared"), F.coalesce("n_partners", F.lit(0)).alias("n_partners"))
