@@ -25,7 +25,10 @@ from ..session import stage
 class Match:
     shift: float = 16.0  # the two sources' places differ by less than this in each direction
     block: int = 8  # readings over so many time steps are summed up for the search
+    most: float = 11.0  # the constant shift of a group is less than this in each direction
     lag: int = 3  # the two sources' times differ by at most this
+    slack: int = 4  # a track of one source may begin earlier or end later than in the other by so many time steps
+    part: float = 0.45  # share of b's readings that must lie between a's first and last all the same
     near: float = 6.0  # after the shift is taken out, candidates lie nearer than this
     q_place: float = 6.0  # width of a place's q-gram set: Dice falls to 0 at this distance
     q_size: float = 0.3  # the same for the logarithm of the size
@@ -120,7 +123,7 @@ def _scores(m: Match) -> object:
                 rb, tb, xb, yb, sb = _flat(c.column("track_b"))
                 ka, kb = (ra << 24) + ta + (1 << 20), (rb << 24) + tb + (1 << 20)
                 mx, my, ms = (c.column(v).to_numpy() for v in ("mx", "my", "ms"))
-                common, dice, within = [], [], []
+                common, dice, within, loose = [], [], [], []
                 begin, end = np.full(n, 1 << 62), np.full(n, -(1 << 62))
                 np.minimum.at(begin, ra, ta)
                 np.maximum.at(end, ra, ta)
@@ -136,12 +139,13 @@ def _scores(m: Match) -> object:
                     both = wx * fx + wy * fy
                     score = np.where(np.isnan(fs), both / (wx + wy), both + ws * np.nan_to_num(fs))
                     common.append(np.bincount(of, minlength=n))
-                    within.append(np.bincount(rb[(tb + lag >= begin[rb]) & (tb + lag <= end[rb])], minlength=n))
+                    for counts, slack in ((within, 0), (loose, m.slack)):
+                        counts.append(np.bincount(rb[(tb + lag >= begin[rb] - slack) & (tb + lag <= end[rb] + slack)], minlength=n))
                     dice.append(np.bincount(of, score, minlength=n))
                 off = pa.array(np.arange(n + 1, dtype=np.int32) * (2 * m.lag + 1))
-                lists = [pa.ListArray.from_arrays(off, pa.array(np.stack(v, 1).ravel().astype(ty))) for v, ty in ((common, np.int32), (within, np.int32), (dice, np.float64))]
+                lists = [pa.ListArray.from_arrays(off, pa.array(np.stack(v, 1).ravel().astype(ty))) for v, ty in ((common, np.int32), (within, np.int32), (loose, np.int32), (dice, np.float64))]
                 size = c.column("track_b").value_lengths()
-                yield pa.RecordBatch.from_arrays([c.column("g"), c.column("a"), c.column("b"), size, *lists], names=["g", "a", "b", "n_b", "common", "within", "dice"])
+                yield pa.RecordBatch.from_arrays([c.column("g"), c.column("a"), c.column("b"), size, *lists], names=["g", "a", "b", "n_b", "common", "within", "loose", "dice"])
 
     return run
 
@@ -163,11 +167,12 @@ def candidate_pairs(a: DataFrame, b: DataFrame, m: Match = Match()) -> DataFrame
         F.count(F.lit(1)).alias("n"), F.avg(dx).alias("dx"), F.avg(dy).alias("dy"), F.avg(ds).alias("ds"), (F.var_pop(dx) + F.var_pop(dy)).alias("spread"))
 
 
-def shifts(pairs: DataFrame) -> DataFrame:
+def shifts(pairs: DataFrame, most: float = 11.0) -> DataFrame:
     """The constant difference of the two sources per ``g``: ``mx, my, ms``, where most candidate pairs agree.
 
     Pairs vote in four grids of cells 4 wide that lie half a cell apart; long pairs whose difference hardly varies weigh most.
     """
+    pairs = pairs.where((F.abs("dx") < most) & (F.abs("dy") < most))
     w = F.col("n") / (1.0 + F.col("spread"))
     grid = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.floor((F.col("dx") + dx) / 4).alias("cx"), F.floor((F.col("dy") + dy) / 4).alias("cy")) for i, (dx, dy) in enumerate(((0, 0), (0, 2), (2, 0), (2, 2))))))
     v = pairs.select("g", "dx", "dy", "ds", w.alias("w"), grid.alias("c")).groupBy("g", "c").agg(
@@ -178,23 +183,25 @@ def shifts(pairs: DataFrame) -> DataFrame:
 
 
 def scored_pairs(a: DataFrame, b: DataFrame, m: Match = Match()) -> DataFrame:  # noqa: B008
-    """Candidate pairs at the group's time shift: ``g, a, b, common`` (readings at one time) and ``score``.
+    """Candidate pairs at the group's time shift: ``g, a, b, common`` (readings at one time), ``strict`` and ``score``.
 
-    The score is the mean Dice of the common readings times the share of b's readings that lie between a's first and last, so that
-    readings missing inside a count for nothing and a pair that covers only a part of b counts for that part.
+    Both are the mean Dice of the common readings times the share of b's readings that lie between a's first and last, so that
+    readings missing inside a count for nothing and a pair that covers only a part of b counts for that part. ``score`` allows ``m.slack`` steps
+    beyond either end, if at least ``m.part`` of b lies inside; ``strict`` decides between several a.
     """
     a, b = stage(a), stage(b)
     pairs = stage(candidate_pairs(a, b, m))
-    s = shifts(pairs)
+    s = shifts(pairs, m.most)
     near = pairs.join(s, "g").where((F.abs(F.col("dx") - F.col("mx")) < m.near) & (F.abs(F.col("dy") - F.col("my")) < m.near)).select("g", "a", "b", "mx", "my", "ms")
     d = near.join(a.select("g", F.col("e").alias("a"), F.col("track").alias("track_a")), ["g", "a"]).join(b.select("g", F.col("e").alias("b"), F.col("track").alias("track_b")), ["g", "b"])
     ty = dict(a.dtypes)["e"], dict(b.dtypes)["e"]
-    out = stage(d.mapInArrow(_scores(m), f"g string, a {ty[0]}, b {ty[1]}, n_b int, common array<int>, within array<int>, dice array<double>"))
+    out = stage(d.mapInArrow(_scores(m), f"g string, a {ty[0]}, b {ty[1]}, n_b int, common array<int>, within array<int>, loose array<int>, dice array<double>"))
     lag = out.select("g", F.posexplode("dice").alias("lag", "d")).groupBy("g", "lag").agg(F.sum("d").alias("d"))
     lag = lag.groupBy("g").agg(F.max_by("lag", F.struct("d", -F.abs(F.col("lag") - m.lag))).alias("lag"))
     at = lambda c: F.element_at(c, F.col("lag") + 1)
-    out = out.join(lag, "g").select("g", "a", "b", at("common").alias("common"), (at("dice") / at("common") * at("within") / F.col("n_b")).alias("score"))
-    return out.where("common > 0")
+    mean, share = at("dice") / at("common"), at("within") / F.col("n_b")
+    score = mean * F.when(share >= m.part, at("loose") / F.col("n_b")).otherwise(share)
+    return out.join(lag, "g").where(at("common") > 0).select("g", "a", "b", at("common").alias("common"), (mean * share).alias("strict"), score.alias("score"))
 
 
 BINS = 20
@@ -223,7 +230,7 @@ def match(a: DataFrame, b: DataFrame, m: Match = Match()) -> DataFrame:  # noqa:
     The calibration needs counts in 20 bins of scores, all that reaches the driver.
     """
     p = stage(scored_pairs(a, b, m))
-    best = p.groupBy("g", "b").agg(F.max(F.struct("score", "common", (-F.col("a")).alias("a"))).alias("m"))
+    best = p.groupBy("g", "b").agg(F.max(F.struct("strict", "common", (-F.col("a")).alias("a"), "score")).alias("m"))
     best = stage(best.select("g", (-F.col("m.a")).alias("a"), "b", "m.common", "m.score"))
     bin_ = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
     every, tops = ({r[0]: r[1] for r in d.groupBy(bin_).count().collect()} for d in (p, best))
