@@ -207,7 +207,7 @@ def landmarks(docs: DataFrame, id_: str, text: str, lv: Levels = Levels()) -> Da
 def copies(docs: DataFrame, id_: str, text: str, lv: Levels = Levels()) -> DataFrame:  # noqa: B008
     """Records of at least a span whose whole text stands in several: ``id, rep``, the smallest id with that text (itself included)."""
     d = docs.select(F.col(f"`{id_}`").cast("long").alias("id"), F.md5(F.col(f"`{text}`").cast("binary")).alias("h"), F.length(text).alias("n"))
-    d = d.where(F.col("id").isNotNull() & (F.col("n") >= lv.span)).select("id", "h")
+    d = stage(d.where(F.col("id").isNotNull() & (F.col("n") >= lv.span)).select("id", "h"))
     reps = d.groupBy("h").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("h", "rep")
     return d.join(reps, "h").select("id", "rep").distinct()
 
