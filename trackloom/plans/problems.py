@@ -9,6 +9,7 @@ from ..operators import grid, hierarchy, orphans, packed, spikes
 from ..session import in_force, stage, table
 
 LAST_FRAME, LAST_PIXEL = 400, 1023
+_TIE = 1e-9  # positions have few decimals, so that cubics often lie on a tie of the rounding
 MEASURES = [
     spikes.Measure("Area", low=0, low_open=True, log=True, floor=0.02),
     spikes.Measure("Volume", low=0, low_open=True, log=True, floor=0.02),
@@ -58,7 +59,7 @@ def readings(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
 
 def p2_grid(spark: SparkSession, d: str) -> DataFrame:
     g = grid.regular_grid(readings(spark, d, ["X", "Y"]), ["seq", "cell_id"], "frame", ["X", "Y"])
-    return g.select("seq", "cell_id", "frame", F.round("X", 6).alias("x"), F.round("Y", 6).alias("y"), "status")
+    return g.select("seq", "cell_id", "frame", F.round(F.col("X") + _TIE, 6).alias("x"), F.round(F.col("Y") + _TIE, 6).alias("y"), "status")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +138,30 @@ spikes AS (SELECT * FROM scaled WHERE (x - mb) * (x - ma) > 0 AND abs(x - mb) >
 flags AS (SELECT seq, cell_id, frame, field, kind, v AS value FROM first WHERE kind IS NOT NULL UNION ALL SELECT seq, cell_id, frame, field, 'spike', v FROM spikes)
 """
 
+
+
+def _cubic(v: str) -> str:
+    """The monotone cubic of p2 in SQL at step ``g.f`` between knots t and tn, out of the columns of ``knots``."""
+    d0, d1, d2 = f"(({v} - {v}b) / h0)", f"(({v}n - {v}) / h1)", f"(({v}nn - {v}n) / h2)"
+
+    def end(ha: str, da: str, hb: str, db: str) -> str:
+        three = f"(((2 * {ha} + {hb}) * {da} - {ha} * {db}) / ({ha} + {hb}))"
+        return f"CASE WHEN {hb} IS NULL THEN {da} WHEN {three} * {da} <= 0 THEN 0 WHEN {da} * {db} <= 0 AND abs({three}) > 3 * abs({da}) THEN 3 * {da} ELSE {three} END"
+
+    def slope(hl: str, dl: str, hr: str, dr: str, other: str, at_end: str) -> str:
+        return f"(CASE WHEN {other} IS NULL THEN {at_end} WHEN {dl} * {dr} <= 0 THEN 0 ELSE 3 * ({hl} + {hr}) / ((2 * {hr} + {hl}) / {dl} + ({hr} + 2 * {hl}) / {dr}) END)"
+
+    m1, m2 = slope("h0", d0, "h1", d1, "h0", end("h1", d1, "h2", d2)), slope("h1", d1, "h2", d2, "h2", end("h1", d1, "h0", d0))
+    s = "((g.f - t) / h1)"
+    return f"CASE WHEN g.f = t THEN {v} WHEN h1 <= 20 THEN {v} * (1 + 2 * {s}) * (1 - {s}) ** 2 + {m1} * h1 * {s} * (1 - {s}) ** 2 + {v}n * {s} ** 2 * (3 - 2 * {s}) + {m2} * h1 * {s} ** 2 * ({s} - 1) END"
+
+
+_KNOTS = f"""WITH {_READINGS}, pos AS (SELECT seq, cell_id, frame, X AS x, Y AS y FROM force WHERE X IS NOT NULL AND Y IS NOT NULL AND NOT isnan(X) AND NOT isnan(Y)),
+near AS (SELECT seq, cell_id, frame AS t, x, y, {", ".join(f"{f}({c}{k}) OVER w AS {'t' if c == 'frame' else c}{n}" for c in ("frame", "x", "y") for f, k, n in (("lag", "", "b"), ("lead", "", "n"), ("lead", ", 2", "nn")))} FROM pos WINDOW w AS (PARTITION BY seq, cell_id ORDER BY frame)),
+knots AS (SELECT *, CASE WHEN t - tb <= 20 THEN t - tb END AS h0, coalesce(tn - t, 1) AS h1, CASE WHEN tnn - tn <= 20 THEN tnn - tn END AS h2 FROM near)"""
+
 ORACLE = {
+    "p2_grid": f"{_KNOTS} SELECT seq, cell_id, cast(g.f AS INTEGER) AS frame, round({_cubic('x')} + {_TIE}, 6) AS x, round({_cubic('y')} + {_TIE}, 6) AS y, CASE WHEN g.f = t THEN 'observed' WHEN h1 <= 20 THEN 'filled' ELSE 'long_gap' END AS status FROM knots JOIN range(0, 401) g(f) ON g.f >= t AND g.f < t + h1",
     "p1_found": f"WITH RECURSIVE {_EXISTING} SELECT seq, cell_id, cycle_id FROM rings",
     "p1_forest": f"WITH RECURSIVE {_EXISTING} SELECT c.seq, c.cell_id, t.root_id, cast(t.depth AS BIGINT) AS depth, r.cycle_id FROM cells c LEFT JOIN tree t ON t.seq = c.seq AND t.cell_id = c.cell_id LEFT JOIN rings r ON r.seq = c.seq AND r.cell_id = c.cell_id",
     "p1_paths": f"WITH RECURSIVE {_EXISTING} SELECT c.seq, c.cell_id, t.root_id, cast(t.depth AS BIGINT) AS depth, t.path, r.cycle_id FROM cells c LEFT JOIN tree t ON t.seq = c.seq AND t.cell_id = c.cell_id LEFT JOIN rings r ON r.seq = c.seq AND r.cell_id = c.cell_id",
