@@ -1,9 +1,9 @@
 import pytest
 from compare import SF, database, same
 
-from trackloom.plans import cells, learning, more, problems, scores
+from trackloom.plans import cells, learning, more, problems, scores, trackers
 
-MODULES = [problems, scores, cells, learning, more]
+MODULES = [problems, scores, cells, learning, more, trackers]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
 
