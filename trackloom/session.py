@@ -26,11 +26,12 @@ def shared_folder(spark: SparkSession) -> str:
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Cuts the lineage and survives the loss of executors. The files are removed when the driver's process ends.
+    Cuts the lineage and survives the loss of executors. The files are removed when the driver's process ends. Values are written without
+    a dictionary, so that the files' size, by which Spark decides on broadcasts, stays near the size in memory.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
