@@ -47,3 +47,16 @@ def test_words():
     assert le.words("Straße, ÉTÉ 5,499 and 1 467­ co-\nop's\t12.5%") == ["strasse", "ete", "5499", "and", "1467", "coop", "s", "125"]
     assert le.words(None) == le.words("") == le.words(" .,\n") == []
     assert le.near("carriage", "carraige") and le.near("harbour", "harbor") and not le.near("1985", "1986") and not le.near("cat", "car")
+
+
+def test_the_part_of_a_cut_passage_that_holds(spark):
+    p = random.Random(3).sample(VOCAB, 60)
+    other = lambda ws: "".join(c if c in "aeiou" else "z" for c in ws) + "qqq"
+    d = {
+        "16+13": p[:16] + p[21:34], "15+11": p[:15] + p[19:30], "20+20": p[:20] + p[26:46], "second part": p[:10] + p[15:31], "replaced": p[:16] + [other(w) for w in p[16:21]] + p[21:34],
+        "long gap after": p[:16] + take(30) + p[16:26], "long gap before": p[:10] + take(30) + p[10:26], "twice": p[:15] + take(30) + p[20:60], "14+14": p[:14] + p[19:33], "every fifth": [other(w) if i % 5 == 4 else w for i, w in enumerate(p)]}
+    names = list(d)
+    df = spark.createDataFrame([(i, " ".join(take(30) + d[n] + take(30))) for i, n in enumerate(names)], "doc_id long, text string")
+    t = spark.createDataFrame([(1, " ".join(p))], "item long, passage string")
+    got = {names[r["id"]]: r["words"] for r in le.leaks(df, "doc_id", "text", t, "item", ["passage"]).collect()}
+    assert got == {"16+13": 16, "15+11": 15, "20+20": 20, "second part": 16, "replaced": 16, "long gap after": 16, "long gap before": 16, "twice": 40}

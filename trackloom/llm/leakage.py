@@ -11,7 +11,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,8 +84,8 @@ class Index:
     """The windows of a block of test texts, sorted by hash, with a bit table in front."""
 
     def __init__(self, texts: list[tuple[int, str]], s: Search):
-        hashes = _Hashes()
-        self.item, self.words, self.word_of, tok = [], [], [], []
+        hashes, self.bits_of = _Hashes(), _Bits()
+        self.item, self.words, self.word_of, self.letters, tok = [], [], [], [], []
         for item, text in texts:
             w, of = [], []
             for i, part in enumerate(_DIGITS.sub("", text or "").split()):
@@ -96,6 +96,7 @@ class Index:
                 self.item.append(item)
                 self.words.append(w)
                 self.word_of.append(np.array(of))
+                self.letters.append(letters(w, self.bits_of))
                 tok.append(np.array([hashes[x] for x in w], np.uint64))
         self.tok = np.concatenate(tok) if tok else np.empty(0, np.uint64)
         self.start = np.concatenate([[0], np.cumsum([len(t) for t in tok])]).astype(np.int64)
@@ -187,22 +188,96 @@ def align(same: np.ndarray, apart: int) -> list[tuple[int, int]]:
     return pairs[::-1]
 
 
-def stretch(test: list[str], of: np.ndarray, doc: list[str], same: np.ndarray, s: Search) -> int:
-    """Words of the test text in its longest stretch that the document's words hold; 0 if too few of them agree."""
-    pairs = align(same, s.apart)
-    if not pairs:
-        return 0
-    agree = [same[i, j] or near(test[i], doc[j]) for i, j in pairs]
-    # a lightly altered word at an end belongs to the stretch
-    for step, stop_i, stop_j in ((-1, -1, -1), (1, len(test), len(doc))):
+def longest_run(rows: np.ndarray, of: np.ndarray, agree: float) -> tuple[int, int]:
+    """First and last of the agreeing ``rows`` (rising) that hold most words of the text while ``agree`` of the rows between them agree."""
+    k, n = np.arange(len(rows)), of[rows]
+    count = k[None, :] - k[:, None] + 1
+    fits = (count > 0) & (count >= agree * (rows[None, :] - rows[:, None] + 1))
+    a, b = np.unravel_index(int(np.where(fits, n[None, :] - n[:, None] + 1, 0).argmax()), fits.shape)
+    return int(a), int(b)
+
+
+class _Bits(dict):
+    def __missing__(self, w: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        bits = 0
+        for c in set(w):
+            bits |= 1 << (ord(c) & 63)
+        self[w] = bits
+        return bits
+
+
+def letters(ws: list[str], known: _Bits) -> tuple[np.ndarray, np.ndarray]:
+    """Per word its set of letters as 64 bits, and its length."""
+    return np.array([known[w] for w in ws], np.uint64), np.array([len(w) for w in ws], np.int64)
+
+
+_near = functools.lru_cache(1 << 17)(near)
+_Letters = tuple[np.ndarray, np.ndarray]
+
+
+def could_hold(test: list[str], of: np.ndarray, doc: list[str], x: _Letters, y: _Letters, same: np.ndarray, s: Search, free: np.ndarray) -> bool:
+    """Whether words for a stretch occur at all, in whatever order: ``s.agree`` of its words need an equal (``free``) or a near one.
+
+    ``x`` and ``y`` are the ``letters`` of the test text and of the document.
+    """
+    there = free.any(axis=1)
+
+    def enough() -> bool:
+        r = np.flatnonzero(there)
+        if not len(r):
+            return False
+        a, b = longest_run(r, of, s.agree)
+        return bool(of[r[b]] - of[r[a]] + 1 >= s.words)
+
+    at = np.flatnonzero(~there)
+    if not len(at):
+        return enough()
+    n = np.maximum(x[1][at, None], y[1])
+    most = (n >= 4).astype(np.int8) + (n >= 8)
+    # one alteration changes the set of letters by two at most
+    close = (np.bitwise_count(x[0][at, None] ^ y[0]) <= 2 * most) & (np.abs(x[1][at, None] - y[1]) <= most) & (most > 0) & ~same[at]
+    there[at] = close.any(axis=1)
+    if not enough():
+        return False
+    there[at] = False
+    for i, j in np.argwhere(close).tolist():
+        there[at[i]] = there[at[i]] or _near(test[at[i]], doc[j])
+    return enough()
+
+
+def stretch(test: list[str], of: np.ndarray, doc: list[str], same: np.ndarray, s: Search, holds: Callable[[np.ndarray], bool] = np.any) -> int:
+    """Words of the test text in its longest stretch that the document's words hold; 0 if there is none.
+
+    Where an alignment as a whole agrees too little, its longest run that does agree counts. Its pairs are then taken out and the rest is
+    aligned again, as long as ``holds`` says so.
+    """
+    agrees = lambda i, j: same[i, j] or near(test[i], doc[j])
+    free, most = same.copy(), 0
+    while most < of[-1] - of[0] + 1 and (pairs := align(free, s.apart)):
+        taken = tuple(np.array(pairs).T)
+        # a lightly altered word at an end belongs to the stretch
+        got = _grown([p for p in pairs if agrees(*p)], agrees, same.shape)
+        if got:
+            a, b = longest_run(np.array([i for i, _ in got]), of, s.agree)
+            run = _grown(got[a : b + 1], agrees, same.shape)
+            most = max(most, int(of[run[-1][0]] - of[run[0][0]] + 1))
+        free[taken] = False
+        if not holds(free):
+            break
+    return most
+
+
+def _grown(pairs: list[tuple[int, int]], agrees: Callable[[int, int], bool], shape: tuple[int, int]) -> list[tuple[int, int]]:
+    """Agreeing pairs with those that follow at both ends on the same diagonal."""
+    pairs = list(pairs)
+    for step, stop_i, stop_j in ((-1, -1, -1), (1, *shape)) if pairs else ():
         i, j = pairs[0 if step < 0 else -1]
-        while i + step != stop_i and j + step != stop_j and (same[i + step, j + step] or near(test[i + step], doc[j + step])):
+        while i + step != stop_i and j + step != stop_j and agrees(i + step, j + step):
             i, j = i + step, j + step
-            pairs, agree = ([(i, j), *pairs], [True, *agree]) if step < 0 else ([*pairs, (i, j)], [*agree, True])
-    lo, hi = pairs[0][0], pairs[-1][0]
-    if sum(agree) < s.agree * (hi - lo + 1):
-        return 0
-    return int(of[hi] - of[lo] + 1)
+            pairs.insert(0 if step < 0 else len(pairs), (i, j))
+    return pairs
 
 
 def leaks_of(ids: list[int], texts: list[str | None], index: Index, hashes: dict, s: Search) -> list[tuple[int, int, int]]:
@@ -237,17 +312,26 @@ def leaks_of(ids: list[int], texts: list[str | None], index: Index, hashes: dict
     place = np.cumsum(new) - 1
     total = np.bincount(place, np.where(count > 3, count, 0))
     found: dict[tuple[int, int], int] = {}
+    sets: dict[int, _Letters] = {}
     first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(d)) - 1
     for p in np.flatnonzero(total >= s.least).tolist():
         doc, entry = int(d[first[p]]), int(e[first[p]])
         key = (ids[doc], index.item[entry])
-        if found.get(key, 0) >= s.words:
+        of = index.word_of[entry]
+        if found.get(key, 0) >= of[-1] - of[0] + 1:
             continue
         lo = max(int(starts[doc]), int(diagonal[first[p]]) - s.apart)
         hi = min(int(starts[doc + 1]), int(diagonal[last[p]]) + len(index.words[entry]) + s.apart)
         test = index.tok[index.start[entry] : index.start[entry + 1]]
         same = test[:, None] == tok[None, lo:hi]
-        got = stretch(index.words[entry], index.word_of[entry], lists[doc][lo - int(starts[doc]) : hi - int(starts[doc])], same, s)
+        text = lists[doc][lo - int(starts[doc]) : hi - int(starts[doc])]
+        if doc not in sets:
+            sets[doc] = letters(lists[doc], index.bits_of)
+        y = tuple(v[lo - int(starts[doc]) : hi - int(starts[doc])] for v in sets[doc])
+        holds = functools.partial(could_hold, index.words[entry], of, text, index.letters[entry], y, same, s)
+        if not holds(same):
+            continue
+        got = stretch(index.words[entry], of, text, same, s, holds)
         found[key] = max(found.get(key, 0), got)
     return [(a, b, n) for (a, b), n in found.items() if n >= s.words]
 
