@@ -60,3 +60,13 @@ def test_the_part_of_a_cut_passage_that_holds(spark):
     t = spark.createDataFrame([(1, " ".join(p))], "item long, passage string")
     got = {names[r["id"]]: r["words"] for r in le.leaks(df, "doc_id", "text", t, "item", ["passage"]).collect()}
     assert got == {"16+13": 16, "15+11": 15, "20+20": 20, "second part": 16, "replaced": 16, "long gap after": 16, "long gap before": 16, "twice": 40}
+
+
+def test_short_pieces_around_an_interruption(spark):
+    p = ["government", "benches", "colleague", "industry", "quarrel", "moderate", "northern", "railway", "treasury", "hospital", "building", "vessels", "question", "schedule", "whatever"]
+    alter = lambda *at: [w[:-2] + w[-1] + w[-2] if i in at else w for i, w in enumerate(p)]
+    rows = [(bad, cut) for cut in (5, 6, 7, 8, 9, 10) for bad in [(), (9,), (10,), (3, 10), (2, 11)]]
+    docs = [(i, " ".join(take(20) + (a := alter(*bad))[:cut] + ["(Laughter", "from", "the", "benches)"] + a[cut:] + take(20))) for i, (bad, cut) in enumerate(rows)]
+    t = spark.createDataFrame([(1, " ".join(p))], "item long, passage string")
+    got = le.leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", t, "item", ["passage"]).collect()
+    assert {rows[i] for i in range(len(rows))} - {rows[r["id"]] for r in got} == set()

@@ -29,7 +29,7 @@ class Search:
     # positions that count; together they hit any 15 words of which any 3 are altered
     masks: tuple[tuple[int, ...], ...] = ((0, 1, 2, 4, 5), (0, 1, 3, 7, 8), (0, 3, 4, 5, 6))
     agree: float = 0.88  # share of a stretch's words that must agree
-    least: int = 9  # equal less unequal words of the best stretches on the diagonals hit, below which no alignment is tried
+    least: int = 9  # equal less unequal words of the best stretches on the diagonals hit, from which on an alignment is tried in any case
     apart: int = 24  # words that an interruption may hold
     block: int = 2_000_000  # hashes of test windows that are sent to the tasks at once
 
@@ -85,7 +85,7 @@ class Index:
 
     def __init__(self, texts: list[tuple[int, str]], s: Search):
         hashes, self.bits_of = _Hashes(), _Bits()
-        self.item, self.words, self.word_of, self.letters, tok = [], [], [], [], []
+        self.item, self.words, self.word_of, self.rows, self.letters, tok = [], [], [], [], [], []
         for item, text in texts:
             w, of = [], []
             for i, part in enumerate(_DIGITS.sub("", text or "").split()):
@@ -97,6 +97,8 @@ class Index:
                 self.words.append(w)
                 self.word_of.append(np.array(of))
                 self.letters.append(letters(w, self.bits_of))
+                # fewest words, as compared, in a stretch of s.words (places without any, such as dashes, count there too)
+                self.rows.append(int((np.searchsorted(of, np.array(of) + s.words - 1) - np.arange(len(of)))[np.array(of) + s.words - 1 <= of[-1]].min()) + 1)
                 tok.append(np.array([hashes[x] for x in w], np.uint64))
         self.tok = np.concatenate(tok) if tok else np.empty(0, np.uint64)
         self.start = np.concatenate([[0], np.cumsum([len(t) for t in tok])]).astype(np.int64)
@@ -188,6 +190,12 @@ def align(same: np.ndarray, apart: int) -> list[tuple[int, int]]:
     return pairs[::-1]
 
 
+def few_lost(there: np.ndarray, rows: int) -> bool:
+    """Whether an alignment of ``rows`` or more test words can exist: its first ``rows`` count above 0, so most of them occur."""
+    lost = np.concatenate([[0], np.cumsum(~there)])
+    return bool((lost[rows:] - lost[: len(lost) - rows]).min() * (1 + _MISS) < rows)
+
+
 def longest_run(rows: np.ndarray, of: np.ndarray, agree: float) -> tuple[int, int]:
     """First and last of the agreeing ``rows`` (rising) that hold most words of the text while ``agree`` of the rows between them agree."""
     k, n = np.arange(len(rows)), of[rows]
@@ -217,23 +225,20 @@ _near = functools.lru_cache(1 << 17)(near)
 _Letters = tuple[np.ndarray, np.ndarray]
 
 
-def could_hold(test: list[str], of: np.ndarray, doc: list[str], x: _Letters, y: _Letters, same: np.ndarray, s: Search, free: np.ndarray) -> bool:
+def could_hold(test: list[str], of: np.ndarray, doc: list[str], x: _Letters, y: _Letters, rows: int, same: np.ndarray, s: Search, free: np.ndarray) -> bool:
     """Whether words for a stretch occur at all, in whatever order: ``s.agree`` of its words need an equal (``free``) or a near one.
 
-    ``x`` and ``y`` are the ``letters`` of the test text and of the document.
+    ``x`` and ``y`` are the ``letters`` of the test text and of the document, ``rows`` the fewest words of a stretch.
     """
     there = free.any(axis=1)
 
-    def enough() -> bool:
-        r = np.flatnonzero(there)
-        if not len(r):
-            return False
-        a, b = longest_run(r, of, s.agree)
-        return bool(of[r[b]] - of[r[a]] + 1 >= s.words)
+    def enough() -> bool:  # some rows or more of which s.agree are there
+        f = np.concatenate([[0.0], np.cumsum(there - s.agree)])
+        return bool((f[rows:] >= np.minimum.accumulate(f[: len(f) - rows]) - 1e-9).any())
 
     at = np.flatnonzero(~there)
     if not len(at):
-        return enough()
+        return True
     n = np.maximum(x[1][at, None], y[1])
     most = (n >= 4).astype(np.int8) + (n >= 8)
     # one alteration changes the set of letters by two at most
@@ -307,6 +312,18 @@ def leaks_of(ids: list[int], texts: list[str | None], index: Index, hashes: dict
     sums = np.cumsum(np.where(equal, 1, -1))
     before = np.where(cell == 0, sums - np.where(equal, 1, -1), np.concatenate([[0], sums[:-1]]))
     count = np.maximum.reduceat(sums - (np.minimum.accumulate(before - drop) + drop), np.cumsum(size) - size)
+    # The first words of an alignment, as many as a stretch has, count above 0: of those that the document holds nowhere there are few. The bits may only say "there" too often.
+    bits = max(16, (16 * len(tok)).bit_length())
+    c = _coefficients()
+    bit = lambda doc, w: ((w ^ (doc.astype(np.uint64) * c[61])) * c[60]) >> np.uint64(64 - bits)
+    held = np.zeros(1 << bits, bool)
+    held[bit(doc_of, tok)] = True
+    lost = np.concatenate([[0], np.cumsum(~held[bit(np.repeat(d, size), index.tok[np.repeat(index.start[e], size) + cell])])])
+    rows = np.array(index.rows)[e]
+    begin = np.arange(len(cell))
+    end = begin + np.repeat(rows, size)
+    few = np.where(cell + np.repeat(rows, size) <= np.repeat(size, size), lost[np.minimum(end, len(cell))] - lost[begin], len(cell))
+    likely = np.minimum.reduceat(few, np.cumsum(size) - size) * (1 + _MISS) < rows
     # diagonals of one pair that lie within an interruption of each other are one place
     new = np.concatenate([[True], (d[1:] != d[:-1]) | (e[1:] != e[:-1]) | (np.diff(diagonal) > s.apart)])
     place = np.cumsum(new) - 1
@@ -314,7 +331,7 @@ def leaks_of(ids: list[int], texts: list[str | None], index: Index, hashes: dict
     found: dict[tuple[int, int], int] = {}
     sets: dict[int, _Letters] = {}
     first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(d)) - 1
-    for p in np.flatnonzero(total >= s.least).tolist():
+    for p in np.flatnonzero((total >= s.least) | likely[first]).tolist():
         doc, entry = int(d[first[p]]), int(e[first[p]])
         key = (ids[doc], index.item[entry])
         of = index.word_of[entry]
@@ -325,10 +342,12 @@ def leaks_of(ids: list[int], texts: list[str | None], index: Index, hashes: dict
         test = index.tok[index.start[entry] : index.start[entry + 1]]
         same = test[:, None] == tok[None, lo:hi]
         text = lists[doc][lo - int(starts[doc]) : hi - int(starts[doc])]
+        if total[p] < s.least and not few_lost(same.any(axis=1), index.rows[entry]):
+            continue
         if doc not in sets:
             sets[doc] = letters(lists[doc], index.bits_of)
         y = tuple(v[lo - int(starts[doc]) : hi - int(starts[doc])] for v in sets[doc])
-        holds = functools.partial(could_hold, index.words[entry], of, text, index.letters[entry], y, same, s)
+        holds = functools.partial(could_hold, index.words[entry], of, text, index.letters[entry], y, index.rows[entry], same, s)
         if not holds(same):
             continue
         got = stretch(index.words[entry], of, text, same, s, holds)
