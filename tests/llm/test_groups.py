@@ -51,6 +51,18 @@ def test_closest_counts_in_units():
     assert abs(target - sum(s * k for s, k in taken.items())) <= 1
 
 
+def test_closest_counts_meets_large_targets():
+    sizes = [(3001 + 7 * i, 40 + i % 5) for i in range(60)]  # 8 million rows, no group smaller than 3001
+    total = sum(s * m for s, m in sizes)
+    for share in (0.1, 0.5, 0.8):
+        target = round(share * total)
+        # in units of 2 and 12 rows, too, what the rounding leaves is put right
+        for most, off in ((1 << 26, 0), (1 << 22, 0), (700_000, 1)):
+            taken = groups.closest_counts(sizes, target, most)
+            assert all(0 < taken.get(s, 1) <= m for s, m in sizes)
+            assert abs(sum(s * k for s, k in taken.items()) - target) <= off
+
+
 def test_splits_keep_groups_and_shares(spark):
     rnd = random.Random(1)
     rows = [(i, "x" if i % 5 else "y", rnd.choice([1, 1, 1, 2, 3, 40])) for i in range(3000)] + [(9999, "x", 3000), (10000, None, 4), (10001, "x", 0)]

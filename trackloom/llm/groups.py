@@ -89,51 +89,104 @@ def components(links: DataFrame, block: int = 4096) -> DataFrame:
     return out.join(up.select("g", F.col("node").alias("root"), F.col("root").alias("top")), ["g", "root"], "left").select("g", "node", F.coalesce("top", "root").alias("root"))
 
 
-def closest_counts(sizes: list[tuple[int, int]], target: int, most: int = 1 << 22) -> dict[int, int]:
+def closest_counts(sizes: list[tuple[int, int]], target: int, most: int = 1 << 26) -> dict[int, int]:
     """How many groups of each size to take so that their total is as close to ``target`` as can be.
 
-    ``sizes`` holds (size, multiplicity), sizes above 0. Reachable totals are the bits of one integer; a multiplicity is split into powers of two.
-    Totals beyond ``most`` are counted in units: sizes are rounded down to whole units for the search, and the groups smaller than a unit
-    then fill what is left, largest first. Below ``most`` the result is exact.
+    ``sizes`` holds (size, multiplicity), sizes above 0. Totals up to ``most`` are searched exactly. Totals beyond it are counted in units: sizes are
+    rounded down to whole units, then what is too much is taken back, what is left is filled, largest groups first, and at last a part of the groups, of
+    ``most`` rows at most, is dealt again exactly. That meets the target as a rule, but is proved to be closest only where it does.
     """
     total = sum(s * m for s, m in sizes)
     target = max(0, min(target, total))
-    unit = max(1, -(-total // most))
+    if total <= most:
+        return _exact_counts(sizes, target)
+    unit = -(-total // most)
+    units: dict[int, list[tuple[int, int]]] = {}
+    for s, m in sorted(sizes, reverse=True):
+        if s >= unit:
+            units.setdefault(s // unit, []).append((s, m))
+    taken: dict[int, int] = {}
+    for u, n in closest_counts([(u, sum(m for _, m in own)) for u, own in units.items()], target // unit, most).items():
+        for s, m in units[u]:
+            if k := min(m, n):
+                taken[s] = k
+                n -= k
+    left = target - sum(s * k for s, k in taken.items())
+    for s in sorted(taken, reverse=True):
+        k = min(taken[s], max(0, -left) // s)
+        taken[s] -= k
+        left += k * s
+    if left < 0:
+        s = min(s for s, k in taken.items() if k)
+        taken[s] -= 1
+        left += s
+    for s, m in sorted(sizes, reverse=True):
+        k = min(m - taken.get(s, 0), max(0, left) // s)
+        taken[s] = taken.get(s, 0) + k
+        left -= k * s
+    if not left:
+        return {s: n for s, n in taken.items() if n}
+    # some taken and some other groups of each size, the smallest first, are dealt again
+    pool: dict[int, list[int]] = {}
+    room, k = most, 1
+    while room > 0 and k <= max(m for _, m in sizes):
+        for s, m in sorted(sizes):
+            own = pool.setdefault(s, [0, 0])
+            for side, there in enumerate((taken.get(s, 0), m - taken.get(s, 0))):
+                more = min(k, there - own[side], room // s)
+                own[side] += more
+                room -= more * s
+        k *= 2
+    goal = left + sum(s * a for s, (a, _) in pool.items())
+    again = closest_counts([(s, a + b) for s, (a, b) in pool.items() if a + b], goal, most)
+    if abs(goal - sum(s * n for s, n in again.items())) < abs(left):
+        for s, (a, _) in pool.items():
+            taken[s] = taken.get(s, 0) - a + again.get(s, 0)
+    return {s: n for s, n in taken.items() if n}
+
+
+def _exact_counts(sizes: list[tuple[int, int]], target: int) -> dict[int, int]:
+    """``closest_counts`` by one integer whose bits are the reachable totals; a multiplicity is split into powers of two.
+
+    For each total the item that reached it first is kept: what it leaves was reached by earlier items. The search ends when the target is reached.
+    """
     items = []
     for s, m in sorted(sizes, reverse=True):
         k = 1
-        while m > 0 and s >= unit:
+        while m > 0:
             items.append((s, min(k, m)))
             m -= k
             k *= 2
-    goal = target // unit
-    limit = (1 << (goal + 2)) - 1 if unit > 1 else (1 << (min(total, 2 * target) + 1)) - 1
-    seen = [1]
-    for s, k in items:
-        seen.append((seen[-1] | seen[-1] << (s * k // unit)) & limit)
-    bits = seen[-1]
-    below = (bits & ((1 << (goal + 1)) - 1)).bit_length() - 1
-    above = bits >> (goal + 1)
-    reach = below
-    if unit == 1 and above:
-        up = goal + 1 + (above & -above).bit_length() - 1
-        reach = up if up - goal < goal - below else below
-    taken: dict[int, int] = {}
-    rest = reach
-    for i in range(len(items) - 1, -1, -1):
-        s, k = items[i]
-        if not seen[i] >> rest & 1:
-            taken[s] = taken.get(s, 0) + k
-            rest -= s * k // unit
-    left = target - sum(s * k for s, k in taken.items())
-    for s, m in sorted(sizes, reverse=True):
-        if left <= 0:
+    # the closest total above the target exceeds it by less than a group
+    high = min(sum(s * m for s, m in sizes), 2 * target, target + max((s for s, _ in sizes), default=0))
+    words = high // 64 + 1
+    limit = (1 << (high + 1)) - 1
+    first = np.zeros(words * 64, np.int16 if len(items) < 1 << 15 else np.int32)
+    bits = 1
+    for i, (s, k) in enumerate(items):
+        if bits >> target & 1:
             break
-        free = m - taken.get(s, 0)
-        k = min(free, left // s)
-        if k > 0:
-            taken[s] = taken.get(s, 0) + k
-            left -= k * s
+        if s * k > high:
+            continue
+        more = bits << s * k & limit & ~bits
+        new = np.frombuffer(more.to_bytes(words * 8, "little"), "<u8")
+        there = np.flatnonzero(new)
+        for lo in range(0, len(there), 1 << 15):
+            at = there[lo : lo + (1 << 15)]
+            row, col = np.nonzero(np.unpackbits(new[at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            first[at[row] * 64 + col] = i
+        bits |= more
+    below = (bits & ((1 << (target + 1)) - 1)).bit_length() - 1
+    above = bits >> (target + 1)
+    rest = below
+    if above:
+        up = target + (above & -above).bit_length()
+        rest = up if up - target < target - below else below
+    taken: dict[int, int] = {}
+    while rest > 0:
+        s, k = items[first[rest]]
+        taken[s] = taken.get(s, 0) + k
+        rest -= s * k
     return taken
 
 
