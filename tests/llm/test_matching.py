@@ -61,3 +61,13 @@ def test_close_pairs_finds_all(spark):
 def test_calibration_rises():
     c = ma.calibrate([0, 0, 1, 0, 9, 50], [30, 20, 5, 9, 1, 0])
     assert all(x <= y for x, y in zip(c, c[1:])) and c[0] < 0.1 and c[-1] > 0.9
+
+
+def test_a_group_far_shifted_is_searched_again(spark):
+    a, b, truth = world(4, (27.0, -31.0), 7, 1.1)
+    near_a, near_b, near_truth = world(1, (7.0, -5.0), 2, 1.15)
+    a, b = ([("far", *r[1:]) for r in x] + y for x, y in ((a, near_a), (b, near_b)))
+    ta, tb = (ma.tracks(spark.createDataFrame(r, SCHEMA), "seq", "cell", "frame", "X", "Y", "Area") for r in (a, b))
+    got = {(r["g"], r["b"]): r["a"] for r in ma.match(ta, tb).collect()}
+    for g, want in (("far", truth), ("s", near_truth)):
+        assert {k: v for (h, k), v in got.items() if h == g and k in want} == want

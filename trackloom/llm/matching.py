@@ -10,7 +10,7 @@ the common readings then become confidences, calibrated on how often a score bel
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,8 @@ class Match:
     q_size: float = 0.3  # the same for the logarithm of the size
     weights: tuple[float, float, float] = (0.4, 0.4, 0.2)  # of x, y and size
     confidence: float = 0.5  # pairs below are no matches
+    weak: float = 0.5  # a group with good scores for less than this share of b's tracks is searched again
+    wide: float = 4.0  # by so many times the shift, most and lag
 
 
 _TRACK = "array<struct<t:int,x:float,y:float,s:float>>"
@@ -222,6 +224,26 @@ def calibrate(best: list[int], other: list[int]) -> list[float]:
     return [x / n for x, n, k in blocks for _ in range(int(k))]
 
 
+def searched_pairs(a: DataFrame, b: DataFrame, m: Match = Match()) -> DataFrame:  # noqa: B008
+    """``scored_pairs``; groups whose shift found few matches are searched again more widely.
+
+    The wide search counts for a group if it gives ``m.weak`` of b's tracks a good score (0.5), which a false shift cannot.
+    """
+    a, b = stage(a), stage(b)
+    p = stage(scored_pairs(a, b, m))
+    size = b.groupBy("g").agg(F.count(F.lit(1)).alias("n_b"))
+    good = lambda d: d.where("score >= 0.5").groupBy("g").agg(F.countDistinct("b").alias("good"))
+    # a single track agrees with anything
+    share = F.coalesce("good", F.lit(0)) / F.col("n_b")
+    weak = stage(size.join(a.select("g").distinct(), "g").join(good(p), "g", "left").where((share < m.weak) & (F.col("n_b") >= 3)).select("g"))
+    if not weak.limit(1).count():
+        return p
+    far = replace(m, shift=m.wide * m.shift, most=m.wide * m.most, lag=round(m.wide * m.lag))
+    q = stage(scored_pairs(a.join(weak, "g", "left_semi"), b.join(weak, "g", "left_semi"), far))
+    better = stage(good(q).join(size, "g").where((share >= m.weak) & (F.col("good") >= 3)).select("g"))
+    return p.join(better, "g", "left_anti").unionByName(q.join(better, "g", "left_semi"))
+
+
 def match(a: DataFrame, b: DataFrame, m: Match = Match()) -> DataFrame:  # noqa: B008
     """Tracks of ``b`` with the track of ``a`` that is the same thing: ``g, a, b, common, score, confidence``.
 
@@ -229,7 +251,7 @@ def match(a: DataFrame, b: DataFrame, m: Match = Match()) -> DataFrame:  # noqa:
     an a may have several b. Pairs below ``m.confidence`` are left out. Groups that only one source has, and empty tables, give no rows.
     The calibration needs counts in 20 bins of scores, all that reaches the driver.
     """
-    p = stage(scored_pairs(a, b, m))
+    p = stage(searched_pairs(a, b, m))
     best = p.groupBy("g", "b").agg(F.max(F.struct("strict", "common", (-F.col("a")).alias("a"), "score")).alias("m"))
     best = stage(best.select("g", (-F.col("m.a")).alias("a"), "b", "m.common", "m.score"))
     bin_ = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
