@@ -20,10 +20,12 @@ def test_cheapest_links(spark):
         x, y = rnd.uniform(0, 300), rnd.uniform(0, 300)
         for f in range(10):
             rows.append(("s", f, c, x + f, y + rnd.uniform(-0.5, 0.5)))
-    rows += [("s", 3, 90, 900.0, 900.0), ("s", 4, 91, 899.0, 898.0), ("s", 4, 92, 901.0, 903.0), ("s", 5, 93, None, 1.0)]
+    rows += [("s", 3, 90, 900.0, 900.0), ("s", 4, 91, 899.0, 898.0), ("s", 4, 92, 901.0, 902.0), ("s", 5, 93, None, 1.0)]
+    rows += [("s", 3, 94, 600.0, 600.0), ("s", 4, 95, 599.0, 598.0), ("s", 4, 96, 601.0, 603.0)]
     df = spark.createDataFrame(rows, "seq string, frame int, label int, x double, y double")
     got = {(r["frame"], r["label"]): r["before"] for r in tr.cheapest_links(df, 6.0, 3.0).collect()}
     assert got[(4, 91)] == got[(4, 92)] == 90  # both cost less than appearing
+    assert got[(4, 95)] == 94 and (4, 96) not in got  # 3.16 and 3 for a second successor cost more than appearing
     own = [(f, c) for f in range(1, 10) for c in range(30)]
     assert sum(got.get(k) == k[1] for k in own) >= 0.95 * len(own)
     assert tr.cheapest_links(df.where("false")).collect() == []

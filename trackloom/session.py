@@ -14,10 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def one_process(master: str) -> bool:
+    """Whether ``master`` runs driver and executors as one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset and all runs in one process.
+
+    On a cluster a folder of one machine would be a different one for every executor, so an unset folder raises ValueError there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not one_process(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-trackloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
