@@ -59,7 +59,7 @@ def test_the_part_of_a_cut_passage_that_holds(spark):
     df = spark.createDataFrame([(i, " ".join(take(30) + d[n] + take(30))) for i, n in enumerate(names)], "doc_id long, text string")
     t = spark.createDataFrame([(1, " ".join(p))], "item long, passage string")
     got = {names[r["id"]]: r["words"] for r in le.leaks(df, "doc_id", "text", t, "item", ["passage"]).collect()}
-    assert got == {"16+13": 16, "15+11": 15, "20+20": 20, "second part": 16, "replaced": 16, "long gap after": 16, "long gap before": 16, "twice": 40}
+    assert got == {"16+13": 16, "15+11": 15, "20+20": 20, "second part": 16, "replaced": 16, "long gap after": 26, "long gap before": 26, "twice": 40, "every fifth": 59}
 
 
 def test_short_pieces_around_an_interruption(spark):
@@ -70,3 +70,37 @@ def test_short_pieces_around_an_interruption(spark):
     t = spark.createDataFrame([(1, " ".join(p))], "item long, passage string")
     got = le.leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", t, "item", ["passage"]).collect()
     assert {rows[i] for i in range(len(rows))} - {rows[r["id"]] for r in got} == set()
+
+
+def leaked(spark, passage, docs):
+    """Which of ``docs`` (name: words) hold a stretch of the passage."""
+    names = list(docs)
+    df = spark.createDataFrame([(i, " ".join(docs[n])) for i, n in enumerate(names)], "doc_id long, text string")
+    t = spark.createDataFrame([(1, " ".join(passage))], "item long, passage string")
+    return {names[r["id"]] for r in le.leaks(df, "doc_id", "text", t, "item", ["passage"]).collect()}
+
+
+def test_two_and_three_of_fifteen_words_replaced(spark):
+    from itertools import combinations
+
+    p = random.Random(5).sample(VOCAB, 15)
+    triples = random.Random(6).sample(list(combinations(range(1, 14), 3)), 120)
+    bads = [(), *((i,) for i in range(15)), *combinations(range(15), 2), *triples]
+    docs = {b: take(25) + ["zzqq" + str(i) if i in b else w for i, w in enumerate(p)] + take(25) for b in bads}
+    inner = {b for b in bads if 0 not in b and 14 not in b}  # a stretch whose first or last word is replaced has fewer than 15
+    assert leaked(spark, p, docs) == inner
+    # four of fifteen are too many, and another number tells something else
+    worse = {b: ["zzqq" if i in b else w for i, w in enumerate(p)] for b in [(2, 5, 8, 11), (3, 4, 9, 12)]}
+    assert leaked(spark, p, worse) == set()
+    q = [*p[:7], "476", *p[7:14]]
+    assert leaked(spark, q, {"same": q, "other": [*q[:7], "810", *q[8:]], "word": [*q[:7], "many", *q[8:]]}) == {"same", "word"}
+
+
+def test_interruptions_of_any_length(spark):
+    docs, p = {}, random.Random(8).sample(VOCAB, 20)
+    for n in (4, 30, 60, 200, 5000):
+        docs[n, "one"] = take(30) + p[:10] + take(n) + p[10:] + take(30)
+        docs[n, "two"] = take(3000) + p[:7] + take(n) + p[7:13] + take(n) + p[13:]
+        docs[n, "altered"] = p[:4] + ["zzqq"] + p[5:10] + take(n) + p[10:15] + ["zzqq"] + p[16:]
+        docs[n, "turned"] = p[10:] + take(n) + p[:10]  # the pieces stand in another order
+    assert leaked(spark, p, docs) == {k for k in docs if k[1] != "turned"}

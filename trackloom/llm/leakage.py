@@ -2,7 +2,7 @@
 
 Texts become rows of normalised words. A mask names some positions of a window and leaves out others; the words at the named
 positions give a hash, so that a window still hits when words at the left-out positions differ. The hashes of all
-windows of the test texts are joined with those of all windows of all documents. Around the hits the two texts are aligned
+windows of the test texts are joined with those of all documents. Where they meet, the two texts are aligned
 word by word, allowing altered and missing words and interruptions, and the longest stretch of the test text is measured.
 """
 
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +29,13 @@ class Search:
     words: int = 15  # words of the test text that a document must hold in a row
     # positions that count; together they hit any 15 words of which any 3 are altered
     masks: tuple[tuple[int, ...], ...] = ((0, 1, 2, 4, 5), (0, 1, 3, 7, 8), (0, 3, 4, 5, 6))
-    agree: float = 0.88  # share of a stretch's words that must agree
-    least: int = 9  # equal less unequal words of the best stretches on the diagonals hit, from which on an alignment is tried in any case
-    apart: int = 24  # words that an interruption may hold
-    block: int = 2_000_000  # hashes of test windows that are sent to the tasks at once
+    agree: float = 0.8  # share of a stretch's words that must be equal or near: 12 of 15, as many as the masks look for
+    equal: float = 0.66  # share of them that must be equal
+    left: int = 3  # successive words of the test text that a stretch may lack
+    around: int = 48  # words of a long document that are looked at beyond what a hit's test text would cover
+    whole: int = 4096  # documents of up to so many words are looked at whole
+    block: int = 1 << 26  # characters of test texts that the tasks hold at once when they verify
+    rows: int = 1 << 20  # test windows up to which their table is broadcast for the join
 
 
 # the character itself first: a search for one of a set skips fast
@@ -80,56 +84,6 @@ def _windows(tok: np.ndarray, masks: tuple[tuple[int, ...], ...]) -> Iterator[tu
         yield span, h * c[62]
 
 
-class Index:
-    """The windows of a block of test texts, sorted by hash, with a bit table in front."""
-
-    def __init__(self, texts: list[tuple[int, str]], s: Search):
-        hashes, self.bits_of = _Hashes(), _Bits()
-        self.item, self.words, self.word_of, self.rows, self.letters, tok = [], [], [], [], [], []
-        for item, text in texts:
-            w, of = [], []
-            for i, part in enumerate(_DIGITS.sub("", text or "").split()):
-                got = words(part)
-                w += got
-                of += [i] * len(got)
-            if of and of[-1] - of[0] + 1 >= s.words:
-                self.item.append(item)
-                self.words.append(w)
-                self.word_of.append(np.array(of))
-                self.letters.append(letters(w, self.bits_of))
-                # fewest words, as compared, in a stretch of s.words (places without any, such as dashes, count there too)
-                self.rows.append(int((np.searchsorted(of, np.array(of) + s.words - 1) - np.arange(len(of)))[np.array(of) + s.words - 1 <= of[-1]].min()) + 1)
-                tok.append(np.array([hashes[x] for x in w], np.uint64))
-        self.tok = np.concatenate(tok) if tok else np.empty(0, np.uint64)
-        self.start = np.concatenate([[0], np.cumsum([len(t) for t in tok])]).astype(np.int64)
-        h, at = [], []
-        for e, t in enumerate(tok):
-            for _, x in _windows(t, s.masks):
-                h.append(x)
-                at.append(self.start[e] + np.arange(len(x)))
-        self.hash = np.concatenate(h) if h else np.empty(0, np.uint64)
-        self.at = np.concatenate(at) if at else np.empty(0, np.int64)
-        order = np.argsort(self.hash, kind="stable")
-        self.hash, self.at = self.hash[order], self.at[order]
-        self.bits = 20
-        while 1 << (self.bits - 4) < len(self.hash) and self.bits < 28:
-            self.bits += 1
-        self.there = np.zeros(1 << self.bits, bool)
-        self.there[(self.hash >> np.uint64(64 - self.bits)).astype(np.int64)] = True
-
-    def hits(self, tok: np.ndarray, ends: np.ndarray, s: Search) -> tuple[np.ndarray, np.ndarray]:
-        """(place in tok, place in self.tok) of all equal windows; ``ends``: where the text of each word ends."""
-        js, is_ = [], []
-        for span, h in _windows(tok, s.masks):
-            maybe = np.flatnonzero(self.there[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
-            maybe = maybe[maybe + span <= ends[maybe]]
-            lo, hi = np.searchsorted(self.hash, h[maybe], "left"), np.searchsorted(self.hash, h[maybe], "right")
-            n = hi - lo
-            js.append(np.repeat(maybe, n))
-            is_.append(self.at[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
-        return np.concatenate(js), np.concatenate(is_)
-
-
 def near(a: str, b: str) -> bool:
     """Whether two words differ by a light alteration: one or two letters changed, added, left out or swapped."""
     if a == b:
@@ -152,35 +106,82 @@ def near(a: str, b: str) -> bool:
     return row[-1] <= most
 
 
-_MISS, _OPEN, _STEP = 2.5, 1.0, 0.05
+class _Bits(dict):
+    def __missing__(self, w: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        bits = 0
+        for c in set(w):
+            bits |= 1 << (ord(c) & 63)
+        self[w] = bits
+        return bits
+
+
+def letters(ws: list[str], known: _Bits) -> tuple[np.ndarray, np.ndarray]:
+    """Per word its set of letters as 64 bits, and its length."""
+    return np.array([known[w] for w in ws], np.uint64), np.array([len(w) for w in ws], np.int64)
+
+
+def parts_of(text: str) -> tuple[list[str], np.ndarray]:
+    """The words of a test text as compared, and for each the number of the word of the text (as written) that it stands in."""
+    w, of = [], []
+    for i, part in enumerate(_DIGITS.sub("", text or "").split()):
+        got = words(part)
+        w += got
+        of += [i] * len(got)
+    return w, np.array(of, np.int64)
+
+
+class Test:
+    """A test text made ready for comparison."""
 
+    def __init__(self, item: int, text: str, hashes: dict, bits_of: dict, s: Search):
+        self.item = item
+        self.words, self.of = parts_of(text)
+        of = self.of
+        self.tok = np.array([hashes[x] for x in self.words], np.uint64)
+        self.letters = letters(self.words, bits_of)
+        self.digits = np.array([w.isdigit() for w in self.words], bool)
+        # fewest words, as compared, in a stretch of s.words (places without any, such as dashes, count there too)
+        begins = of + s.words - 1 <= of[-1]
+        self.rows = int((np.searchsorted(of, of + s.words - 1) - np.arange(len(of)))[begins].min()) + 1
 
-def align(same: np.ndarray, apart: int) -> list[tuple[int, int]]:
+
+_MISS, _OPEN, _STEP, _FAR = 0.3, 1.0, 0.05, 4.0
+
+
+def align(same: np.ndarray, at: np.ndarray, most: int = 1 << 25) -> list[tuple[int, int]]:
     """Best local alignment of rows (test words) and columns (document words): the aligned pairs, in order.
 
-    An equal pair counts 1, an unequal one and a test word left out -2.5; words put in between cost 1 and 0.05 each, at most ``apart``.
+    ``at`` holds the columns' places in the document (-1: a cut, that nothing is aligned with). An equal pair counts 1, an unequal one and a test word left out
+    -0.3; words put in between cost 1 and 0.05 each, but never more than 4, so that two pieces of five words are joined over any interruption. Rows are
+    halved, with an overlap, where rows times columns exceed ``most``.
     """
     n, m = same.shape
-    score = np.where(same, 1.0, -_MISS)
-    h = np.zeros((n + 1, m + 1))  # best alignment that ends at or, after words put in, before this column
-    base = np.zeros((n + 1, m + 1))  # the same without words put in at the end
-    j = np.arange(m + 1)
-    step = _STEP * j
-    late = step + _OPEN
+    if n * m > most and n > 256:
+        half, lap = n // 2, n // 8
+        first, second = align(same[: half + lap], at, most), align(same[half - lap :], at, most)
+        return first if len(first) >= len(second) else [(i + half - lap, j) for i, j in second]
+    score = np.where(same, np.float32(1), np.float32(-_MISS))
+    score[:, at < 0] = -1e6
+    h = np.zeros((n + 1, m + 1), np.float32)  # best alignment that ends at or, after words put in, before this column
+    base = np.zeros((n + 1, m + 1), np.float32)  # the same without words put in at the end
+    place = np.maximum.accumulate(np.concatenate([[0], at + 1]))
+    step = (_STEP * (place - place[0])).astype(np.float32)
+    late = step + np.float32(_OPEN)
     for i in range(1, n + 1):
         best = base[i]
         np.add(h[i - 1, :-1], score[i - 1], out=best[1:])
-        np.maximum(best, h[i - 1] - _MISS, out=best)
-        np.maximum(best, 0.0, out=best)
+        np.maximum(best, h[i - 1] - np.float32(_MISS), out=best)
+        np.maximum(best, 0, out=best)
         np.maximum(best, np.maximum.accumulate(best + step) - late, out=h[i])
+        np.maximum(h[i], np.maximum.accumulate(best) - np.float32(_FAR), out=h[i])
     i, k = (int(x) for x in np.unravel_index(int(base.argmax()), h.shape))
     pairs = []
     while i > 0 and k > 0 and h[i, k] > 0:
         if h[i, k] > base[i, k]:  # words put in: back to where they begin
-            to = int(np.argmax(base[i, : k + 1] + step[: k + 1]))
-            if k - to > apart:
-                break
-            k = to
+            near_, far = int(np.argmax(base[i, : k + 1] + step[: k + 1])), int(np.argmax(base[i, : k + 1]))
+            k = near_ if base[i, near_] + step[near_] - late[k] >= base[i, far] - _FAR else far
         if base[i, k] <= 0:
             break
         if base[i, k] == h[i - 1, k - 1] + score[i - 1, k - 1]:
@@ -190,55 +191,37 @@ def align(same: np.ndarray, apart: int) -> list[tuple[int, int]]:
     return pairs[::-1]
 
 
-def few_lost(there: np.ndarray, rows: int) -> bool:
-    """Whether an alignment of ``rows`` or more test words can exist: its first ``rows`` count above 0, so most of them occur."""
-    lost = np.concatenate([[0], np.cumsum(~there)])
-    return bool((lost[rows:] - lost[: len(lost) - rows]).min() * (1 + _MISS) < rows)
-
-
 def longest_run(rows: np.ndarray, of: np.ndarray, agree: float) -> tuple[int, int]:
     """First and last of the agreeing ``rows`` (rising) that hold most words of the text while ``agree`` of the rows between them agree."""
-    k, n = np.arange(len(rows)), of[rows]
-    count = k[None, :] - k[:, None] + 1
-    fits = (count > 0) & (count >= agree * (rows[None, :] - rows[:, None] + 1))
-    a, b = np.unravel_index(int(np.where(fits, n[None, :] - n[:, None] + 1, 0).argmax()), fits.shape)
-    return int(a), int(b)
-
-
-class _Bits(dict):
-    def __missing__(self, w: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        bits = 0
-        for c in set(w):
-            bits |= 1 << (ord(c) & 63)
-        self[w] = bits
-        return bits
-
-
-def letters(ws: list[str], known: _Bits) -> tuple[np.ndarray, np.ndarray]:
-    """Per word its set of letters as 64 bits, and its length."""
-    return np.array([known[w] for w in ws], np.uint64), np.array([len(w) for w in ws], np.int64)
+    n = of[rows]
+    # the share holds from a to b where u[b + 1] >= u[a]; the best b of each a is the last such, found on the maxima from behind
+    k = np.arange(len(rows))
+    begin, end = k - agree * rows, k + 1 - agree * (rows + 1)
+    behind = np.maximum.accumulate(end[::-1])[::-1]
+    last = len(rows) - 1 - np.searchsorted(behind[::-1], begin - 1e-9, side="left")
+    a = int(np.argmax(n[last] - n))
+    return a, int(last[a])
 
 
 _near = functools.lru_cache(1 << 17)(near)
 _Letters = tuple[np.ndarray, np.ndarray]
 
 
-def could_hold(test: list[str], of: np.ndarray, doc: list[str], x: _Letters, y: _Letters, rows: int, same: np.ndarray, s: Search, free: np.ndarray) -> bool:
+def could_hold(t: Test, doc: list[str], y: _Letters, same: np.ndarray, s: Search, free: np.ndarray) -> bool:
     """Whether words for a stretch occur at all, in whatever order: ``s.agree`` of its words need an equal (``free``) or a near one.
 
-    ``x`` and ``y`` are the ``letters`` of the test text and of the document, ``rows`` the fewest words of a stretch.
+    ``y`` holds the ``letters`` of the document.
     """
     there = free.any(axis=1)
 
     def enough() -> bool:  # some rows or more of which s.agree are there
         f = np.concatenate([[0.0], np.cumsum(there - s.agree)])
-        return bool((f[rows:] >= np.minimum.accumulate(f[: len(f) - rows]) - 1e-9).any())
+        return bool((f[t.rows :] >= np.minimum.accumulate(f[: len(f) - t.rows]) - 1e-9).any())
 
     at = np.flatnonzero(~there)
     if not len(at):
         return True
+    x = t.letters
     n = np.maximum(x[1][at, None], y[1])
     most = (n >= 4).astype(np.int8) + (n >= 8)
     # one alteration changes the set of letters by two at most
@@ -248,28 +231,43 @@ def could_hold(test: list[str], of: np.ndarray, doc: list[str], x: _Letters, y:
         return False
     there[at] = False
     for i, j in np.argwhere(close).tolist():
-        there[at[i]] = there[at[i]] or _near(test[at[i]], doc[j])
+        there[at[i]] = there[at[i]] or _near(t.words[at[i]], doc[j])
     return enough()
 
 
-def stretch(test: list[str], of: np.ndarray, doc: list[str], same: np.ndarray, s: Search, holds: Callable[[np.ndarray], bool] = np.any) -> int:
+def _parted(pairs: list[tuple[int, int]], t: Test, digits: np.ndarray, left: int) -> Iterator[list[tuple[int, int]]]:
+    """``pairs`` cut where more than ``left`` test words are missing, and where the document has another number in a test number's stead: there it tells something else."""
+    part = pairs[:1]
+    for (i, j), (k, m) in zip(pairs, pairs[1:], strict=False):
+        if k - i - 1 > left or t.digits[i + 1 : k].any() and digits[j + 1 : m].any() and m - j <= 2 * (k - i) + 2:
+            yield part
+            part = []
+        part.append((k, m))
+    if part:
+        yield part
+
+
+def stretch(t: Test, doc: list[str], at: np.ndarray, same: np.ndarray, s: Search, holds: Callable[[np.ndarray], bool] = np.any) -> int:
     """Words of the test text in its longest stretch that the document's words hold; 0 if there is none.
 
     Where an alignment as a whole agrees too little, its longest run that does agree counts. Its pairs are then taken out and the rest is
     aligned again, as long as ``holds`` says so.
     """
-    agrees = lambda i, j: same[i, j] or near(test[i], doc[j])
-    free, most = same.copy(), 0
-    while most < of[-1] - of[0] + 1 and (pairs := align(free, s.apart)):
+    agrees = lambda i, j: same[i, j] or (at[j] >= 0 and near(t.words[i], doc[j]))
+    of, free, most = t.of, same.copy(), 0
+    digits = np.array([w.isdigit() for w in doc], bool)
+    while most < of[-1] - of[0] + 1 and (pairs := align(free, at)):
         taken = tuple(np.array(pairs).T)
         # a lightly altered word at an end belongs to the stretch
         got = _grown([p for p in pairs if agrees(*p)], agrees, same.shape)
-        if got:
-            a, b = longest_run(np.array([i for i, _ in got]), of, s.agree)
-            run = _grown(got[a : b + 1], agrees, same.shape)
-            most = max(most, int(of[run[-1][0]] - of[run[0][0]] + 1))
+        for part in _parted(got, t, digits, s.left):
+            a, b = longest_run(np.array([i for i, _ in part]), of, s.agree)
+            run = _grown(part[a : b + 1], agrees, same.shape)
+            if sum(same[p] for p in run) >= s.equal * len(run):
+                most = max(most, int(of[run[-1][0]] - of[run[0][0]] + 1))
+        before = int(free.sum())
         free[taken] = False
-        if not holds(free):
+        if int(free.sum()) == before or not holds(free):
             break
     return most
 
@@ -285,111 +283,177 @@ def _grown(pairs: list[tuple[int, int]], agrees: Callable[[int, int], bool], sha
     return pairs
 
 
-def leaks_of(ids: list[int], texts: list[str | None], index: Index, hashes: dict, s: Search) -> list[tuple[int, int, int]]:
-    """(document, test item, words of the longest stretch) for a batch of documents."""
-    lists = [words(t) for t in texts]
-    flat = [hashes[w] for ws in lists for w in ws]
-    if not flat or not len(index.hash):
-        return []
-    tok = np.array(flat, np.uint64)
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    doc_of = np.repeat(np.arange(len(lists)), np.diff(starts))
-    j, i = index.hits(tok, starts[1:][doc_of], s)
-    if not len(j):
-        return []
-    e = np.searchsorted(index.start, i, side="right") - 1
-    d = doc_of[j]
-    diagonal = j - i + index.start[e]  # where the test text would begin in tok
-    u = np.unique(np.stack([d, e, diagonal]), axis=1)
-    d, e, diagonal = u
-    size = np.diff(index.start)[e]
-    cell = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    col = np.repeat(diagonal, size) + cell
-    inside = (col >= np.repeat(starts[d], size)) & (col < np.repeat(starts[d + 1], size))
-    equal = inside & (tok[np.clip(col, 0, len(tok) - 1)] == index.tok[np.repeat(index.start[e], size) + cell])
-    # best stretch of each diagonal, an equal word counting 1 and an unequal one -1; a drop per diagonal restarts the running minimum
-    drop = np.repeat(np.arange(len(size), dtype=np.int64) * (2 * int(size.max()) + 2), size)
-    sums = np.cumsum(np.where(equal, 1, -1))
-    before = np.where(cell == 0, sums - np.where(equal, 1, -1), np.concatenate([[0], sums[:-1]]))
-    count = np.maximum.reduceat(sums - (np.minimum.accumulate(before - drop) + drop), np.cumsum(size) - size)
-    # The first words of an alignment, as many as a stretch has, count above 0: of those that the document holds nowhere there are few. The bits may only say "there" too often.
-    bits = max(16, (16 * len(tok)).bit_length())
-    c = _coefficients()
-    bit = lambda doc, w: ((w ^ (doc.astype(np.uint64) * c[61])) * c[60]) >> np.uint64(64 - bits)
-    held = np.zeros(1 << bits, bool)
-    held[bit(doc_of, tok)] = True
-    lost = np.concatenate([[0], np.cumsum(~held[bit(np.repeat(d, size), index.tok[np.repeat(index.start[e], size) + cell])])])
-    rows = np.array(index.rows)[e]
-    begin = np.arange(len(cell))
-    end = begin + np.repeat(rows, size)
-    few = np.where(cell + np.repeat(rows, size) <= np.repeat(size, size), lost[np.minimum(end, len(cell))] - lost[begin], len(cell))
-    likely = np.minimum.reduceat(few, np.cumsum(size) - size) * (1 + _MISS) < rows
-    # diagonals of one pair that lie within an interruption of each other are one place
-    new = np.concatenate([[True], (d[1:] != d[:-1]) | (e[1:] != e[:-1]) | (np.diff(diagonal) > s.apart)])
-    place = np.cumsum(new) - 1
-    total = np.bincount(place, np.where(count > 3, count, 0))
-    found: dict[tuple[int, int], int] = {}
-    sets: dict[int, _Letters] = {}
-    first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(d)) - 1
-    for p in np.flatnonzero((total >= s.least) | likely[first]).tolist():
-        doc, entry = int(d[first[p]]), int(e[first[p]])
-        key = (ids[doc], index.item[entry])
-        of = index.word_of[entry]
-        if found.get(key, 0) >= of[-1] - of[0] + 1:
-            continue
-        lo = max(int(starts[doc]), int(diagonal[first[p]]) - s.apart)
-        hi = min(int(starts[doc + 1]), int(diagonal[last[p]]) + len(index.words[entry]) + s.apart)
-        test = index.tok[index.start[entry] : index.start[entry + 1]]
-        same = test[:, None] == tok[None, lo:hi]
-        text = lists[doc][lo - int(starts[doc]) : hi - int(starts[doc])]
-        if total[p] < s.least and not few_lost(same.any(axis=1), index.rows[entry]):
+def columns(n: int, rows: int, diagonals: np.ndarray, s: Search) -> np.ndarray:
+    """Places of a document of ``n`` words that an alignment looks at: all, or those around the hits, with -1 at every cut."""
+    if n <= s.whole:
+        return np.arange(n)
+    lo, hi = np.maximum(diagonals - s.around, 0), np.minimum(diagonals + rows + s.around, n)
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    new = np.concatenate([[True], lo[1:] > hi[:-1]])
+    begin, end = lo[new], np.append(hi[:-1][new[1:]], hi[-1])
+    out = [x for a, b in zip(begin.tolist(), end.tolist(), strict=True) for x in (np.arange(a, b), np.array([-1]))]
+    return np.concatenate(out[:-1])
+
+
+def leaks_of(docs: list[list[str]], hits: list[list[tuple[int, int]]], tests: dict[int, Test], hashes: dict, bits_of: dict, s: Search) -> list[tuple[int, int, int]]:
+    """(number of the document, test item, words of the longest stretch); ``hits``: per document (key of a test text, place where it would begin)."""
+    out: dict[tuple[int, int], int] = {}
+    for d, (doc, own) in enumerate(zip(docs, hits, strict=True)):
+        by: dict[int, list[int]] = {}
+        for e, diagonal in own:
+            if e in tests:
+                by.setdefault(e, []).append(diagonal)
+        if not by:
             continue
-        if doc not in sets:
-            sets[doc] = letters(lists[doc], index.bits_of)
-        y = tuple(v[lo - int(starts[doc]) : hi - int(starts[doc])] for v in sets[doc])
-        holds = functools.partial(could_hold, index.words[entry], of, text, index.letters[entry], y, index.rows[entry], same, s)
-        if not holds(same):
-            continue
-        got = stretch(index.words[entry], of, text, same, s, holds)
-        found[key] = max(found.get(key, 0), got)
-    return [(a, b, n) for (a, b), n in found.items() if n >= s.words]
+        tok = np.array([hashes[w] for w in doc], np.uint64)
+        here = np.sort(tok)
+        found = [tests[e] for e in by]
+        # of the words of a stretch, few may be missing from the document
+        every = np.concatenate([t.tok for t in found])
+        lost = np.concatenate([[0], np.cumsum(here[np.minimum(np.searchsorted(here, every), len(here) - 1)] != every)])
+        begin, sets = 0, None
+        for t, diagonals in zip(found, by.values(), strict=True):
+            part = lost[begin : begin + len(t.tok) + 1]
+            begin += len(t.tok)
+            if (part[t.rows :] - part[: len(part) - t.rows]).min() > (1 - s.equal) * t.rows + 1e-9:
+                continue
+            key = (d, t.item)
+            if out.get(key, 0) >= t.of[-1] - t.of[0] + 1:
+                continue
+            at = columns(len(doc), len(t.tok), np.array(diagonals), s)
+            sets = sets or letters(doc, bits_of)
+            same = (t.tok[:, None] == tok[None, at]) & (at >= 0)
+            text = [doc[j] if j >= 0 else "" for j in at.tolist()] if len(at) != len(doc) else doc
+            holds = functools.partial(could_hold, t, text, tuple(v[at] for v in sets), same, s)
+            if holds(same):
+                out[key] = max(out.get(key, 0), stretch(t, text, at, same, s, holds))
+    return [(a, b, n) for (a, b), n in out.items() if n >= s.words]
+
+
+def _test_windows(s: Search) -> object:
+    """Rows hash, e, place of all windows of the test texts e, text; texts that are too short give none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for b in batches:
+            e, h, at = [], [], []
+            for key, text in zip(b.column("e").to_pylist(), b.column("text").to_pylist(), strict=True):
+                w, of = parts_of(text)
+                if len(of) and of[-1] - of[0] + 1 >= s.words:
+                    for _, x in _windows(np.array([hashes[v] for v in w], np.uint64), s.masks):
+                        h.append(x)
+                        at.append(np.arange(len(x), dtype=np.int32))
+                        e.append(np.full(len(x), key, np.int64))
+            if h:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(e)), pa.array(np.concatenate(at))], names=["hash", "e", "place"])
+
+    return run
+
+
+def bit_table(windows: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """Bits and the table of which leading bits of a hash occur, as bytes: at most 16 MB, however many windows there are."""
+    bits = min(27, max(20, (16 * n).bit_length()))
+    b = F.shiftrightunsigned("hash", 64 - bits)
+    rows = windows.groupBy(F.shiftright(b, 3).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (b % 8).cast("int"))).cast("int").alias("v")).toArrow()
+    table = np.zeros(1 << (bits - 3), np.uint8)
+    table[rows["at"].to_numpy()] = rows["v"].to_numpy()
+    return bits, table
+
+
+def _seen(shared: object, bits: int, s: Search) -> object:
+    """Documents with windows that may be in the test texts: id, row, words (with spaces between), hits (hash, place)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, hashes = shared.value, _Hashes()
+        row = TaskContext.get().partitionId() << 33
+        shift, low = np.uint64(64 - bits), np.uint64(7)
+        for b in batches:
+            for first in range(0, b.num_rows, 2000):
+                c = b.slice(first, 2000)
+                lists = [words(t) for t in c.column("text").to_pylist()]
+                tok = np.array([hashes[w] for ws in lists for w in ws], np.uint64)
+                size = np.array([len(x) for x in lists], np.int64)
+                ends = np.cumsum(size)
+                doc_of = np.repeat(np.arange(len(lists)), size)
+                of, place, found = [], [], []
+                for span, h in _windows(tok, s.masks):
+                    at = h >> shift
+                    maybe = np.flatnonzero(there[(at >> np.uint64(3)).astype(np.int64)] >> (at & low).astype(np.uint8) & 1)
+                    maybe = maybe[maybe + span <= ends[doc_of[maybe]]]
+                    of.append(doc_of[maybe])
+                    place.append(maybe - (ends - size)[doc_of[maybe]])
+                    found.append(h[maybe])
+                of, place, found = np.concatenate(of), np.concatenate(place), np.concatenate(found)
+                order = np.argsort(of, kind="stable")
+                kept, n = np.unique(of, return_counts=True)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                lists_ = [pa.ListArray.from_arrays(offsets, pa.array(v[order])) for v in (found.view(np.int64), place.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(
+                    [c.column("id").take(pa.array(kept)), pa.array(row + np.arange(len(kept), dtype=np.int64)), pa.array([" ".join(lists[k]) for k in kept.tolist()], pa.string()), *lists_], names=["id", "row", "words", "hash", "place"])
+                row += len(kept)
+
+    return run
+
+
+@functools.lru_cache(maxsize=1)
+def _ready(shared: object, s: Search) -> tuple[dict[int, Test], dict, dict]:
+    """The test texts of a broadcast made ready, once per worker process."""
+    hashes, bits_of = _Hashes(), _Bits()
+    return {e: Test(item, text, hashes, bits_of, s) for e, item, text in shared.value}, hashes, bits_of
+
+
+def _verified(shared: object, s: Search) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tests, hashes, bits_of = _ready(shared, s)
+        for b in batches:
+            ids = b.column("id").to_pylist()
+            hits = [[(h["e"], h["diagonal"]) for h in own] for own in b.column("hits").to_pylist()]
+            rows = leaks_of([w.split(" ") for w in b.column("words").to_pylist()], hits, tests, hashes, bits_of, s)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[r[0]] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], ty) for k, ty in ((1, pa.int64()), (2, pa.int32())))], names=["id", "item", "words"])
+
+    return run
 
 
 def leaks(docs: DataFrame, id_: str, text: str, tests: DataFrame, item: str, parts: list[str], s: Search = Search()) -> DataFrame:  # noqa: B008
     """Documents that hold at least ``s.words`` successive words of a test item: ``id, item, words`` (of the longest stretch).
 
     ``parts`` are the columns of ``tests`` that hold its texts. Words may be altered, left out or interrupted as long as ``s.agree`` of the
-    stretch agree. NULL and empty texts hold nothing; NULL ids are left out; repeated documents or items give one row; empty
-    tables give none. Test texts of fewer than ``s.words`` words cannot leak.
+    stretch's words are equal or near and ``s.equal`` equal and no more than ``s.left`` in a row are missing; another number in a number's stead ends a stretch. NULL and empty texts hold nothing; NULL ids are
+    left out; repeated documents or items give one row; empty tables give none. Test texts of fewer than ``s.words`` words cannot leak.
 
-    The documents are read where they lie, nothing of them is shuffled or collected. The hashes of the test texts go to the tasks as a broadcast, in blocks of
-    at most ``s.block`` windows (a larger test set takes several passes over the documents).
+    The documents are read once. A table of bits of fixed size drops the windows that no test text has; the others are joined with the test windows
+    by their hashes (broadcast up to ``s.rows`` of them, shuffled beyond), and documents where they meet are verified. Only test texts
+    reach the tasks whole, in blocks of ``s.block`` characters, which go over the hits again, not over the documents.
     """
     spark = docs.sparkSession
     t = None
     for p in parts:
         x = tests.select(F.col(f"`{item}`").cast("long").alias("item"), F.col(f"`{p}`").alias("text")).where("item is not null and text is not null")
         t = x if t is None else t.unionByName(x)
-    t = stage(t.distinct())
-    size = t.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] * len(s.masks) // 4 + 1
-    blocks = -(-size // s.block)
+    t = stage(t.distinct().withColumn("e", F.xxhash64("item", "text")))
+    windows = stage(t.select("e", "text").mapInArrow(_test_windows(s), "hash long, e long, place int"))
+    n, used = windows.agg(F.count(F.lit(1)), F.count_distinct("e")).first()
+    empty = spark.createDataFrame([], "id long, item long, words int")
+    if not n:
+        return empty
+    bits, there = bit_table(windows, n)
     d = docs.select(F.col(f"`{id_}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null and text is not null")
-    out = None
+    seen = stage(d.mapInArrow(_seen(spark.sparkContext.broadcast(there), bits, s), "id long, row long, words string, hash array<long>, place array<int>"))
+    of_doc = seen.select("row", F.explode(F.arrays_zip("hash", "place")).alias("w")).select("row", "w.hash", F.col("w.place").alias("j"))
+    of_test = F.broadcast(windows) if n <= s.rows else windows
+    hit = of_doc.join(of_test, "hash").select("row", F.struct("e", (F.col("j") - F.col("place")).alias("diagonal")).alias("h"))
+    hits = hit.groupBy("row").agg(F.collect_set("h").alias("hits"))
+    used_texts = t.join(windows.select("e").distinct(), "e", "left_semi").select("e", "item", "text")
+    blocks = -(-(used_texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] + 1) // s.block)
+    found = None
     for k in range(blocks):
-        part = t.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else t
-        shared = spark.sparkContext.broadcast(sorted((r[0], r[1]) for r in part.collect()))
-        one = d.mapInArrow(_finder(shared, s), "id long, item long, words int")
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("id", "item").agg(F.max("words").alias("words"))
-
-
-def _finder(shared: object, s: Search) -> object:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, hashes = Index(shared.value, s), _Hashes()
-        for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                c = b.slice(lo, 2000)
-                rows = leaks_of(c.column("id").to_pylist(), c.column("text").to_pylist(), index, hashes, s)
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], ty) for k, ty in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["id", "item", "words"])
-
-    return run
+        mine = lambda e, k=k: F.pmod(e, F.lit(blocks)) == k
+        shared = spark.sparkContext.broadcast([tuple(r) for r in used_texts.where(mine(F.col("e"))).collect()])
+        own = hits if blocks == 1 else hits.withColumn("hits", F.filter("hits", lambda h: mine(h["e"]))).where(F.size("hits") > 0)
+        one = own.join(seen.select("row", "id", "words"), "row").select("id", "words", "hits").mapInArrow(_verified(shared, s), "id long, item long, words int")
+        if blocks > 1:
+            one = stage(one)
+            shared.destroy()
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy("id", "item").agg(F.max("words").alias("words"))
