@@ -29,11 +29,11 @@ class Search:
     words: int = 15  # words of the test text that a document must hold in a row
     # positions that count; together they hit any 15 words of which any 3 are altered
     masks: tuple[tuple[int, ...], ...] = ((0, 1, 2, 4, 5), (0, 1, 3, 7, 8), (0, 3, 4, 5, 6))
-    agree: float = 0.8  # share of a stretch's words that must be equal or near: 12 of 15, as many as the masks look for
-    equal: float = 0.66  # share of them that must be equal
-    left: int = 3  # successive words of the test text that a stretch may lack
-    around: int = 48  # words of a long document that are looked at beyond what a hit's test text would cover
-    whole: int = 4096  # documents of up to so many words are looked at whole
+    straight: float = 0.8  # share of a stretch's words that must be equal or near where it stands word for word in its place: 12 of 15, as many as the masks look for
+    equal: float = 0.66  # share of those that must be equal
+    agree: float = 0.88  # share that must be equal or near where words are put in or left out
+    left: int = 3  # successive words of the test text that such a stretch may lack
+    around: int = 32  # a test word is looked for up to so many words from where a hit expects it; pieces farther off need hits of their own
     block: int = 1 << 26  # characters of test texts that the tasks hold at once when they verify
     rows: int = 1 << 20  # test windows up to which their table is broadcast for the join
 
@@ -92,6 +92,17 @@ def near(a: str, b: str) -> bool:
     most = 0 if n < 4 else 1 if n < 8 else 2
     if abs(len(a) - len(b)) > most or (a.isdigit() and b.isdigit()):
         return False
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi and a[lo] == b[lo]:
+        lo += 1
+    while hi > lo and a[hi - min(len(a), len(b)) - 1] == b[hi - min(len(a), len(b)) - 1]:
+        hi -= 1
+    # what differs, without the equal letters at both ends
+    a, b = a[lo : len(a) - min(len(a), len(b)) + hi], b[lo : len(b) - min(len(a), len(b)) + hi]
+    if most == 0 or (most == 1 and max(len(a), len(b)) > 1):
+        return most == 1 and len(a) == len(b) == 2 and a == b[::-1]
+    if len(a) == 0 or len(b) == 0:
+        return True
     row = list(range(len(b) + 1))
     before = row
     for i, x in enumerate(a, 1):
@@ -122,14 +133,21 @@ def letters(ws: list[str], known: _Bits) -> tuple[np.ndarray, np.ndarray]:
     return np.array([known[w] for w in ws], np.uint64), np.array([len(w) for w in ws], np.int64)
 
 
-def parts_of(text: str) -> tuple[list[str], np.ndarray]:
-    """The words of a test text as compared, and for each the number of the word of the text (as written) that it stands in."""
-    w, of = [], []
+def parts_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words of a test text as compared, for each the number of the word of the text (as written) that it stands in, and whether it is a name or a number.
+
+    Names are words with a capital that do not begin a sentence.
+    """
+    w, of, fixed = [], [], []
+    begins = True
     for i, part in enumerate(_DIGITS.sub("", text or "").split()):
         got = words(part)
         w += got
         of += [i] * len(got)
-    return w, np.array(of, np.int64)
+        name = not begins and any(c.isupper() for c in part[:3])
+        fixed += [name or x.isdigit() for x in got]
+        begins = part[-1] in ".!?:" if got else begins
+    return w, np.array(of, np.int64), np.array(fixed, bool)
 
 
 class Test:
@@ -137,7 +155,7 @@ class Test:
 
     def __init__(self, item: int, text: str, hashes: dict, bits_of: dict, s: Search):
         self.item = item
-        self.words, self.of = parts_of(text)
+        self.words, self.of, self.fixed = parts_of(text)
         of = self.of
         self.tok = np.array([hashes[x] for x in self.words], np.uint64)
         self.letters = letters(self.words, bits_of)
@@ -147,14 +165,28 @@ class Test:
         self.rows = int((np.searchsorted(of, of + s.words - 1) - np.arange(len(of)))[begins].min()) + 1
 
 
-_MISS, _OPEN, _STEP, _FAR = 0.3, 1.0, 0.05, 4.0
+class Tests:
+    """Test texts, at least one, laid end to end."""
+
+    def __init__(self, rows: list[tuple[int, int, str]], s: Search):
+        self.hashes, self.bits_of = _Hashes(), _Bits()
+        self.all = [Test(item, text, self.hashes, self.bits_of, s) for _, item, text in rows]
+        self.number = {e: i for i, (e, _, _) in enumerate(rows)}
+        self.start = np.concatenate([[0], np.cumsum([len(t.tok) for t in self.all])]).astype(np.int64)
+        self.tok = np.concatenate([t.tok for t in self.all])
+        self.rows = np.array([t.rows for t in self.all], np.int64)
+        self.letters = tuple(np.concatenate([t.letters[k] for t in self.all]) for k in (0, 1))
+        self.fixed = np.concatenate([t.fixed for t in self.all])
+
+
+_MISS, _OPEN, _STEP, _FAR = 2.5, 1.0, 0.05, 4.0
 
 
 def align(same: np.ndarray, at: np.ndarray, most: int = 1 << 25) -> list[tuple[int, int]]:
     """Best local alignment of rows (test words) and columns (document words): the aligned pairs, in order.
 
     ``at`` holds the columns' places in the document (-1: a cut, that nothing is aligned with). An equal pair counts 1, an unequal one and a test word left out
-    -0.3; words put in between cost 1 and 0.05 each, but never more than 4, so that two pieces of five words are joined over any interruption. Rows are
+    -2.5; words put in between cost 1 and 0.05 each, but never more than 4, so that two pieces of five words are joined over any interruption. Rows are
     halved, with an overlap, where rows times columns exceed ``most``.
     """
     n, m = same.shape
@@ -207,6 +239,13 @@ _near = functools.lru_cache(1 << 17)(near)
 _Letters = tuple[np.ndarray, np.ndarray]
 
 
+def may_be_near(x: _Letters, y: _Letters) -> np.ndarray:
+    """Whether words may be near by their letters and lengths: one alteration changes the set of letters by two at most."""
+    n = np.maximum(x[1], y[1])
+    most = (n >= 4).astype(np.int8) + (n >= 8)
+    return (most > 0) & (np.bitwise_count(x[0] ^ y[0]) <= 2 * most) & (np.abs(x[1] - y[1]) <= most)
+
+
 def could_hold(t: Test, doc: list[str], y: _Letters, same: np.ndarray, s: Search, free: np.ndarray) -> bool:
     """Whether words for a stretch occur at all, in whatever order: ``s.agree`` of its words need an equal (``free``) or a near one.
 
@@ -221,11 +260,7 @@ def could_hold(t: Test, doc: list[str], y: _Letters, same: np.ndarray, s: Search
     at = np.flatnonzero(~there)
     if not len(at):
         return True
-    x = t.letters
-    n = np.maximum(x[1][at, None], y[1])
-    most = (n >= 4).astype(np.int8) + (n >= 8)
-    # one alteration changes the set of letters by two at most
-    close = (np.bitwise_count(x[0][at, None] ^ y[0]) <= 2 * most) & (np.abs(x[1][at, None] - y[1]) <= most) & (most > 0) & ~same[at]
+    close = may_be_near((t.letters[0][at, None], t.letters[1][at, None]), y) & ~same[at]
     there[at] = close.any(axis=1)
     if not enough():
         return False
@@ -263,8 +298,7 @@ def stretch(t: Test, doc: list[str], at: np.ndarray, same: np.ndarray, s: Search
         for part in _parted(got, t, digits, s.left):
             a, b = longest_run(np.array([i for i, _ in part]), of, s.agree)
             run = _grown(part[a : b + 1], agrees, same.shape)
-            if sum(same[p] for p in run) >= s.equal * len(run):
-                most = max(most, int(of[run[-1][0]] - of[run[0][0]] + 1))
+            most = max(most, int(of[run[-1][0]] - of[run[0][0]] + 1))
         before = int(free.sum())
         free[taken] = False
         if int(free.sum()) == before or not holds(free):
@@ -284,51 +318,120 @@ def _grown(pairs: list[tuple[int, int]], agrees: Callable[[int, int], bool], sha
 
 
 def columns(n: int, rows: int, diagonals: np.ndarray, s: Search) -> np.ndarray:
-    """Places of a document of ``n`` words that an alignment looks at: all, or those around the hits, with -1 at every cut."""
-    if n <= s.whole:
-        return np.arange(n)
+    """Places of a document of ``n`` words that an alignment looks at: those around the (rising) diagonals hit, with -1 at every cut."""
     lo, hi = np.maximum(diagonals - s.around, 0), np.minimum(diagonals + rows + s.around, n)
-    order = np.argsort(lo, kind="stable")
-    lo, hi = lo[order], np.maximum.accumulate(hi[order])
     new = np.concatenate([[True], lo[1:] > hi[:-1]])
     begin, end = lo[new], np.append(hi[:-1][new[1:]], hi[-1])
+    if len(begin) == 1:
+        return np.arange(begin[0], end[0])
     out = [x for a, b in zip(begin.tolist(), end.tolist(), strict=True) for x in (np.arange(a, b), np.array([-1]))]
     return np.concatenate(out[:-1])
 
 
-def leaks_of(docs: list[list[str]], hits: list[list[tuple[int, int]]], tests: dict[int, Test], hashes: dict, bits_of: dict, s: Search) -> list[tuple[int, int, int]]:
-    """(number of the document, test item, words of the longest stretch); ``hits``: per document (key of a test text, place where it would begin)."""
+def banded(rows: int, at: np.ndarray, diagonals: np.ndarray, s: Search) -> np.ndarray:
+    """Which cells lie up to ``s.around`` words from a hit's diagonal."""
+    off = at[None, :] - np.arange(rows)[:, None]
+    # diagonals that lie close together make one band
+    cut = np.flatnonzero(np.diff(diagonals) > 2 * s.around + 1)
+    band = np.zeros(off.shape, bool)
+    for a, b in zip(diagonals[np.append(0, cut + 1)].tolist(), diagonals[np.append(cut, len(diagonals) - 1)].tolist(), strict=True):
+        band |= (off >= a - s.around) & (off <= b + s.around)
+    return band & (at >= 0)
+
+
+def straight(t: Test, doc: list[str], tok: np.ndarray, diagonal: int, s: Search) -> int:
+    """Words of the longest stretch of the test text that stands in the document word for word from ``diagonal`` on, ``s.straight`` of them equal or near."""
+    lo, hi = max(0, -diagonal), min(len(t.tok), len(doc) - diagonal)
+    rows = np.arange(lo, hi)
+    same = t.tok[lo:hi] == tok[lo + diagonal : hi + diagonal]
+    other = np.flatnonzero(~same)
+    there = same.copy()
+    there[other] = [_near(t.words[lo + k], doc[lo + k + diagonal]) for k in other.tolist()]
+    # where a name or a number is replaced the text tells something else
+    ends = [*np.flatnonzero(~there & t.fixed[lo:hi]).tolist(), len(rows)]
+    most, begin = 0, 0
+    for end in ends:
+        own = np.flatnonzero(there[begin:end]) + begin
+        begin = end + 1
+        if len(own):
+            a, b = longest_run(rows[own], t.of, s.straight)
+            if same[own[a : b + 1]].sum() >= s.equal * (own[b] - own[a] + 1):
+                most = max(most, int(t.of[rows[own[b]]] - t.of[rows[own[a]]] + 1))
+    return most
+
+
+def leaks_of(docs: list[list[str]], doc_of: np.ndarray, key: np.ndarray, diagonal: np.ndarray, tests: Tests, s: Search) -> list[tuple[int, int, int]]:
+    """(number of the document, test item, words of the longest stretch) of documents as words.
+
+    The hits: number of the document, number of the test text and the place in the document where that would begin.
+    """
+    if not len(doc_of):
+        return []
+    hashes = tests.hashes
+    flat = [w for ws in docs for w in ws]
+    tok = np.array([hashes[w] for w in flat], np.uint64)
+    sets = letters(flat, tests.bits_of)
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in docs])]).astype(np.int64)
+    order = np.lexsort((diagonal, key, doc_of))
+    d, e, diagonal = doc_of[order], key[order], diagonal[order]
     out: dict[tuple[int, int], int] = {}
-    for d, (doc, own) in enumerate(zip(docs, hits, strict=True)):
-        by: dict[int, list[int]] = {}
-        for e, diagonal in own:
-            if e in tests:
-                by.setdefault(e, []).append(diagonal)
-        if not by:
+
+    def note(doc: int, item: int, n: int) -> None:
+        if n >= s.words:
+            out[doc, item] = max(out.get((doc, item), 0), n)
+
+    # every word of the test text on every diagonal
+    size, rows = np.diff(tests.start)[e], tests.rows[e]
+    first = np.cumsum(size) - size
+    cell = np.arange(size.sum()) - np.repeat(first, size)
+    mine = np.repeat(tests.start[e], size) + cell
+    own = tests.tok[mine]
+    place = np.repeat(diagonal, size) + cell
+    inside = (place >= 0) & (place < np.repeat(np.diff(starts)[d], size))
+    col = np.where(inside, place + np.repeat(starts[d], size), 0)
+    equal = inside & (tok[col] == own)
+    close = equal | (inside & may_be_near(tuple(v[mine] for v in tests.letters), tuple(v[col] for v in sets)))
+
+    def windows(there: np.ndarray, cell: np.ndarray, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """How many are there in each window of a stretch's words; -1 where no window begins."""
+        sums = np.concatenate([[0], np.cumsum(there)])
+        span = np.repeat(rows, size)
+        return np.where(cell + span <= np.repeat(size, size), sums[np.minimum(np.arange(len(cell)) + span, len(cell))] - sums[:-1], -1)
+
+    share = lambda x: np.repeat(np.ceil(x * rows - 1e-9), size)
+    good = (windows(close, cell, rows, size) >= share(s.straight)) & (windows(equal, cell, rows, size) >= share(s.equal)) & (windows(tests.fixed[mine] & ~close, cell, rows, size) == 0)
+    for k in np.flatnonzero(np.logical_or.reduceat(good, first)).tolist():
+        t = tests.all[e[k]]
+        note(int(d[k]), t.item, straight(t, docs[d[k]], tok[starts[d[k]] : starts[d[k] + 1]], int(diagonal[k]), s))
+    # every pair: few of the first words of an alignment, as many as a stretch has, are missing near where the hits expect them, as they count above 0
+    new = np.concatenate([[True], (d[1:] != d[:-1]) | (e[1:] != e[:-1])])
+    heads = np.flatnonzero(new)
+    c = _coefficients()
+    mixed = lambda doc, w: ((w ^ (doc.astype(np.uint64) * c[61])) * c[60]) >> np.uint64(24) << np.uint64(24)
+    at = np.arange(len(tok)) - np.repeat(starts[:-1], np.diff(starts))
+    stands = np.sort(mixed(np.repeat(np.arange(len(docs)), np.diff(starts)), tok) + at.astype(np.uint64))
+    want = mixed(np.repeat(d, size), own)
+    next_ = stands[np.minimum(np.searchsorted(stands, want + np.maximum(place - s.around, 0).astype(np.uint64)), len(stands) - 1)]
+    held = (next_ >= want) & (next_ - want <= np.maximum(place + s.around, 0).astype(np.uint64)) & (place + s.around >= 0)
+    psize, prows = size[heads], rows[heads]
+    pfirst = np.cumsum(psize) - psize
+    there = np.zeros(int(psize.sum()), bool)
+    there[(np.repeat(pfirst[np.cumsum(new) - 1], size) + cell)[held]] = True
+    have = windows(there, np.arange(len(there)) - np.repeat(pfirst, psize), prows, psize)
+    likely = (prows - np.maximum.reduceat(have, pfirst)) * (1 + _MISS) < prows
+    ends = np.append(heads[1:], len(d))
+    for k, end in zip(heads[likely].tolist(), ends[likely].tolist(), strict=True):
+        n, t = int(d[k]), tests.all[e[k]]
+        if out.get((n, t.item), 0) >= t.of[-1] - t.of[0] + 1:
             continue
-        tok = np.array([hashes[w] for w in doc], np.uint64)
-        here = np.sort(tok)
-        found = [tests[e] for e in by]
-        # of the words of a stretch, few may be missing from the document
-        every = np.concatenate([t.tok for t in found])
-        lost = np.concatenate([[0], np.cumsum(here[np.minimum(np.searchsorted(here, every), len(here) - 1)] != every)])
-        begin, sets = 0, None
-        for t, diagonals in zip(found, by.values(), strict=True):
-            part = lost[begin : begin + len(t.tok) + 1]
-            begin += len(t.tok)
-            if (part[t.rows :] - part[: len(part) - t.rows]).min() > (1 - s.equal) * t.rows + 1e-9:
-                continue
-            key = (d, t.item)
-            if out.get(key, 0) >= t.of[-1] - t.of[0] + 1:
-                continue
-            at = columns(len(doc), len(t.tok), np.array(diagonals), s)
-            sets = sets or letters(doc, bits_of)
-            same = (t.tok[:, None] == tok[None, at]) & (at >= 0)
-            text = [doc[j] if j >= 0 else "" for j in at.tolist()] if len(at) != len(doc) else doc
-            holds = functools.partial(could_hold, t, text, tuple(v[at] for v in sets), same, s)
-            if holds(same):
-                out[key] = max(out.get(key, 0), stretch(t, text, at, same, s, holds))
-    return [(a, b, n) for (a, b), n in out.items() if n >= s.words]
+        doc, lo, hi = docs[n], starts[n], starts[n + 1]
+        at = columns(len(doc), len(t.tok), diagonal[k:end], s)
+        same = (t.tok[:, None] == tok[lo:hi][None, at]) & banded(len(t.tok), at, diagonal[k:end], s)
+        text = [doc[j] if j >= 0 else "" for j in at.tolist()]
+        holds = functools.partial(could_hold, t, text, tuple(v[lo:hi][at] for v in sets), same, s)
+        if holds(same):
+            note(n, t.item, stretch(t, text, at, same, s, holds))
+    return [(a, b, n) for (a, b), n in out.items()]
 
 
 def _test_windows(s: Search) -> object:
@@ -339,7 +442,7 @@ def _test_windows(s: Search) -> object:
         for b in batches:
             e, h, at = [], [], []
             for key, text in zip(b.column("e").to_pylist(), b.column("text").to_pylist(), strict=True):
-                w, of = parts_of(text)
+                w, of, _ = parts_of(text)
                 if len(of) and of[-1] - of[0] + 1 >= s.words:
                     for _, x in _windows(np.array([hashes[v] for v in w], np.uint64), s.masks):
                         h.append(x)
@@ -397,20 +500,25 @@ def _seen(shared: object, bits: int, s: Search) -> object:
 
 
 @functools.lru_cache(maxsize=1)
-def _ready(shared: object, s: Search) -> tuple[dict[int, Test], dict, dict]:
+def _ready(shared: object, s: Search) -> Tests:
     """The test texts of a broadcast made ready, once per worker process."""
-    hashes, bits_of = _Hashes(), _Bits()
-    return {e: Test(item, text, hashes, bits_of, s) for e, item, text in shared.value}, hashes, bits_of
+    return Tests(shared.value, s)
 
 
 def _verified(shared: object, s: Search) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests, hashes, bits_of = _ready(shared, s)
+        tests = _ready(shared, s)
         for b in batches:
-            ids = b.column("id").to_pylist()
-            hits = [[(h["e"], h["diagonal"]) for h in own] for own in b.column("hits").to_pylist()]
-            rows = leaks_of([w.split(" ") for w in b.column("words").to_pylist()], hits, tests, hashes, bits_of, s)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[r[0]] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], ty) for k, ty in ((1, pa.int64()), (2, pa.int32())))], names=["id", "item", "words"])
+            for lo in range(0, b.num_rows, 1000):
+                c = b.slice(lo, 1000)
+                hits = c.column("hits")
+                own = hits.flatten()
+                key = np.array([tests.number.get(e, -1) for e in own.field("e").to_pylist()], np.int64)
+                doc_of = np.repeat(np.arange(c.num_rows), hits.value_lengths().to_numpy())
+                mine = key >= 0
+                rows = leaks_of([w.split(" ") for w in c.column("words").to_pylist()], doc_of[mine], key[mine], own.field("diagonal").to_numpy().astype(np.int64)[mine], tests, s)
+                ids = c.column("id").take(pa.array([r[0] for r in rows], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[k] for r in rows], ty) for k, ty in ((1, pa.int64()), (2, pa.int32())))], names=["id", "item", "words"])
 
     return run
 
@@ -418,8 +526,9 @@ def _verified(shared: object, s: Search) -> object:
 def leaks(docs: DataFrame, id_: str, text: str, tests: DataFrame, item: str, parts: list[str], s: Search = Search()) -> DataFrame:  # noqa: B008
     """Documents that hold at least ``s.words`` successive words of a test item: ``id, item, words`` (of the longest stretch).
 
-    ``parts`` are the columns of ``tests`` that hold its texts. Words may be altered, left out or interrupted as long as ``s.agree`` of the
-    stretch's words are equal or near and ``s.equal`` equal and no more than ``s.left`` in a row are missing; another number in a number's stead ends a stretch. NULL and empty texts hold nothing; NULL ids are
+    ``parts`` are the columns of ``tests`` that hold its texts. Words may be altered as long as ``s.straight`` of the stretch's words are equal
+    or near; where words are left out or put in, ``s.agree`` of them. Interruptions may have any length. Another number in a number's stead ends a stretch;
+    so does any word in the stead of a name or number where fewer than ``s.agree`` agree. NULL and empty texts hold nothing; NULL ids are
     left out; repeated documents or items give one row; empty tables give none. Test texts of fewer than ``s.words`` words cannot leak.
 
     The documents are read once. A table of bits of fixed size drops the windows that no test text has; the others are joined with the test windows
