@@ -87,3 +87,38 @@ def test_many_whole_copies(spark):
     assert len(got) == len(set(got)) and set(got) == want
     n = {r["id"]: (r["n_shared"], r["n_partners"]) for r in spans.shared_lengths(df, "doc_id", "text").collect()}
     assert n[1] == (2000, 61) and n[100] == (900, 3) and n[200] == (400, 60) and n[201] == (0, 0) and n[202] == (610, 63)
+
+
+def parts(df, lv=spans.Levels()):  # noqa: B008
+    marks = spans.stage(spans.blocks(df, "doc_id", "text", lv))
+    own = marks.where("place >= 0").select("id", "place", "name").distinct()
+    return marks, spans.stage(spans.recompressed(own, lv.reach() + lv.after()))
+
+
+def test_a_formula_that_many_share_gives_no_candidates(spark):
+    rnd = random.Random(4)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    formula = text(250)
+    docs = {i: text(rnd.randint(100, 400)) + formula + text(rnd.randint(100, 400)) for i in range(400)}
+    docs[500] = text(100) + docs[7][80:900]
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    _, symbols = parts(df)
+    assert spans.candidates(df, "doc_id", "text", symbols, spans.Levels()).count() < 400
+    assert [tuple(r) for r in spans.span_pairs(df, "doc_id", "text").collect()] == [(7, 500)]
+
+
+def test_whole_copies_and_long_stretches_become_symbols(spark):
+    rnd = random.Random(5)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    one = text(6000)
+    docs = {1: one, 2: one, 3: text(500) + one[1000:5000] + text(500), 4: text(6000), 5: "abc " * 900, 6: "abc " * 900 + "x"}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    marks, symbols = parts(df)
+    assert {(r["id"], r["rep"]) for r in spans.copies(marks).collect()} == {(1, 1), (2, 1)}
+    rows = symbols.collect()
+    long_ = {(r["id"], r["last"] - r["start"]) for r in rows if r["level"] > 0}
+    assert max(n for i, n in long_ if i == 1) == max(n for i, n in long_ if i == 2) > 5000
+    assert not any(i == 4 for i, _ in long_)
+    # every symbol that went into another lies inside it
+    at = {(r["id"], r["name"], r["start"]): r["last"] for r in rows}
+    assert all(at[r["id"], r["up"], r["start"] - r["role"]] >= r["last"] for r in rows if r["up"] is not None)

@@ -32,8 +32,8 @@ class Search:
     straight: float = 0.8  # share of a stretch's words that must be equal or near where it stands word for word in its place: 12 of 15, as many as the masks look for
     equal: float = 0.66  # share of those that must be equal
     agree: float = 0.88  # share that must be equal or near where words are put in or left out
-    left: int = 3  # successive words of the test text that such a stretch may lack
-    around: int = 32  # a test word is looked for up to so many words from where a hit expects it; pieces farther off need hits of their own
+    left: int = 3  # successive words of the test text that a stretch may lack
+    around: int = 24  # a test word is looked for up to so many words from where a hit expects it; pieces farther off need hits of their own
     block: int = 1 << 26  # characters of test texts that the tasks hold at once when they verify
     rows: int = 1 << 20  # test windows up to which their table is broadcast for the join
 
@@ -264,10 +264,13 @@ def could_hold(t: Test, doc: list[str], y: _Letters, same: np.ndarray, s: Search
     there[at] = close.any(axis=1)
     if not enough():
         return False
-    there[at] = False
-    for i, j in np.argwhere(close).tolist():
-        there[at[i]] = there[at[i]] or _near(t.words[at[i]], doc[j])
-    return enough()
+    # word by word, until too many have nothing near
+    for k, i in enumerate(at.tolist()):
+        if there[i] and not any(_near(t.words[i], doc[j]) for j in np.flatnonzero(close[k]).tolist()):
+            there[i] = False
+            if not enough():
+                return False
+    return True
 
 
 def _parted(pairs: list[tuple[int, int]], t: Test, digits: np.ndarray, left: int) -> Iterator[list[tuple[int, int]]]:
@@ -353,7 +356,7 @@ def straight(t: Test, doc: list[str], tok: np.ndarray, diagonal: int, s: Search)
     for end in ends:
         own = np.flatnonzero(there[begin:end]) + begin
         begin = end + 1
-        if len(own):
+        for own in np.split(own, np.flatnonzero(np.diff(own) > s.left + 1) + 1) if len(own) else ():
             a, b = longest_run(rows[own], t.of, s.straight)
             if same[own[a : b + 1]].sum() >= s.equal * (own[b] - own[a] + 1):
                 most = max(most, int(t.of[rows[own[b]]] - t.of[rows[own[a]]] + 1))
@@ -542,10 +545,9 @@ def leaks(docs: DataFrame, id_: str, text: str, tests: DataFrame, item: str, par
         t = x if t is None else t.unionByName(x)
     t = stage(t.distinct().withColumn("e", F.xxhash64("item", "text")))
     windows = stage(t.select("e", "text").mapInArrow(_test_windows(s), "hash long, e long, place int"))
-    n, used = windows.agg(F.count(F.lit(1)), F.count_distinct("e")).first()
-    empty = spark.createDataFrame([], "id long, item long, words int")
+    n = windows.count()
     if not n:
-        return empty
+        return spark.createDataFrame([], "id long, item long, words int")
     bits, there = bit_table(windows, n)
     d = docs.select(F.col(f"`{id_}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null and text is not null")
     seen = stage(d.mapInArrow(_seen(spark.sparkContext.broadcast(there), bits, s), "id long, row long, words string, hash array<long>, place array<int>"))
@@ -558,7 +560,10 @@ def leaks(docs: DataFrame, id_: str, text: str, tests: DataFrame, item: str, par
     found = None
     for k in range(blocks):
         mine = lambda e, k=k: F.pmod(e, F.lit(blocks)) == k
-        shared = spark.sparkContext.broadcast([tuple(r) for r in used_texts.where(mine(F.col("e"))).collect()])
+        texts = [tuple(r) for r in used_texts.where(mine(F.col("e"))).collect()]
+        if not texts:
+            continue
+        shared = spark.sparkContext.broadcast(texts)
         own = hits if blocks == 1 else hits.withColumn("hits", F.filter("hits", lambda h: mine(h["e"]))).where(F.size("hits") > 0)
         one = own.join(seen.select("row", "id", "words"), "row").select("id", "words", "hits").mapInArrow(_verified(shared, s), "id long, item long, words int")
         if blocks > 1:

@@ -1,12 +1,18 @@
 """Long exact spans shared between records, by recompression.
 
-A text is a row of symbols, at first its code points. In each round runs of one symbol become a symbol, then pairs of a left and
-a right symbol (a coin per name decides which) become a symbol. A symbol's name is a hash of what it is made of, so all
-tasks give equal stretches equal names without exchanging a dictionary. Only symbols of at most ``limit`` characters take
-part in a round, so whether a border survives depends on at most ``reach()`` characters around it: equal stretches
-have the same borders, but for ``reach()`` characters at their ends. Of these high-level borders, every one that is the least
-named (by the characters next to it) within some window stays: a landmark. A landmark's key names the stretch around it, which lies inside any shared
-span of the length asked for. Equal keys reveal the candidates; the text around them, compared as it is, verifies them.
+A text is a row of symbols, at first its code points. In each round runs of one symbol become a symbol, then pairs of neighbours
+become a symbol, so that equal stretches get equal symbols but for a few characters at their ends. Two kinds of rounds:
+
+* Over characters, inside tasks. A symbol's name is a hash of what it is made of, so that all tasks agree without a dictionary of every pair of letters. Only
+  symbols of at most ``limit`` characters take part in a round, so whether a border survives depends on at most ``reach()`` characters around it. Of these
+  borders, every one that is the least named within some window stays: a landmark. It and the stretch around it, which lies inside any shared span of the length
+  asked for, make a block, the symbol that the next rounds start from. Rounds without a limit make every text one symbol: equal texts have equal ones.
+* Over blocks, by Spark. Blocks that stand in one record only are dropped; runs and pairs of touching neighbours get names from one dictionary of
+  all records, which holds those that stand in more than one record. Rounds go on until nothing gets a name.
+
+Symbols reveal the shared spans from the highest down: two records share a symbol, and what it is made of need not be compared again where it stands in equal
+places of one higher symbol. A symbol of a span's length or more is a shared span; around shorter ones the texts decide, character by
+character, and where very many records share one, they are first split by what stands before and behind it.
 """
 
 from __future__ import annotations
@@ -60,45 +66,52 @@ def _pair(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return mix(mix(a + np.uint64(salt)) + b * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def borders(points: np.ndarray, texts: np.ndarray, limits: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Recompress texts laid end to end. ``texts``: where each begins, and the end of the last.
+class Row:
+    """Texts laid end to end as symbols: the name, the place and, for runs, the length of what is repeated (else 0) of each."""
 
-    Gives where each final symbol begins, its name, and for runs the length of what is repeated (0 for others).
-    """
-    name = mix(points.astype(np.uint64) + np.uint64(1))
-    at = np.arange(len(points), dtype=np.int64)
-    first = np.zeros(len(points) + 1, bool)
-    first[texts] = True
-    unit = np.zeros(len(points), np.int32)
-    for round_, limit in enumerate(limits):
-        # runs
-        size = np.diff(np.append(at, len(points)))
-        short = size <= limit
-        edge = first[at]
-        same = np.zeros(len(at), bool)
-        same[1:] = (name[1:] == name[:-1]) & short[1:] & ~edge[1:]
+    def __init__(self, points: np.ndarray, texts: np.ndarray):
+        self.n = len(points)
+        self.name = mix(points.astype(np.uint64) + np.uint64(1))
+        self.at = np.arange(self.n, dtype=np.int64)
+        self.unit = np.zeros(self.n, np.int32)
+        self.first = np.zeros(self.n + 1, bool)
+        self.first[texts] = True
+
+    def sizes(self) -> np.ndarray:
+        return np.diff(np.append(self.at, self.n))
+
+    def round(self, number: int, limit: int) -> None:
+        """Name runs, then pairs, of symbols of at most ``limit`` characters; none reaches over two texts."""
+        size = self.sizes()
+        short, edge = size <= limit, self.first[self.at]
+        same = np.zeros(len(self.at), bool)
+        same[1:] = (self.name[1:] == self.name[:-1]) & short[1:] & ~edge[1:]
         if same.any():
             head = np.flatnonzero(~same)
-            count = np.diff(np.append(head, len(at)))
+            count = np.diff(np.append(head, len(self.at)))
             long_ = count > 1
-            new = name[head]
-            new[long_] = _pair(new[long_], count[long_].astype(np.uint64), 2 * round_ + 1)
-            u = unit[head]
-            u[long_] = size[head[long_]]
-            name, at, unit, size = new, at[head], u, np.diff(np.append(at[head], len(points)))
-            short, edge = size <= limit, first[at]
-        # pairs
-        coin = (mix(name + np.uint64(round_ + 77)) >> np.uint64(40)) & np.uint64(1)
-        right = np.zeros(len(at), bool)
+            new, unit = self.name[head], self.unit[head]
+            new[long_] = _pair(new[long_], count[long_].astype(np.uint64), 2 * number + 1)
+            unit[long_] = size[head[long_]]
+            self.name, self.at, self.unit = new, self.at[head], unit
+            short, edge = self.sizes() <= limit, self.first[self.at]
+        coin = (mix(self.name + np.uint64(number + 77)) >> np.uint64(40)) & np.uint64(1)
+        right = np.zeros(len(self.at), bool)
         right[1:] = (coin[:-1] == 0) & (coin[1:] == 1) & short[1:] & short[:-1] & ~edge[1:]
         head = np.flatnonzero(~right)
         with_ = np.append(right[1:], False)[head]
-        new = name[head]
-        new[with_] = _pair(name[head[with_]], name[head[with_] + 1], 2 * round_ + 2)
-        u = unit[head]
-        u[with_] = 0
-        name, at, unit = new, at[head], u
-    return at, name, unit
+        new, unit = self.name[head], self.unit[head]
+        new[with_] = _pair(self.name[head[with_]], self.name[head[with_] + 1], 2 * number + 2)
+        unit[with_] = 0
+        self.name, self.at, self.unit = new, self.at[head], unit
+
+
+def whole(row: Row, texts: int, number: int) -> np.ndarray:
+    """The one symbol of each of the texts, all of which hold something."""
+    while len(row.at) > texts:
+        row.round(number, row.n)
+        number += 1
+    return row.name
 
 
 def _least_within(at: np.ndarray, rank: np.ndarray, text: np.ndarray, window: int) -> np.ndarray:
@@ -133,10 +146,12 @@ def _nearest_less(x: np.ndarray, strict: bool) -> np.ndarray:
     return near
 
 
-def _landmarks(points: np.ndarray, texts: np.ndarray, lv: Levels) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, place in the text and key of every landmark of a batch."""
-    at, name, unit = borders(points, texts, lv.limits)
-    size = np.diff(np.append(at, len(points)))
+def _landmarks(points: np.ndarray, texts: np.ndarray, lv: Levels) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, place in the text and name of every landmark's block, and two names of every whole text: its last symbol and a hash of its characters."""
+    row = Row(points, texts)
+    for number, limit in enumerate(lv.limits):
+        row.round(number, limit)
+    at, unit, size = row.at, row.unit, row.sizes()
     text = np.searchsorted(texts, at, side="right") - 1
     before, after = lv.reach(), lv.after()
     n = len(points)
@@ -173,7 +188,7 @@ def _landmarks(points: np.ndarray, texts: np.ndarray, lv: Levels) -> tuple[np.nd
         inner = inner & np.append(False, inner[:-1]) & np.append(inner[1:], False)
         inner[1:] &= place[1:] // lv.window() == place[:-1] // lv.window()
         of, key, place = of[~inner], key[~inner], place[~inner]
-    return of, place - texts[:-1][of], key
+    return of, place - texts[:-1][of], key, whole(row, len(texts) - 1, len(lv.limits)), stretch(texts[:-1], texts[1:])
 
 
 def _emit(lv: Levels, most: int = 1 << 20) -> object:
@@ -189,72 +204,159 @@ def _emit(lv: Levels, most: int = 1 << 20) -> object:
                 part = texts[start:stop]
                 points = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32)
                 offsets = np.concatenate([[0], np.cumsum([len(t) for t in part])]).astype(np.int64)
-                of, place, key = _landmarks(points, offsets, lv)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(ids[start:stop], np.int64)[of]), pa.array(place.astype(np.int32)), pa.array(key.view(np.int64))], names=["id", "place", "key"])
+                of, place, key, *names = _landmarks(points, offsets, lv)
+                own, n = np.array(ids[start:stop], np.int64), stop - start
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([own, own[of]])), pa.array(np.concatenate([np.full(n, -1, np.int32), place.astype(np.int32)])),
+                    pa.array(np.concatenate([names[0], key]).view(np.int64)), pa.array(np.concatenate([names[1], np.zeros(len(key), np.uint64)]).view(np.int64))], names=["id", "place", "name", "check"])
                 start = stop
 
     return run
 
 
-def landmarks(docs: DataFrame, id_: str, text: str, lv: Levels = Levels()) -> DataFrame:  # noqa: B008
-    """``id, place, key`` of every landmark. Texts shorter than a span have none. Nothing is shuffled."""
+def blocks(docs: DataFrame, id_: str, text: str, lv: Levels = Levels()) -> DataFrame:  # noqa: B008
+    """``id, place, name, check``: the block of every landmark, and at place -1 the names of the whole text. Texts shorter than a span have none. Nothing is shuffled."""
     d = docs.select(F.col(f"`{id_}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     d = d.where(F.col("id").isNotNull() & (F.length("text") >= lv.span))
-    return d.mapInArrow(_emit(lv), "id long, place int, key long")
+    return d.mapInArrow(_emit(lv), "id long, place int, name long, check long")
+
+
+def copies(marks: DataFrame) -> DataFrame:
+    """Records whose whole text, as one symbol, stands in several: ``id, rep``, the smallest id with that text (itself included)."""
+    d = marks.where("place = -1").select("id", "name", "check")
+    reps = d.groupBy("name", "check").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last")
+    return d.join(reps, ["name", "check"]).select("id", "rep").distinct()
 
 
-def copies(docs: DataFrame, id_: str, text: str, lv: Levels = Levels()) -> DataFrame:  # noqa: B008
-    """Records of at least a span whose whole text stands in several: ``id, rep``, the smallest id with that text (itself included)."""
-    d = docs.select(F.col(f"`{id_}`").cast("long").alias("id"), F.md5(F.col(f"`{text}`").cast("binary")).alias("h"), F.length(text).alias("n"))
-    d = stage(d.where(F.col("id").isNotNull() & (F.col("n") >= lv.span)).select("id", "h"))
-    reps = d.groupBy("h").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("h", "rep")
-    return d.join(reps, "h").select("id", "rep").distinct()
+_SYMBOL = ["id", "level", "name", "start", "last"]
 
 
-def shared_landmarks(docs: DataFrame, id_: str, text: str, same: DataFrame, lv: Levels = Levels()) -> DataFrame:  # noqa: B008
-    """Landmarks whose key stands in more than one record, with the text around them: id, place, key, mid, lead, tail, before, gap.
+def recompressed(kept: DataFrame, touch: int) -> DataFrame:
+    """All symbols over the blocks ``kept`` (id, place, name): id, level, name, start, last (landmark), up (name of the symbol that it went into, NULL: none) and role (its place in that).
 
-    ``mid`` is the key's stretch, ``lead`` and ``tail`` up to ``beyond()`` characters around it; ``before`` and ``gap`` tell the
-    record's shared landmark before this one, where their stretches touch. Of ``same`` (see ``copies``) only the representatives stay.
+    A round compares each symbol of a record with its neighbours, at most ``touch`` characters away: equal ones make a run; one whose hash is the least
+    among them makes a pair with the next. A run or pair gets a name in the round's dictionary if it stands in more than one record.
     """
-    marks = stage(landmarks(docs, id_, text, lv))
-    spread = marks.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    kept = marks.join(spread, "key").join(same.where("id <> rep").select("id"), "id", "left_anti")
-    w = Window.partitionBy("id").orderBy("place", "key")
-    kept = kept.withColumn("gap", F.col("place") - F.lag("place").over(w)).withColumn("before", F.lag("key").over(w))
-    touch = F.col("gap") <= lv.reach() + lv.after()
-    kept = kept.select("id", "place", "key", F.when(touch, F.col("before")).alias("before"), F.when(touch, F.col("gap")).alias("gap"))
-    whole = docs.select(F.col(f"`{id_}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), F.length(text).alias("n_chars"))
-    whole = whole.where(F.col("id").isNotNull() & (F.col("n_chars") >= lv.span))
-    d = kept.join(whole, "id")
-    lo = F.col("place") - lv.reach()  # 0-based start of the key's stretch
-    size, b = lv.reach() + lv.after(), lv.beyond()
+    row = kept.select("id", F.lit(0).alias("level"), "name", F.col("place").alias("start"), F.col("place").alias("last"))
+    done, number, idle = None, 0, 0
+    while idle < 2:
+        number += 1
+        w = Window.partitionBy("id").orderBy("start", "last", "name")
+        rank = F.xxhash64("name", F.lit(number))
+        d = row.withColumn("me", F.struct("level", "name", "start", "last", rank.alias("rank")))
+        d = d.withColumn("before", F.lag("me").over(w)).withColumn("next", F.lead("me").over(w))
+        d = d.withColumn("before", F.when(F.col("start") - F.col("before.last") <= touch, F.col("before"))).withColumn("next", F.when(F.col("next.start") - F.col("last") <= touch, F.col("next")))
+        alike = lambda c: F.coalesce((F.col(f"{c}.level") == F.col("level")) & (F.col(f"{c}.name") == F.col("name")), F.lit(False))
+        # a run's symbols are equal and equally far apart
+        d = d.withColumn("gap", F.when(alike("before"), F.col("start") - F.col("before.start"))).withColumn("on", F.col("gap").isNotNull() & (F.col("gap") == F.coalesce(F.lag("gap").over(w), "gap")))
+        d = d.withColumn("run", F.col("on") | F.coalesce(F.lead("on").over(w), F.lit(False))).withColumn("island", F.sum(F.when(F.col("on"), 0).otherwise(1)).over(w))
+        least = F.col("next").isNotNull() & (rank < F.coalesce("before.rank", F.lit((1 << 63) - 1))) & (rank <= F.col("next.rank"))
+        d = d.withColumn("head", ~F.col("run") & least & ~F.coalesce(F.lead("run").over(w), F.lit(True)))
+        d = d.withColumn("tail", F.coalesce(F.lag("head").over(w), F.lit(False)))
+        whole_run = Window.partitionBy("id", "island")
+        d = d.withColumn("from", F.min("start").over(whole_run)).withColumn("to", F.max("last").over(whole_run)).withColumn("count", F.count(F.lit(1)).over(whole_run)).withColumn("gap", F.max(F.when(F.col("on"), F.col("gap"))).over(whole_run))
+        first = F.when(F.col("run"), F.col("from")).when(F.col("head"), F.col("start")).when(F.col("tail"), F.col("before.start"))
+        end = F.when(F.col("run"), F.col("to")).when(F.col("head"), F.col("next.last")).when(F.col("tail"), F.col("last"))
+        parts = lambda a, b: F.xxhash64(F.lit(number), f"{a}.level", f"{a}.name", F.col(f"{b}.start") - F.col(f"{a}.start"), f"{b}.level", f"{b}.name")
+        made = F.when(F.col("run"), F.xxhash64(F.lit(number), "level", "name", "count", "gap")).when(F.col("head"), parts("me", "next")).when(F.col("tail"), parts("before", "me"))
+        d = stage(d.select(*_SYMBOL, made.alias("up"), first.alias("first"), end.alias("end")))
+        named = d.where("up is not null and start = first").groupBy("up").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("up", F.lit(True).alias("named"))
+        d = stage(d.join(named, "up", "left").withColumn("up", F.when(F.col("named"), F.col("up"))).drop("named"))
+        went = d.where("up is not null")
+        idle = 0 if went.limit(1).count() else idle + 1
+        up = went.where("start = first").select("id", F.lit(number).alias("level"), F.col("up").alias("name"), "start", F.col("end").alias("last")).distinct()
+        row = d.where("up is null").select(*_SYMBOL).unionByName(up)
+        went = went.select(*_SYMBOL, "up", (F.col("start") - F.col("first")).alias("role"))
+        done = went if done is None else done.unionByName(went)
+    return done.unionByName(row.select(*_SYMBOL, F.lit(None).cast("long").alias("up"), F.lit(None).cast("int").alias("role")))
+
+
+def dealt_pairs(rows: DataFrame, key: list[str], group: int = 512) -> DataFrame:
+    """Pairs of ``rows`` (with ``n``, how many share the key) of different records, the smaller id first: the key, and all other columns with _a and _b.
+
+    One side of a key with many rows is dealt over parts, to which the other side is copied, so that no task holds all pairs of a key.
+    """
+    parts = F.ceil(F.col("n") / group).cast("int")
+    a, b = (rows.select(*key, salt.alias("salt"), *(F.col(c).alias(f"{c}_{s}") for c in rows.columns if c not in (*key, "n"))) for s, salt in (
+        ("a", F.pmod(F.xxhash64("id", "start"), parts).cast("int")), ("b", F.explode(F.sequence(F.lit(0), parts - 1)))))
+    return a.join(b, [*key, "salt"]).where("id_a < id_b").drop("salt")
+
+
+#: the two rows of a pair are not the same part of one higher symbol
+_APART = "not coalesce(up_a = up_b and role_a = role_b, false)"
+
+
+def surrounded(symbols: DataFrame, docs: DataFrame, id_: str, text: str, lv: Levels) -> DataFrame:
+    """Short symbols with the text around them: ``mid`` (a hash of what the symbol covers), up to ``need`` characters before (``lead``) and behind (``tail``)."""
+    d = docs.select(F.col(f"`{id_}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    d = symbols.join(d.where(F.col("id").isNotNull() & (F.length("text") >= lv.span)), "id")
+    lo, size = F.col("start") - lv.reach(), F.col("last") - F.col("start") + lv.reach() + lv.after()
     return d.select(
-        "id", "place", "key", "before", "gap", F.substring("text", lo + 1, F.lit(size)).alias("mid"),
-        F.substring("text", F.greatest(lo - b, F.lit(0)) + 1, F.least(lo, F.lit(b))).alias("lead"),
-        F.substring("text", lo + size + 1, F.lit(b)).alias("tail"))
+        *symbols.columns, F.xxhash64(F.substring("text", lo + 1, size)).alias("mid"), F.substring("text", F.greatest(lo - F.col("need"), F.lit(0)) + 1, F.least(lo, F.col("need"))).alias("lead"),
+        F.substring("text", lo + size + 1, F.col("need")).alias("tail"))
 
 
-def span_matches(docs: DataFrame, id_: str, text: str, same: DataFrame, lv: Levels = Levels()) -> DataFrame:  # noqa: B008
-    """Where two records with different texts share a span: ``a, b, place_a, place_b``, the smaller id first; a row per maximal stretch and landmark start.
+def split_groups(rows: DataFrame, most: int = 16) -> DataFrame:
+    """Rows of ``surrounded`` with ``key``: rows of two records that share a span through their symbol share a key, of which ``n`` rows have one.
 
-    Exact: keys only find candidates, the stretch is compared character by character. Two records that share a long stretch share
-    many landmarks; the row is formed at the first of them only (where the shared landmarks before differ). Whole copies (``same``) are
-    left to their representatives, so that a text that stands in very many records is compared once.
+    Two such rows agree in as many characters before and behind the symbol as are needed in all, so in half of them (rounded up) before or behind. Keys of more than ``most`` rows are
+    split by these halves, then by halves of the rest, until few rows share one or nothing is needed any more: rows that share a symbol and nothing around it meet nobody.
+    """
+    open_ = rows.select("*", F.xxhash64("level", "name", "mid").alias("key"), F.lit(0).alias("ahead"), F.lit(0).alias("behind"))
+
+    def counted(d: DataFrame) -> DataFrame:
+        n = d.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "n")
+        return stage(d.join(n, "key"))
+
+    open_, ready = counted(open_), None
+    while True:
+        rest = F.col("need") - F.col("ahead") - F.col("behind")
+        fine = open_.where((F.col("n") <= most) | (rest <= 0))
+        ready = fine if ready is None else ready.unionByName(fine)
+        many = open_.where((F.col("n") > most) & (rest > 0)).drop("n")
+        if not many.limit(1).count():
+            return ready.drop("ahead", "behind")
+        half = F.ceil(rest / 2).cast("int")
+        before = F.when(F.length("lead") >= F.col("ahead") + half, F.struct(F.substr("lead", F.length("lead") - F.col("ahead") - half + 1, half).alias("s"), (F.col("ahead") + half).alias("ahead"), F.col("behind").alias("behind"), F.lit(0).alias("side")))
+        after = F.when(F.length("tail") >= F.col("behind") + half, F.struct(F.substr("tail", F.col("behind") + 1, half).alias("s"), F.col("ahead").alias("ahead"), (F.col("behind") + half).alias("behind"), F.lit(1).alias("side")))
+        many = many.withColumn("h", F.explode(F.filter(F.array(before, after), lambda x: x.isNotNull())))
+        many = many.withColumn("key", F.xxhash64("key", "h.side", "h.s")).withColumn("ahead", F.col("h.ahead")).withColumn("behind", F.col("h.behind")).drop("h")
+        open_ = counted(many)
+
+
+def candidates(docs: DataFrame, id_: str, text: str, symbols: DataFrame, lv: Levels) -> DataFrame:
+    """Pairs of short symbols' rows whose surroundings are to be compared; ``symbols``: rows of ``recompressed``."""
+    short = symbols.where(F.col("last") - F.col("start") + lv.reach() + lv.after() < lv.span)
+    short = short.withColumn("need", lv.span - lv.reach() - lv.after() - F.col("last") + F.col("start"))
+    return dealt_pairs(split_groups(surrounded(short, docs, id_, text, lv)), ["key"]).where(_APART)
+
+
+def span_matches(docs: DataFrame, id_: str, text: str, marks: DataFrame, same: DataFrame, lv: Levels = Levels()) -> DataFrame:  # noqa: B008
+    """Where two records with different texts share a span: ``a, b, place_a, place_b``, the smaller id first; a row or more per maximal stretch.
+
+    Symbols of at least a span are shared spans (two blocks or more make them up, each known by a 64-bit hash). Shorter ones must agree in a second 64-bit hash of
+    what they cover, and around that the texts are compared character by character.
+    Whole copies (``same``) are left to their representatives, so that a text that stands in very many records is compared once.
     """
-    m = stage(shared_landmarks(docs, id_, text, same, lv))
-    a, b = (m.select(*(F.col(c).alias(f"{c}_{s}") for c in m.columns)) for s in "ab")
-    same_before = F.coalesce((F.col("before_a") == F.col("before_b")) & (F.col("gap_a") == F.col("gap_b")), F.lit(False))
-    p = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("id_a") < F.col("id_b")) & ~same_before & (F.col("mid_a") == F.col("mid_b")))
-    need = lv.beyond()
+    own = marks.where("place >= 0").join(same.where("id <> rep").select("id"), "id", "left_anti").select("id", "place", "name").distinct()
+    spread = own.groupBy("name").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("name")
+    symbols = stage(recompressed(own.join(spread, "name"), lv.reach() + lv.after()))
+    # symbols that always stand in one place of one higher symbol tell nothing new
+    where = F.struct("up", "role")
+    group = symbols.groupBy("level", "name").agg(F.count(F.lit(1)).alias("n"), F.count("up").alias("inner"), F.min(where).alias("p"), F.max(where).alias("q"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    group = group.where("lo < hi and (inner < n or p <> q)").select("level", "name", "n")
+    symbols = stage(symbols.join(group, ["level", "name"]))
+    long_ = dealt_pairs(symbols.where(F.col("last") - F.col("start") + lv.reach() + lv.after() >= lv.span), ["level", "name"]).where(_APART)
+    p = candidates(docs, id_, text, symbols.drop("n"), lv)
+    need = F.col("need_a")
     room = lambda s: F.least(F.length(f"{s}_a"), F.length(f"{s}_b"))
     behind = lambda s, i: F.substr(f"lead_{s}", F.length(f"lead_{s}") - i + 1)
     ahead = lambda s, i: F.substr(f"tail_{s}", F.lit(1), need - i)
-    low, high = F.greatest(F.lit(0), need - room("tail")), F.least(F.lit(need), room("lead"))
+    low, high = F.greatest(F.lit(0), need - room("tail")), F.least(need, room("lead"))
     ok = F.exists(F.sequence(low, high), lambda i: (behind("a", i) == behind("b", i)) & (ahead("a", i) == ahead("b", i)))
-    p = p.where((low <= high) & ok)
-    return p.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "place_a", "place_b")
+    p = p.where((F.col("mid_a") == F.col("mid_b")) & (low <= high) & ok)
+    pick = lambda d: d.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("start_a").alias("place_a"), F.col("start_b").alias("place_b"))
+    return pick(long_).unionByName(pick(p))
 
 
 def _expanded(pairs: DataFrame, same: DataFrame) -> DataFrame:
@@ -262,7 +364,8 @@ def _expanded(pairs: DataFrame, same: DataFrame) -> DataFrame:
     p = pairs
     for c in "ab":
         p = p.join(same.select(F.col("rep").alias(c), F.col("id").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).select("a", "b")
-    inside = same.select(F.col("id").alias("a"), "rep").join(same.select(F.col("id").alias("b"), "rep"), "rep").where("a < b").select("a", "b")
+    sized = same.join(same.groupBy("rep").agg(F.count(F.lit(1)).alias("n")), "rep").withColumn("start", F.lit(0))
+    inside = dealt_pairs(sized, ["rep"]).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(inside)
 
 
@@ -272,8 +375,9 @@ def span_pairs(docs: DataFrame, id_: str, text: str, lv: Levels = Levels()) -> D
     NULL texts, NULL ids and texts shorter than the span have no pairs; repeated rows of one id count as one record; an
     empty table gives no rows; other columns are ignored. Found between classes of whole copies, then expanded. See ``span_matches``.
     """
-    same = stage(copies(docs, id_, text, lv))
-    return _expanded(span_matches(docs, id_, text, same, lv).select("a", "b").distinct(), same)
+    marks = stage(blocks(docs, id_, text, lv))
+    same = stage(copies(marks))
+    return _expanded(span_matches(docs, id_, text, marks, same, lv).select("a", "b").distinct(), same)
 
 
 def _extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,8 +401,9 @@ def shared_lengths(docs: DataFrame, id_: str, text: str, lv: Levels = Levels())
 
     NULL texts have n_chars 0. Spans that overlap count once. Rows with a NULL id are left out; repeated rows of one id give one row.
     """
-    same = stage(copies(docs, id_, text, lv))
-    found = stage(span_matches(docs, id_, text, same, lv))
+    marks = stage(blocks(docs, id_, text, lv))
+    same = stage(copies(marks))
+    found = stage(span_matches(docs, id_, text, marks, same, lv).distinct())
     whole = docs.select(F.col(f"`{id_}`").cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text")).where("id is not null")
     whole = whole.groupBy("id").agg(F.max("text").alias("text"))
     d = found
