@@ -8,7 +8,7 @@ become a symbol, so that equal stretches get equal symbols but for a few charact
   borders, every one that is the least named within some window stays: a landmark. It and the stretch around it, which lies inside any shared span of the length
   asked for, make a block, the symbol that the next rounds start from. Rounds without a limit make every text one symbol: equal texts have equal ones.
 * Over blocks, by Spark. Blocks that stand in one record only are dropped; runs and pairs of touching neighbours get names from one dictionary of
-  all records, which holds those that stand in more than one record. Rounds go on until nothing gets a name.
+  all records, which holds those that stand in more than one record. Rounds go on while they join more than a tenth of the symbols.
 
 Symbols reveal the shared spans from the highest down: two records share a symbol, and what it is made of need not be compared again where it stands in equal
 places of one higher symbol. A symbol of a span's length or more is a shared span; around shorter ones the texts decide, character by
@@ -235,15 +235,16 @@ def recompressed(kept: DataFrame, touch: int) -> DataFrame:
     """All symbols over the blocks ``kept`` (id, place, name): id, level, name, start, last (landmark), up (name of the symbol that it went into, NULL: none) and role (its place in that).
 
     A round compares each symbol of a record with its neighbours, at most ``touch`` characters away: equal ones make a run; one whose hash is the least
-    among them makes a pair with the next. A run or pair gets a name in the round's dictionary if it stands in more than one record.
+    among them makes a pair with the next. A run or pair gets a name in the round's dictionary if it stands in more than one record. A round that takes out
+    a tenth of the symbols or less is the last: what stays apart is revealed as it is.
     """
     row = kept.select("id", F.lit(0).alias("level"), "name", F.col("place").alias("start"), F.col("place").alias("last"))
-    done, number, idle = None, 0, 0
-    while idle < 2:
+    done, number = None, 0
+    while True:
         number += 1
         w = Window.partitionBy("id").orderBy("start", "last", "name")
-        rank = F.xxhash64("name", F.lit(number))
-        d = row.withColumn("me", F.struct("level", "name", "start", "last", rank.alias("rank")))
+        rank = F.xxhash64("name", "round")
+        d = row.withColumn("round", F.lit(number)).withColumn("me", F.struct("level", "name", "start", "last", rank.alias("rank")))
         d = d.withColumn("before", F.lag("me").over(w)).withColumn("next", F.lead("me").over(w))
         d = d.withColumn("before", F.when(F.col("start") - F.col("before.last") <= touch, F.col("before"))).withColumn("next", F.when(F.col("next.start") - F.col("last") <= touch, F.col("next")))
         alike = lambda c: F.coalesce((F.col(f"{c}.level") == F.col("level")) & (F.col(f"{c}.name") == F.col("name")), F.lit(False))
@@ -257,17 +258,19 @@ def recompressed(kept: DataFrame, touch: int) -> DataFrame:
         d = d.withColumn("from", F.min("start").over(whole_run)).withColumn("to", F.max("last").over(whole_run)).withColumn("count", F.count(F.lit(1)).over(whole_run)).withColumn("gap", F.max(F.when(F.col("on"), F.col("gap"))).over(whole_run))
         first = F.when(F.col("run"), F.col("from")).when(F.col("head"), F.col("start")).when(F.col("tail"), F.col("before.start"))
         end = F.when(F.col("run"), F.col("to")).when(F.col("head"), F.col("next.last")).when(F.col("tail"), F.col("last"))
-        parts = lambda a, b: F.xxhash64(F.lit(number), f"{a}.level", f"{a}.name", F.col(f"{b}.start") - F.col(f"{a}.start"), f"{b}.level", f"{b}.name")
-        made = F.when(F.col("run"), F.xxhash64(F.lit(number), "level", "name", "count", "gap")).when(F.col("head"), parts("me", "next")).when(F.col("tail"), parts("before", "me"))
-        d = stage(d.select(*_SYMBOL, made.alias("up"), first.alias("first"), end.alias("end")))
+        parts = lambda a, b: F.xxhash64("round", f"{a}.level", f"{a}.name", F.col(f"{b}.start") - F.col(f"{a}.start"), f"{b}.level", f"{b}.name")
+        made = F.when(F.col("run"), F.xxhash64("round", "level", "name", "count", "gap")).when(F.col("head"), parts("me", "next")).when(F.col("tail"), parts("before", "me"))
+        d = d.select(*_SYMBOL, made.alias("up"), first.alias("first"), end.alias("end"))
         named = d.where("up is not null and start = first").groupBy("up").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("up", F.lit(True).alias("named"))
         d = stage(d.join(named, "up", "left").withColumn("up", F.when(F.col("named"), F.col("up"))).drop("named"))
         went = d.where("up is not null")
-        idle = 0 if went.limit(1).count() else idle + 1
         up = went.where("start = first").select("id", F.lit(number).alias("level"), F.col("up").alias("name"), "start", F.col("end").alias("last")).distinct()
         row = d.where("up is null").select(*_SYMBOL).unionByName(up)
         went = went.select(*_SYMBOL, "up", (F.col("start") - F.col("first")).alias("role"))
         done = went if done is None else done.unionByName(went)
+        n, taken = d.agg(F.count(F.lit(1)), F.count(F.when(F.col("start") > F.col("first"), F.col("up")))).first()
+        if taken * 10 <= n:
+            break
     return done.unionByName(row.select(*_SYMBOL, F.lit(None).cast("long").alias("up"), F.lit(None).cast("int").alias("role")))
 
 
