@@ -91,7 +91,7 @@ def test_many_whole_copies(spark):
 
 def parts(df, lv=spans.Levels()):  # noqa: B008
     marks = spans.stage(spans.blocks(df, "doc_id", "text", lv))
-    own = marks.where("place >= 0").select("id", "place", "name").distinct()
+    own = spans.shared_blocks(marks)
     return marks, spans.stage(spans.recompressed(own, lv.reach() + lv.after()))
 
 

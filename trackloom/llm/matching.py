@@ -3,8 +3,9 @@
 An entity is a track: readings of position and size over time. Attributes become q-grams (the run of q neighbouring bins
 that a number stands for) in fixed bit vectors, so that the Hamming distance of two vectors is the distance of the numbers in bins, up to q.
 Multi-index Hamming hashing finds all pairs of vectors within a radius exactly. The two sources may differ by a constant
-shift in place, size and time within a group; it is estimated from all candidate pairs, and field-weighted Dice scores over
-the common readings then become confidences, calibrated on how often a score belongs to a pair that is best for both sides.
+shift in place, size and time within a group; it is estimated from all candidate pairs. With it taken out, x, y and size of every common reading become bit vectors
+again, finer ones, whose field-weighted Dice scores make a pair's score. Scores become confidences by comparison with decoys: the tracks of one source moved to
+where they cannot be, whose best pairs are known to be false.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ class Match:
     q_size: float = 0.3  # the same for the logarithm of the size
     weights: tuple[float, float, float] = (0.4, 0.4, 0.2)  # of x, y and size
     confidence: float = 0.5  # pairs below are no matches
+    decoy: float = 40.0  # decoys are moved by so much in each direction
     weak: float = 0.5  # a group with good scores for less than this share of b's tracks is searched again
     wide: float = 4.0  # by so many times the shift, most and lag
 
@@ -113,6 +115,26 @@ def close_pairs(a: DataFrame, b: DataFrame, radius: int) -> DataFrame:
     return p.where((F.bit_count(dx) + F.bit_count(dy) <= radius) & (F.col("c") == first))
 
 
+GRAMS, CIRCLE = 64, 512  # q-grams of a number: 64 neighbouring bins of a circle of 512
+
+
+def grams(x: np.ndarray, width: float) -> np.ndarray:
+    """Bit vectors of the numbers ``x``, which reach a distance of ``width`` before they share no bit: a row of 8 words of 64 bits each; none for NaN."""
+    there = ~np.isnan(x)
+    bin_ = np.floor(np.where(there, x, 0) / width * GRAMS).astype(np.int64) % CIRCLE
+    out = np.zeros((len(x), CIRCLE // 64), np.uint64)
+    word, bit, row = bin_ // 64, (bin_ % 64).astype(np.uint64), np.arange(len(x))
+    full = np.uint64((1 << 64) - 1)
+    out[row, word] = np.where(there, full << bit, np.uint64(0))
+    out[row, (word + 1) % (CIRCLE // 64)] = np.where(there, (np.uint64(1) << bit) - np.uint64(1), np.uint64(0))
+    return out
+
+
+def dice(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dice scores of the rows of two arrays of ``grams``: the bits in common over the mean of their bits; all have as many."""
+    return np.bitwise_count(a & b).sum(axis=1) / GRAMS
+
+
 def _scores(m: Match) -> object:
     """Per pair of tracks and time shift: common readings and the sum of their Dice scores."""
 
@@ -125,7 +147,10 @@ def _scores(m: Match) -> object:
                 rb, tb, xb, yb, sb = _flat(c.column("track_b"))
                 ka, kb = (ra << 24) + ta + (1 << 20), (rb << 24) + tb + (1 << 20)
                 mx, my, ms = (c.column(v).to_numpy() for v in ("mx", "my", "ms"))
-                common, dice, within, loose = [], [], [], []
+                fields = [(grams(u, q), grams(v - w[rb], q), weight) for u, v, w, q, weight in (
+                    (xa, xb, mx, m.q_place, m.weights[0]), (ya, yb, my, m.q_place, m.weights[1]), (sa, sb, ms, m.q_size, m.weights[2]))]
+                sized_a, sized_b = ~np.isnan(sa), ~np.isnan(sb)
+                common, dices, within, loose = [], [], [], []
                 begin, end = np.full(n, 1 << 62), np.full(n, -(1 << 62))
                 np.minimum.at(begin, ra, ta)
                 np.maximum.at(end, ra, ta)
@@ -133,19 +158,15 @@ def _scores(m: Match) -> object:
                     at = np.minimum(np.searchsorted(ka, kb + lag), max(len(ka) - 1, 0))
                     hit = ka[at] == kb + lag
                     at, of = at[hit], rb[hit]
-                    # two runs of q bins that begin d bins apart have the Dice score 1 - min(d, q) / q
-                    one = lambda d, q: 1 - np.minimum(np.abs(d), q) / q
-                    fx, fy = one(xb[hit] - xa[at] - mx[of], m.q_place), one(yb[hit] - ya[at] - my[of], m.q_place)
-                    fs = one(sb[hit] - sa[at] - ms[of], m.q_size)
-                    wx, wy, ws = m.weights
-                    both = wx * fx + wy * fy
-                    score = np.where(np.isnan(fs), both / (wx + wy), both + ws * np.nan_to_num(fs))
+                    sized = sized_a[at] & sized_b[hit]
+                    # a reading without a size on either side is judged by its place alone
+                    score = sum(weight * dice(u[at], v[hit]) for u, v, weight in fields) / np.where(sized, sum(m.weights), sum(m.weights[:2]))
                     common.append(np.bincount(of, minlength=n))
                     for counts, slack in ((within, 0), (loose, m.slack)):
                         counts.append(np.bincount(rb[(tb + lag >= begin[rb] - slack) & (tb + lag <= end[rb] + slack)], minlength=n))
-                    dice.append(np.bincount(of, score, minlength=n))
+                    dices.append(np.bincount(of, score, minlength=n))
                 off = pa.array(np.arange(n + 1, dtype=np.int32) * (2 * m.lag + 1))
-                lists = [pa.ListArray.from_arrays(off, pa.array(np.stack(v, 1).ravel().astype(ty))) for v, ty in ((common, np.int32), (within, np.int32), (loose, np.int32), (dice, np.float64))]
+                lists = [pa.ListArray.from_arrays(off, pa.array(np.stack(v, 1).ravel().astype(ty))) for v, ty in ((common, np.int32), (within, np.int32), (loose, np.int32), (dices, np.float64))]
                 size = c.column("track_b").value_lengths()
                 yield pa.RecordBatch.from_arrays([c.column("g"), c.column("a"), c.column("b"), size, *lists], names=["g", "a", "b", "n_b", "common", "within", "loose", "dice"])
 
@@ -184,64 +205,95 @@ def shifts(pairs: DataFrame, most: float = 11.0) -> DataFrame:
     return best.select("g", "m.mx", "m.my", F.coalesce("m.ms", F.lit(0.0)).alias("ms"))
 
 
-def scored_pairs(a: DataFrame, b: DataFrame, m: Match = Match()) -> DataFrame:  # noqa: B008
-    """Candidate pairs at the group's time shift: ``g, a, b, common`` (readings at one time), ``strict`` and ``score``.
+def best_lag(out: DataFrame, m: Match) -> DataFrame:
+    """``g, lag``: the place in the lists of the time shift at which a group's pairs score most, the smallest of equals."""
+    lag = out.select("g", F.posexplode("dice").alias("lag", "d")).groupBy("g", "lag").agg(F.sum("d").alias("d"))
+    return lag.groupBy("g").agg(F.max_by("lag", F.struct("d", -F.abs(F.col("lag") - m.lag))).alias("lag"))
+
+
+def scored_pairs(a: DataFrame, b: DataFrame, m: Match = Match(), shift: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """Candidate pairs at the group's time shift: ``g, a, b, common`` (readings at one time), ``strict`` and ``score``; and the shifts ``g, mx, my, ms, lag``.
 
     Both are the mean Dice of the common readings times the share of b's readings that lie between a's first and last, so that
     readings missing inside a count for nothing and a pair that covers only a part of b counts for that part. ``score`` allows ``m.slack`` steps
-    beyond either end, if at least ``m.part`` of b lies inside; ``strict`` decides between several a.
+    beyond either end, if at least ``m.part`` of b lies inside; ``strict`` decides between several a. A ``shift`` that is given is not sought.
     """
     a, b = stage(a), stage(b)
     pairs = stage(candidate_pairs(a, b, m))
-    s = shifts(pairs, m.most)
-    near = pairs.join(s, "g").where((F.abs(F.col("dx") - F.col("mx")) < m.near) & (F.abs(F.col("dy") - F.col("my")) < m.near)).select("g", "a", "b", "mx", "my", "ms")
+    s = shifts(pairs, m.most) if shift is None else shift
+    near = pairs.join(s.select("g", "mx", "my", "ms"), "g").where((F.abs(F.col("dx") - F.col("mx")) < m.near) & (F.abs(F.col("dy") - F.col("my")) < m.near)).select("g", "a", "b", "mx", "my", "ms")
     d = near.join(a.select("g", F.col("e").alias("a"), F.col("track").alias("track_a")), ["g", "a"]).join(b.select("g", F.col("e").alias("b"), F.col("track").alias("track_b")), ["g", "b"])
     ty = dict(a.dtypes)["e"], dict(b.dtypes)["e"]
     out = stage(d.mapInArrow(_scores(m), f"g string, a {ty[0]}, b {ty[1]}, n_b int, common array<int>, within array<int>, loose array<int>, dice array<double>"))
-    lag = out.select("g", F.posexplode("dice").alias("lag", "d")).groupBy("g", "lag").agg(F.sum("d").alias("d"))
-    lag = lag.groupBy("g").agg(F.max_by("lag", F.struct("d", -F.abs(F.col("lag") - m.lag))).alias("lag"))
+    if shift is None:
+        s = stage(s.join(best_lag(out, m), "g"))
     at = lambda c: F.element_at(c, F.col("lag") + 1)
     mean, share = at("dice") / at("common"), at("within") / F.col("n_b")
     score = mean * F.when(share >= m.part, at("loose") / F.col("n_b")).otherwise(share)
-    return out.join(lag, "g").where(at("common") > 0).select("g", "a", "b", at("common").alias("common"), (mean * share).alias("strict"), score.alias("score"))
+    return out.join(s.select("g", "lag"), "g").where(at("common") > 0).select("g", "a", "b", at("common").alias("common"), (mean * share).alias("strict"), score.alias("score")), s
 
 
 BINS = 20
 
 
-def calibrate(best: list[int], other: list[int]) -> list[float]:
-    """Per bin of scores, how often a candidate pair is the one best for its b, made to rise with the score.
+def calibrate(best: list[int], decoys: list[int]) -> list[float]:
+    """Per bin of scores the share of true pairs among the best ones, made to rise with the score.
 
-    ``best`` and ``other`` count the candidates of each bin that are and are not; one more candidate per bin, as likely as its score,
-    stands in for what was not seen. Neighbouring bins that fall are pooled.
+    ``best`` and ``decoys`` count the best pairs of the tracks and of their decoys in each bin. As many of the tracks' pairs are taken as false as the decoys have there;
+    one pair more per bin, as likely as its score, stands in for what was not seen. Neighbouring bins that fall are pooled.
     """
     blocks: list[list[float]] = []
-    for i, (x, y) in enumerate(zip(best, other, strict=True)):
-        blocks.append([x + (i + 0.5) / len(best), x + y + 1.0, 1])
+    for i, (x, y) in enumerate(zip(best, decoys, strict=True)):
+        blocks.append([max(0, x - y) + (i + 0.5) / len(best), x + 1.0, 1])
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
             x2, n2, k2 = blocks.pop()
             blocks[-1] = [blocks[-1][0] + x2, blocks[-1][1] + n2, blocks[-1][2] + k2]
     return [x / n for x, n, k in blocks for _ in range(int(k))]
 
 
-def searched_pairs(a: DataFrame, b: DataFrame, m: Match = Match()) -> DataFrame:  # noqa: B008
-    """``scored_pairs``; groups whose shift found few matches are searched again more widely.
+def searched_pairs(a: DataFrame, b: DataFrame, m: Match = Match()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """``scored_pairs``; groups whose shift found few matches are searched again more widely. The shifts have ``wide``, whether the second search gave them, and ``edge``.
 
-    The wide search counts for a group if it gives ``m.weak`` of b's tracks a good score (0.5), which a false shift cannot.
+    The wide search counts for a group if it gives ``m.weak`` of b's tracks a good score (0.5), which a false shift cannot. ``edge`` is how far the shift lies from 0 as a share
+    of the bounds of its search: near 1 the true shift may lie beyond them.
     """
     a, b = stage(a), stage(b)
-    p = stage(scored_pairs(a, b, m))
+
+    def told(s: DataFrame, m: Match, wide: bool) -> DataFrame:
+        edge = F.greatest(F.abs("mx") / m.most, F.abs("my") / m.most, F.abs(F.col("lag") - m.lag) / (m.lag + 1))
+        return s.select("*", F.lit(wide).alias("wide"), edge.alias("edge"))
+
+    p, s = scored_pairs(a, b, m)
+    p, s = stage(p), told(s, m, False)
     size = b.groupBy("g").agg(F.count(F.lit(1)).alias("n_b"))
     good = lambda d: d.where("score >= 0.5").groupBy("g").agg(F.countDistinct("b").alias("good"))
     # a single track agrees with anything
     share = F.coalesce("good", F.lit(0)) / F.col("n_b")
     weak = stage(size.join(a.select("g").distinct(), "g").join(good(p), "g", "left").where((share < m.weak) & (F.col("n_b") >= 3)).select("g"))
     if not weak.limit(1).count():
-        return p
-    far = replace(m, shift=m.wide * m.shift, most=m.wide * m.most, lag=round(m.wide * m.lag))
-    q = stage(scored_pairs(a.join(weak, "g", "left_semi"), b.join(weak, "g", "left_semi"), far))
+        return p, s
+    far = widened(m)
+    q, t = scored_pairs(a.join(weak, "g", "left_semi"), b.join(weak, "g", "left_semi"), far)
+    q, t = stage(q), told(t, far, True)
     better = stage(good(q).join(size, "g").where((share >= m.weak) & (F.col("good") >= 3)).select("g"))
-    return p.join(better, "g", "left_anti").unionByName(q.join(better, "g", "left_semi"))
+    mixed = lambda x, y: x.join(better, "g", "left_anti").unionByName(y.join(better, "g", "left_semi"))
+    return mixed(p, q), stage(mixed(s, t))
+
+
+def widened(m: Match) -> Match:
+    return replace(m, shift=m.wide * m.shift, most=m.wide * m.most, lag=round(m.wide * m.lag))
+
+
+def best_pairs(pairs: DataFrame) -> DataFrame:
+    """Per track of b the pair with the highest ``strict`` score, then the most common readings, then the smallest a."""
+    best = pairs.groupBy("g", "b").agg(F.max(F.struct("strict", "common", (-F.col("a")).alias("a"), "score")).alias("m"))
+    return best.select("g", (-F.col("m.a")).alias("a"), "b", "m.common", "m.score")
+
+
+def decoys(b: DataFrame, m: Match) -> DataFrame:
+    """``b`` with every track moved by ``m.decoy`` in both directions, where its own partner is out of reach."""
+    moved = F.transform("track", lambda r: F.struct(r["t"].alias("t"), (r["x"] + F.lit(m.decoy).cast("float")).alias("x"), (r["y"] - F.lit(m.decoy).cast("float")).alias("y"), r["s"].alias("s")))
+    return b.withColumn("track", moved)
 
 
 def match(a: DataFrame, b: DataFrame, m: Match = Match()) -> DataFrame:  # noqa: B008
@@ -249,13 +301,27 @@ def match(a: DataFrame, b: DataFrame, m: Match = Match()) -> DataFrame:  # noqa:
 
     ``a`` and ``b`` come from ``tracks``. Each b has at most one a, the best-scored (then the one with more common readings, then the smaller);
     an a may have several b. Pairs below ``m.confidence`` are left out. Groups that only one source has, and empty tables, give no rows.
-    The calibration needs counts in 20 bins of scores, all that reaches the driver.
+    The calibration needs counts in 20 bins of scores of the best pairs and of the decoys' best pairs, all that reaches the driver.
     """
-    p = stage(searched_pairs(a, b, m))
-    best = p.groupBy("g", "b").agg(F.max(F.struct("strict", "common", (-F.col("a")).alias("a"), "score")).alias("m"))
-    best = stage(best.select("g", (-F.col("m.a")).alias("a"), "b", "m.common", "m.score"))
+    return matched(a, b, m)[0]
+
+
+def matched(a: DataFrame, b: DataFrame, m: Match = Match()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """``match`` and the groups' shifts, see ``searched_pairs``."""
+    a, b = stage(a), stage(b)
+    pairs, shift = searched_pairs(a, b, m)
+    best = stage(best_pairs(pairs))
+    shift = stage(shift)
+    # the decoys are judged at their group's shift, in the search that found it
+    near, false = shift.where("not wide"), decoys(b, m)
+    known = lambda s: false.join(s.select("g"), "g", "left_semi")
+    known_a = lambda s: a.join(s.select("g"), "g", "left_semi")
+    wrong = scored_pairs(known_a(near), known(near), m, near)[0]
+    if shift.where("wide").limit(1).count():
+        far = shift.where("wide")
+        wrong = wrong.unionByName(scored_pairs(known_a(far), known(far), widened(m), far)[0])
     bin_ = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
-    every, tops = ({r[0]: r[1] for r in d.groupBy(bin_).count().collect()} for d in (p, best))
-    curve = calibrate([tops.get(i, 0) for i in range(BINS)], [every.get(i, 0) - tops.get(i, 0) for i in range(BINS)])
+    tops, lows = ({r[0]: r[1] for r in d.groupBy(bin_).count().collect()} for d in (best, best_pairs(wrong)))
+    curve = calibrate([tops.get(i, 0) for i in range(BINS)], [lows.get(i, 0) for i in range(BINS)])
     out = best.withColumn("confidence", F.element_at(F.array(*(F.lit(float(c)) for c in curve)), bin_ + 1))
-    return out.where(F.col("confidence") >= m.confidence)
+    return out.where(F.col("confidence") >= m.confidence), shift

@@ -38,17 +38,45 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_splits(spark: SparkSession, d: str) -> DataFrame:
-    """A split for every cell with rows: tab, seq, cell_id, group_id, split; groups with a row of class 1 are shared out on their own."""
+    """A split for every cell with rows: tab, seq, cell_id, group_id, split.
+
+    Groups of the two tables whose cells are the same physical cells (by ``p3_found``) form a family and go to one split, too. Families with a row of class 1
+    are shared out on their own, and so are those of one table alone, so that each table and class gets its shares.
+    """
+    return _dealt(spark, d)[0]
+
+
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    """What p6_splits comes to: stratum, split, n_families, n_rows, target (the split's share of the rows) and gap, how far whole families leave it from that."""
+    s = _dealt(spark, d)[1]
+    g = s.groupBy("stratum", "split").agg(F.count(F.lit(1)).alias("n_families"), F.sum("size").alias("n_rows"))
+    whole = s.groupBy("stratum").agg(F.sum("size").alias("whole"))
+    share = F.element_at(F.create_map(*(F.lit(v) for kv in SHARES.items() for v in kv)), F.col("split"))
+    target = F.round(F.col("whole") * share).cast("long")
+    return g.join(whole, "stratum").select("stratum", "split", "n_families", "n_rows", target.alias("target"), (F.col("n_rows") - target).alias("gap"))
+
+
+def _dealt(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The cells with their splits, and the families: seq, family, stratum, size, split."""
     found = stage(p6_found(spark, d))
+    number = {LABELLED[0]: 2 * F.col("group_id"), LABELLED[1]: 2 * F.col("group_id") + 1}  # the two tables' groups side by side
+    own = found.withColumn("node", F.when(F.col("tab") == LABELLED[0], number[LABELLED[0]]).otherwise(number[LABELLED[1]]))
+    side = lambda tab, cell, name: own.where(F.col("tab") == tab).select("seq", F.col("cell_id").alias(cell), F.col("node").alias(name))
+    pairs = p3_found(spark, d).join(side(LABELLED[0], "cell_id", "a"), ["seq", "cell_id"]).join(side(LABELLED[1], "consensus_cell_id", "b"), ["seq", "consensus_cell_id"])
+    links = pairs.select(F.col("seq").alias("g"), "a", "b").unionByName(own.select(F.col("seq").alias("g"), F.col("node").alias("a"), F.col("node").alias("b"))).distinct()
+    family = groups.components(links).select(F.col("g").alias("seq"), "node", F.col("root").alias("family"))
+    own = stage(own.join(family, ["seq", "node"]).drop("node"))
     sizes = None
     for tab in LABELLED:
         t = table(spark, d, tab).where(F.col("Cell ID").isNotNull() & F.col("seq").isNotNull())
         t = t.groupBy(F.lit(tab).alias("tab"), "seq", F.col("Cell ID").alias("cell_id")).agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce(F.col("Label") == 1, F.lit(False))).alias("rare"))
         sizes = t if sizes is None else sizes.unionByName(t)
-    g = found.join(sizes, ["tab", "seq", "cell_id"]).groupBy("tab", "seq", "group_id").agg(F.sum("n").alias("size"), F.max("rare").alias("rare"))
-    g = g.select("tab", "seq", "group_id", F.concat_ws("|", "tab", F.col("rare").cast("string")).alias("stratum"), "size")
-    s = groups.assign_splits(g, SHARES)
-    return found.join(s.select("tab", "seq", "group_id", "split"), ["tab", "seq", "group_id"]).select("tab", "seq", "cell_id", "group_id", "split")
+    g = own.join(sizes, ["tab", "seq", "cell_id"]).groupBy("seq", "family").agg(F.sum("n").alias("size"), F.max("rare").alias("rare"), F.min("tab").alias("one"), F.max("tab").alias("other"))
+    where = F.when(F.col("one") == F.col("other"), F.col("one")).otherwise(F.lit("both"))
+    g = g.select("seq", "family", F.concat_ws("|", where, F.col("rare").cast("string")).alias("stratum"), "size")
+    s = stage(groups.assign_splits(g, SHARES))
+    cells = own.join(s.select("seq", "family", "split"), ["seq", "family"]).select("tab", "seq", "cell_id", "group_id", "split")
+    return cells, s
 
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -98,11 +126,19 @@ def p3_matches(spark: SparkSession, d: str) -> DataFrame:
     return m.select(F.col("g").alias("seq"), F.col("a").cast("int").alias("cell_id"), F.col("b").cast("int").alias("consensus_cell_id"), "common", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"))
 
 
+def p3_shifts(spark: SparkSession, d: str) -> DataFrame:
+    """Every sequence's shift between the sources: shift_x, shift_y, factor (of sizes), lag (frames), whether the wide search gave it and how near its bounds it lies (1: at them)."""
+    m = matching.Match()
+    s = matching.matched(*_sources(spark, d), m)[1]
+    lag = F.col("lag") - F.when(F.col("wide"), matching.widened(m).lag).otherwise(m.lag)
+    return s.select(F.col("g").alias("seq"), F.round("mx", 6).alias("shift_x"), F.round("my", 6).alias("shift_y"), F.round(F.exp("ms"), 6).alias("factor"), lag.cast("int").alias("lag"), "wide", F.round("edge", 6).alias("edge"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_matches(spark, d).select("seq", "cell_id", "consensus_cell_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_matches, p6_found, p6_splits, p8_ids, p8_roundtrip, p9_found, p9_leaks, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_matches, p3_shifts, p6_found, p6_splits, p6_shares, p8_ids, p8_roundtrip, p9_found, p9_leaks, p10_found, p10_shares)}
 _NAMED = r"""regexp_extract_all(regexp_replace(regexp_replace(coalesce("Parent ID", '') || '|' || coalesce("Daughter IDs", ''), '"(\d{1,3}),(\d{3})"', '"\1\2"', 'g'), '(\d)\.0+', '\1', 'g'), '\d+')"""
 _LINKS = " UNION ".join(f"""SELECT '{t}' AS tab, seq, "Cell ID" AS a, cast(x AS INTEGER) AS b FROM (SELECT seq, "Cell ID", unnest({_NAMED}) AS x FROM {t} WHERE "Cell ID" IS NOT NULL) WHERE cast(x AS INTEGER) > 0""" for t in LABELLED)
 _ROWS = " UNION ".join(f"""SELECT '{t}' AS tab, seq, "Cell ID" AS cell_id FROM {t} WHERE "Cell ID" IS NOT NULL""" for t in LABELLED)

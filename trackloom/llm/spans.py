@@ -221,6 +221,12 @@ def blocks(docs: DataFrame, id_: str, text: str, lv: Levels = Levels()) -> DataF
     return d.mapInArrow(_emit(lv), "id long, place int, name long, check long")
 
 
+def shared_blocks(marks: DataFrame) -> DataFrame:
+    """``id, place, name`` of the blocks that stand in more than one record."""
+    own = marks.where("place >= 0").select("id", "place", "name").distinct()
+    return own.join(own.groupBy("name").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("name"), "name")
+
+
 def copies(marks: DataFrame) -> DataFrame:
     """Records whose whole text, as one symbol, stands in several: ``id, rep``, the smallest id with that text (itself included)."""
     d = marks.where("place = -1").select("id", "name", "check")
@@ -341,9 +347,8 @@ def span_matches(docs: DataFrame, id_: str, text: str, marks: DataFrame, same: D
     what they cover, and around that the texts are compared character by character.
     Whole copies (``same``) are left to their representatives, so that a text that stands in very many records is compared once.
     """
-    own = marks.where("place >= 0").join(same.where("id <> rep").select("id"), "id", "left_anti").select("id", "place", "name").distinct()
-    spread = own.groupBy("name").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("name")
-    symbols = stage(recompressed(own.join(spread, "name"), lv.reach() + lv.after()))
+    own = marks.join(same.where("id <> rep").select("id"), "id", "left_anti")
+    symbols = stage(recompressed(shared_blocks(own), lv.reach() + lv.after()))
     # symbols that always stand in one place of one higher symbol tell nothing new
     where = F.struct("up", "role")
     group = symbols.groupBy("level", "name").agg(F.count(F.lit(1)).alias("n"), F.count("up").alias("inner"), F.min(where).alias("p"), F.max(where).alias("q"), F.min("id").alias("lo"), F.max("id").alias("hi"))
