@@ -31,6 +31,19 @@ def test_spikes_runs_and_bounds(spark):
     assert found(df, Rules(shard=40, halo=20)) == sorted(want)
 
 
+def test_scale_is_that_of_the_source_whatever_the_shards(spark):
+    rnd = random.Random(9)
+    rows = [("s", 1, f, 50 + rnd.gauss(0, 0.05 if f < 700 else 1.0), 20 + rnd.gauss(0, 1.0 if f < 1000 else 0.1)) for f in range(2000)]
+    for f, v in ((300, 53.0), (500, 90.0), (1500, 20.0)):
+        rows[f] = ("s", 1, f, v, rows[f][4])
+    rows += [("s", c, f, 5.0 + 0.1 * ((f * 7) % 5), 5.0 + rnd.gauss(0, 1)) for c in (2, 3) for f in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = found(df, Rules(shard=8192))
+    assert {(1, 500, "v", "spike"), (1, 1500, "v", "spike")} <= set(want)
+    for shard in (40, 400, 1024):
+        assert found(df, Rules(shard=shard, halo=64)) == want
+
+
 def test_run_over_missing_values(spark):
     rows = [("s", 1, f, 5.0 if f % 2 else None, None) for f in range(12)] + [("s", 1, 20, 7.0, None)]
     assert found(spark.createDataFrame(rows, SCHEMA)) == [(1, f, "v", "stuck") for f in range(1, 12, 2)]

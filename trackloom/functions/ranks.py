@@ -8,24 +8,24 @@ from pyspark.sql import functions as F
 from ..session import stage
 
 
-def buckets(df: DataFrame, by: list[str], value: str, n: int = 1024) -> DataFrame:
-    """Adds ``bucket`` 0..n-1, rising with ``value`` within its range in each group ``by``. NULL and NaN values are left out."""
-    df = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-    g = [F.col(c) for c in by]
-    r = df.groupBy(*g).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    d = df.join(r, by) if by else df.crossJoin(F.broadcast(r))  # one row
-    at = F.floor((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * n)
-    return d.withColumn("bucket", F.coalesce(F.least(at, F.lit(n - 1)), F.lit(0))).drop("_lo", "_hi")
+def ranged(df: DataFrame, by: list[str], value: str, n: int | None = None) -> DataFrame:
+    """Adds ``bucket``, rising with ``value`` within each group ``by``: the range partition that a row lies in. NULL and NaN values are left out.
+
+    The ranges' bounds come from a sample of the rows, so that each of the ``n`` (by default as many as a shuffle has) holds about as many, however the values lie.
+    """
+    d = df.where(F.col(value).isNotNull() & ~F.isnan(value))
+    keys = [F.col(c) for c in [*by, value]]
+    d = d.repartitionByRange(n, *keys) if n else d.repartitionByRange(*keys)
+    return stage(d.withColumn("bucket", F.spark_partition_id()))
 
 
-def running(df: DataFrame, by: list[str], value: str, sums: dict[str, Column], descending: bool = False, n: int = 1024) -> DataFrame:
+def running(df: DataFrame, by: list[str], value: str, sums: dict[str, Column], descending: bool = False, n: int | None = None) -> DataFrame:
     """Per group and distinct ``value``: the sums of that value and, as ``{name}_cum``, of all up to it (from the top if ``descending``).
 
-    Values are first summed up per distinct value, then ordered within buckets; the sums of whole buckets before are added. No task holds
-    more than one bucket's distinct values.
+    Values are first summed up per distinct value, then ordered within ranges of values; the sums of whole ranges before are added. No task holds
+    more than one range's distinct values.
     """
-    d = df.groupBy(*by, value).agg(*(F.sum(c).alias(k) for k, c in sums.items()))
-    d = stage(buckets(d, by, value, n))
+    d = ranged(df.groupBy(*by, value).agg(*(F.sum(c).alias(k) for k, c in sums.items())), by, value, n)
     way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     over = Window.partitionBy(*by).orderBy(way("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     whole = d.groupBy(*by, "bucket").agg(*(F.sum(k).alias(k) for k in sums))
@@ -35,7 +35,7 @@ def running(df: DataFrame, by: list[str], value: str, sums: dict[str, Column], d
     return d.select(*by, value, *sums, *((F.sum(k).over(inside) + F.col(f"_{k}")).alias(f"{k}_cum") for k in sums))
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, at: list[float], n: int = 1024) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], value: str, at: list[float], n: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation: by.., n_values, q (array, in the order of ``at``).
 
     Distinct values with their running counts give the values at the two ranks around each quantile. NULL and NaN are no values.
