@@ -412,16 +412,30 @@ def leaks_of(docs: list[list[str]], doc_of: np.ndarray, key: np.ndarray, diagona
     c = _coefficients()
     mixed = lambda doc, w: ((w ^ (doc.astype(np.uint64) * c[61])) * c[60]) >> np.uint64(24) << np.uint64(24)
     at = np.arange(len(tok)) - np.repeat(starts[:-1], np.diff(starts))
-    stands = np.sort(mixed(np.repeat(np.arange(len(docs)), np.diff(starts)), tok) + at.astype(np.uint64))
+    stands = np.append(np.sort(mixed(np.repeat(np.arange(len(docs)), np.diff(starts)), tok) + at.astype(np.uint64)), ~np.uint64(0))
     want = mixed(np.repeat(d, size), own)
-    next_ = stands[np.minimum(np.searchsorted(stands, want + np.maximum(place - s.around, 0).astype(np.uint64)), len(stands) - 1)]
+    next_ = stands[np.searchsorted(stands[:-1], want + np.maximum(place - s.around, 0).astype(np.uint64))]
     held = (next_ >= want) & (next_ - want <= np.maximum(place + s.around, 0).astype(np.uint64)) & (place + s.around >= 0)
     psize, prows = size[heads], rows[heads]
     pfirst = np.cumsum(psize) - psize
+    pair = np.repeat(np.cumsum(new) - 1, size)
+    to = pfirst[pair] + cell
     there = np.zeros(int(psize.sum()), bool)
-    there[(np.repeat(pfirst[np.cumsum(new) - 1], size) + cell)[held]] = True
-    have = windows(there, np.arange(len(there)) - np.repeat(pfirst, psize), prows, psize)
-    likely = (prows - np.maximum.reduceat(have, pfirst)) * (1 + _MISS) < prows
+    there[to[held]] = True
+    best = lambda: np.maximum.reduceat(windows(there, np.arange(len(there)) - np.repeat(pfirst, psize), prows, psize), pfirst)
+    likely = (prows - best()) * (1 + _MISS) < prows
+    # the other words of those pairs may be near to one that stands there; a longer stretch holds a window of as many words with one less than its share at worst
+    open_ = np.flatnonzero(likely[pair] & ~there[to])
+    lows, highs = starts[d], starts[d + 1]
+    low, high = np.repeat(lows, size)[open_], np.repeat(highs, size)[open_]
+    for off in range(-s.around, s.around + 1):
+        col = low + place[open_] + off
+        ok = (col >= low) & (col < high)
+        ok[ok] = may_be_near(tuple(v[mine[open_[ok]]] for v in tests.letters), tuple(v[col[ok]] for v in sets))
+        there[to[open_[ok]]] = True
+        still = ~there[to[open_]]
+        open_, low, high = open_[still], low[still], high[still]
+    likely &= best() >= np.ceil(s.agree * prows) - 1
     ends = np.append(heads[1:], len(d))
     for k, end in zip(heads[likely].tolist(), ends[likely].tolist(), strict=True):
         n, t = int(d[k]), tests.all[e[k]]
