@@ -2,123 +2,128 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scoring as s
-from .fixtures import SQL, comparison
+from .fixtures import LINEAGE_SQL, SQL, comparison, lineage_comparison
+
+Source = Callable[[SparkSession, str], s.Comparison]
 
 
 def rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def match_frames(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(comparison(spark, d).matches)
+def match_frames(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
+    return rounded(of(spark, d).matches)
 
 
-def vertex_degree(spark: SparkSession, d: str) -> DataFrame:
-    return s.degrees(comparison(spark, d))
+def vertex_degree(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
+    return s.degrees(of(spark, d))
 
 
-def aogm_counts(spark: SparkSession, d: str) -> DataFrame:
-    c = comparison(spark, d)
+def aogm_counts(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
+    c = of(spark, d)
     return s.node_counts(c).drop("one", "hit").join(s.edge_counts(c), "seq")
 
 
-def edge_diff(spark: SparkSession, d: str) -> DataFrame:
-    return s.edge_diff(comparison(spark, d))
+def edge_diff(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
+    return s.edge_diff(of(spark, d))
 
 
-def technical_scores(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(s.technical(comparison(spark, d)))
+def technical_scores(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
+    return rounded(s.technical(of(spark, d)))
 
 
-def track_confusion(spark: SparkSession, d: str) -> DataFrame:
-    return s.confusion(comparison(spark, d))
+def track_confusion(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
+    return s.confusion(of(spark, d))
 
 
-def hota(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(s.hota(s.confusion(comparison(spark, d))))
+def hota(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
+    return rounded(s.hota(s.confusion(of(spark, d))))
 
 
-def chota(spark: SparkSession, d: str) -> DataFrame:
-    c = comparison(spark, d)
+def chota(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
+    c = of(spark, d)
     return rounded(s.chota(c, s.confusion(c)))
 
 
-def id_switches(spark: SparkSession, d: str) -> DataFrame:
-    return s.id_switches(comparison(spark, d))
+def id_switches(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
+    return s.id_switches(of(spark, d))
 
 
-def mota(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(s.mota(comparison(spark, d)))
+def mota(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
+    return rounded(s.mota(of(spark, d)))
 
 
-def mtml(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(s.mostly_tracked(s.confusion(comparison(spark, d))))
+def mtml(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
+    return rounded(s.mostly_tracked(s.confusion(of(spark, d))))
 
 
-def faf(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(s.false_alarms(comparison(spark, d)))
+def faf(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
+    return rounded(s.false_alarms(of(spark, d)))
 
 
-def identity_scores(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(s.identity(s.confusion(comparison(spark, d))))
+def identity_scores(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
+    return rounded(s.identity(s.confusion(of(spark, d))))
 
 
-def complete_tracks(spark: SparkSession, d: str) -> DataFrame:
-    return s.complete_tracks(comparison(spark, d))
+def complete_tracks(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
+    return s.complete_tracks(of(spark, d))
 
 
-def track_fractions(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(s.track_fractions(comparison(spark, d)))
+def track_fractions(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
+    return rounded(s.track_fractions(of(spark, d)))
 
 
-def ct_tf(spark: SparkSession, d: str) -> DataFrame:
-    c = comparison(spark, d)
+def ct_tf(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
+    c = of(spark, d)
     return rounded(s.ct(c).join(s.tf(c), "seq"))
 
 
-def branching_events(spark: SparkSession, d: str) -> DataFrame:
-    return s.split_matches(comparison(spark, d))
+def branching_events(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
+    return s.split_matches(of(spark, d))
 
 
-def branching_correctness(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(s.bc(comparison(spark, d)))
+def branching_correctness(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
+    return rounded(s.bc(of(spark, d)))
 
 
-def cell_cycle_cdf(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(s.cycle_cdf(comparison(spark, d)))
+def cell_cycle_cdf(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
+    return rounded(s.cycle_cdf(of(spark, d)))
 
 
-def cca(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(s.cca(comparison(spark, d)))
+def cca(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
+    return rounded(s.cca(of(spark, d)))
 
 
-def biological_scores(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(s.biological(comparison(spark, d)))
+def biological_scores(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
+    return rounded(s.biological(of(spark, d)))
 
 
-def op_clb(spark: SparkSession, d: str) -> DataFrame:
+def op_clb(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
     """Mean of the linking score and the biological mean of each tolerance."""
-    c = comparison(spark, d)
+    c = of(spark, d)
     x = s.technical(c).select("seq", "lnk").join(s.biological(c), "seq")
     return rounded(x.select("seq", *(((F.col("lnk") + F.col(f"bio_{i}")) / 2).alias(f"op_clb_{i}") for i in range(4))))
 
 
-def merge_tracks(spark: SparkSession, d: str) -> DataFrame:
-    return s.merge_tracks(comparison(spark, d).ref_tracks)
+def merge_tracks(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
+    return s.merge_tracks(of(spark, d).ref_tracks)
 
 
-def valid_checks(spark: SparkSession, d: str) -> DataFrame:
-    c = comparison(spark, d)
+def valid_checks(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
+    c = of(spark, d)
     return s.validity(c.contingency, c.comp_tracks, c.comp)
 
 
-def average_precision(spark: SparkSession, d: str) -> DataFrame:
+def average_precision(spark: SparkSession, d: str, of: Source = comparison) -> DataFrame:
     """TP / (TP + FP + FN) per seq and threshold on the overlap; above one half an object has at most one partner."""
-    c = comparison(spark, d)
+    c = of(spark, d)
     at = F.explode(F.array(*(F.lit(v / 100) for v in range(50, 100, 5)))).alias("threshold")
     v = s.node_counts(c).select("seq", "v", "c", at)
     tp = v.join(c.matches.select("seq", "iou"), "seq").where(F.col("iou") > F.col("threshold")).groupBy("seq", "threshold").agg(F.count(F.lit(1)).alias("tp"))
@@ -129,6 +134,9 @@ def average_precision(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     match_frames, vertex_degree, aogm_counts, edge_diff, technical_scores, track_confusion, hota, chota, id_switches, mota, mtml, faf, identity_scores, complete_tracks, track_fractions, ct_tf,
     branching_events, branching_correctness, cell_cycle_cdf, cca, biological_scores, op_clb, merge_tracks, valid_checks, average_precision)}
+#: the same scores over the lines of res_track, at the tables' own size
+ON_LINEAGES = (vertex_degree, aogm_counts, technical_scores, track_confusion, hota, id_switches, mota, mtml, complete_tracks, track_fractions, ct_tf, branching_events, branching_correctness, cell_cycle_cdf, cca, biological_scores, op_clb, valid_checks)
+QUERIES |= {f"lineage_{f.__name__}": functools.partial(f, of=lineage_comparison) for f in ON_LINEAGES}
 
 _W = f"WITH RECURSIVE {SQL}"
 _NODES = """, nc AS (SELECT q.seq, (SELECT count(*) FROM vr WHERE vr.seq = q.seq) AS v, (SELECT count(*) FROM vc WHERE vc.seq = q.seq) AS c, (SELECT count(*) FROM m WHERE m.seq = q.seq) AS tp,
@@ -190,7 +198,7 @@ _CHECK = """, viol AS (SELECT seq, 'label_not_unique' AS "check" FROM tc GROUP B
   UNION ALL SELECT k.seq, 'parent_ends_late' FROM tc k JOIN tc p ON p.seq = k.seq AND p.label = k.parent WHERE k.parent <> 0 AND p."end" >= k.birth
   UNION ALL SELECT seq, 'ends_before_birth' FROM tc WHERE "end" < birth
   UNION ALL SELECT v.seq, 'object_outside_track' FROM vc v WHERE NOT EXISTS (SELECT 1 FROM tc t WHERE t.seq = v.seq AND t.label = v.label AND v.frame BETWEEN t.birth AND t."end")
-  UNION ALL SELECT t.seq, 'track_without_object' FROM tc t JOIN range(0, 200) g(f) ON g.f BETWEEN t.birth AND t."end" WHERE NOT EXISTS (SELECT 1 FROM vc v WHERE v.seq = t.seq AND v.label = t.label AND v.frame = g.f)),
+  UNION ALL SELECT t.seq, 'track_without_object' FROM tc t JOIN range(0, 2000) g(f) ON g.f BETWEEN t.birth AND t."end" WHERE NOT EXISTS (SELECT 1 FROM vc v WHERE v.seq = t.seq AND v.label = t.label AND v.frame = g.f)),
 names AS (SELECT unnest(['label_not_unique', 'parent_negative', 'parent_missing', 'parent_ends_late', 'ends_before_birth', 'object_outside_track', 'track_without_object']) AS "check")"""
 
 ORACLE = {
@@ -219,3 +227,4 @@ ORACLE = {
     "valid_checks": f"{_W}{_CHECK} SELECT q.seq, n.\"check\", (SELECT count(*) FROM viol v WHERE v.seq = q.seq AND v.\"check\" = n.\"check\") AS violations FROM seqs q CROSS JOIN names n",
     "average_precision": f"{_W}{_NODES} SELECT x.seq, threshold, tp, round(tp / (v + c - tp + 1e-6), 6) AS ap FROM (SELECT nc.seq, nc.v, nc.c, g.i / 100.0::DOUBLE AS threshold, (SELECT count(*) FROM m WHERE m.seq = nc.seq AND m.iou > g.i / 100.0::DOUBLE) AS tp FROM nc CROSS JOIN range(50, 100, 5) g(i)) x",
 }
+ORACLE |= {f"lineage_{f.__name__}": ORACLE[f.__name__].replace(SQL, LINEAGE_SQL) for f in ON_LINEAGES}
