@@ -58,12 +58,36 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(_DIGITS.sub("", t))
 
 
-class _Hashes(dict):
+class Vocabulary(dict):
+    """Numbers of words, with the hash, the set of letters (as 64 bits) and the length of each number's word."""
+
+    def __init__(self) -> None:
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.hash, self.bits, self.size = np.empty(1 << 14, np.uint64), np.empty(1 << 14, np.uint64), np.empty(1 << 14, np.int64)
+
     def __missing__(self, w: str) -> int:
+        n = len(self)
+        if n == len(self.hash):
+            self.hash, self.bits, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.hash, self.bits, self.size))
+        bits = 0
+        for c in set(w):
+            bits |= 1 << (ord(c) & 63)
+        self.hash[n], self.bits[n], self.size[n] = xxhash.xxh3_64_intdigest(w), bits, len(w)
+        self[w] = n
+        return n
+
+    def hashes(self, ws: list[str]) -> np.ndarray:
+        own = self.numbers(ws)
+        return self.hash[own]
+
+    def numbers(self, ws: list[str]) -> np.ndarray:
+        """The numbers of words; those given before may no longer hold."""
         if len(self) > 1_000_000:
-            self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
-        return h
+            self.reset()
+        return np.array([self[w] for w in ws], np.int64)
 
 
 @functools.lru_cache(maxsize=1)
@@ -117,22 +141,6 @@ def near(a: str, b: str) -> bool:
     return row[-1] <= most
 
 
-class _Bits(dict):
-    def __missing__(self, w: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        bits = 0
-        for c in set(w):
-            bits |= 1 << (ord(c) & 63)
-        self[w] = bits
-        return bits
-
-
-def letters(ws: list[str], known: _Bits) -> tuple[np.ndarray, np.ndarray]:
-    """Per word its set of letters as 64 bits, and its length."""
-    return np.array([known[w] for w in ws], np.uint64), np.array([len(w) for w in ws], np.int64)
-
-
 def parts_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The words of a test text as compared, for each the number of the word of the text (as written) that it stands in, and whether it is a name or a number.
 
@@ -153,12 +161,12 @@ def parts_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
 class Test:
     """A test text made ready for comparison."""
 
-    def __init__(self, item: int, text: str, hashes: dict, bits_of: dict, s: Search):
+    def __init__(self, item: int, text: str, known: Vocabulary, s: Search):
         self.item = item
         self.words, self.of, self.fixed = parts_of(text)
         of = self.of
-        self.tok = np.array([hashes[x] for x in self.words], np.uint64)
-        self.letters = letters(self.words, bits_of)
+        own = known.numbers(self.words)
+        self.tok, self.letters = known.hash[own], (known.bits[own], known.size[own])
         self.digits = np.array([w.isdigit() for w in self.words], bool)
         # fewest words, as compared, in a stretch of s.words (places without any, such as dashes, count there too)
         begins = of + s.words - 1 <= of[-1]
@@ -169,8 +177,8 @@ class Tests:
     """Test texts, at least one, laid end to end."""
 
     def __init__(self, rows: list[tuple[int, int, str]], s: Search):
-        self.hashes, self.bits_of = _Hashes(), _Bits()
-        self.all = [Test(item, text, self.hashes, self.bits_of, s) for _, item, text in rows]
+        self.known = Vocabulary()
+        self.all = [Test(item, text, self.known, s) for _, item, text in rows]
         self.number = {e: i for i, (e, _, _) in enumerate(rows)}
         self.start = np.concatenate([[0], np.cumsum([len(t.tok) for t in self.all])]).astype(np.int64)
         self.tok = np.concatenate([t.tok for t in self.all])
@@ -370,10 +378,9 @@ def leaks_of(docs: list[list[str]], doc_of: np.ndarray, key: np.ndarray, diagona
     """
     if not len(doc_of):
         return []
-    hashes = tests.hashes
-    flat = [w for ws in docs for w in ws]
-    tok = np.array([hashes[w] for w in flat], np.uint64)
-    sets = letters(flat, tests.bits_of)
+    known = tests.known
+    flat = known.numbers([w for ws in docs for w in ws])
+    tok, sets = known.hash[flat], (known.bits[flat], known.size[flat])
     starts = np.concatenate([[0], np.cumsum([len(x) for x in docs])]).astype(np.int64)
     order = np.lexsort((diagonal, key, doc_of))
     d, e, diagonal = doc_of[order], key[order], diagonal[order]
@@ -455,13 +462,13 @@ def _test_windows(s: Search) -> object:
     """Rows hash, e, place of all windows of the test texts e, text; texts that are too short give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        known = Vocabulary()
         for b in batches:
             e, h, at = [], [], []
             for key, text in zip(b.column("e").to_pylist(), b.column("text").to_pylist(), strict=True):
                 w, of, _ = parts_of(text)
                 if len(of) and of[-1] - of[0] + 1 >= s.words:
-                    for _, x in _windows(np.array([hashes[v] for v in w], np.uint64), s.masks):
+                    for _, x in _windows(known.hashes(w), s.masks):
                         h.append(x)
                         at.append(np.arange(len(x), dtype=np.int32))
                         e.append(np.full(len(x), key, np.int64))
@@ -485,14 +492,14 @@ def _seen(shared: object, bits: int, s: Search) -> object:
     """Documents with windows that may be in the test texts: id, row, words (with spaces between), hits (hash, place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there, hashes = shared.value, _Hashes()
+        there, known = shared.value, Vocabulary()
         row = TaskContext.get().partitionId() << 33
         shift, low = np.uint64(64 - bits), np.uint64(7)
         for b in batches:
             for first in range(0, b.num_rows, 2000):
                 c = b.slice(first, 2000)
                 lists = [words(t) for t in c.column("text").to_pylist()]
-                tok = np.array([hashes[w] for ws in lists for w in ws], np.uint64)
+                tok = known.hashes([w for ws in lists for w in ws])
                 size = np.array([len(x) for x in lists], np.int64)
                 ends = np.cumsum(size)
                 doc_of = np.repeat(np.arange(len(lists)), size)
