@@ -189,3 +189,78 @@ def daughter_pairs(candidates: DataFrame) -> DataFrame:
     d = d.where(F.col("sibling").between(10, 300) & (F.col("error") <= 0.5))
     best = d.groupBy("seq", "parent").agg(F.min(F.struct("error", "sibling", "a", "b")).alias("m"))
     return best.select("seq", "parent", "m.a", "m.b", "m.sibling", "m.error")
+
+
+# marks along lineages
+
+
+def ancestors_of(tracks: DataFrame, marked: DataFrame) -> DataFrame:
+    """The ``marked`` cells (seq, cell_id) of ``tracks`` and all their ancestors: seq, cell_id. Only the marked cells' paths are taken apart.
+
+    ``tracks``: seq, cell_id, parent_id (NULL: none), one row per cell. Cells on or below rings have neither ancestors nor descendants.
+    """
+    p = hierarchy.paths(tracks, "seq", "cell_id", "parent_id").where("path is not null")
+    return p.join(marked.select("seq", "cell_id"), ["seq", "cell_id"], "left_semi").select("seq", F.explode("path").alias("cell_id")).distinct()
+
+
+def _tops(tracks: DataFrame, cut: DataFrame) -> DataFrame:
+    """The top of each cell's line once the lines end at the cells ``cut``: seq, cell_id, root."""
+    d = tracks.join(cut.select("seq", "cell_id").distinct().withColumn("cut", F.lit(True)), ["seq", "cell_id"], "left")
+    d = d.select("seq", "cell_id", F.when(F.col("cut").isNull(), F.col("parent_id")).alias("parent_id"))
+    return hierarchy.forest(d, "seq", "cell_id", "parent_id").where("ring is null").select("seq", "cell_id", "root")
+
+
+def descendants_of(tracks: DataFrame, marked: DataFrame) -> DataFrame:
+    """The ``marked`` cells of ``tracks`` and all their descendants, as ``ancestors_of``: those whose line, ended at marked cells, has a marked top. No pairs are formed."""
+    tops = _tops(tracks, marked).join(marked.select("seq", F.col("cell_id").alias("root")).distinct(), ["seq", "root"], "left_semi")
+    rings = hierarchy.forest(tracks, "seq", "cell_id", "parent_id").where("ring is not null").select("seq", "cell_id")
+    return tops.select("seq", "cell_id").join(rings, ["seq", "cell_id"], "left_anti")
+
+
+def validated(tracks: DataFrame, judged: DataFrame) -> DataFrame:
+    """Whether a track stands: its longest gap is tolerated, or exceeds that by one and its parent stands: seq, cell_id, stands, own.
+
+    ``judged``: rows of ``continuity``. Lines end at tracks that are judged by themselves: fine ones, and ones with gaps too long for the parent to help.
+    """
+    own = judged.select("seq", "cell_id", F.col("continuous").alias("own"), (F.col("longest") == F.col("allowed") + 1).alias("near"))
+    t = tracks.join(own, ["seq", "cell_id"])
+    tops = _tops(t, t.where("own or not near"))
+    good = own.where("own").select("seq", F.col("cell_id").alias("root"), F.lit(True).alias("stands"))
+    d = own.join(tops, ["seq", "cell_id"], "left").join(good, ["seq", "root"], "left")
+    return d.select("seq", "cell_id", F.coalesce("stands", F.lit(False)).alias("stands"), "own")
+
+
+def ground_truth(rows: DataFrame) -> DataFrame:
+    """Cells of class 1 that have a row in frame 0; all cells of class 1 of a sequence where none has: seq, cell_id."""
+    g = rows.groupBy("seq", "cell_id").agg(F.max(F.coalesce(F.col("label") == 1, F.lit(False))).alias("rare"), (F.min("frame") == 0).alias("first")).where("rare")
+    some = F.max("first").over(Window.partitionBy("seq"))
+    return g.withColumn("some", some).where("first or not some").select("seq", "cell_id")
+
+
+def final_labels(tracks: DataFrame, rows: DataFrame, detected: DataFrame, radius: float = 50.0) -> DataFrame:
+    """The label of every cell that has a track or a row: seq, cell_id, label (0 or 1), reason.
+
+    Class 1 are the cells of the ground truth, and of those related to it or to ``detected`` cells the ones whose track has no gap too long or that have rows only: ancestors of detected
+    cells, detected cells, descendants of the ground truth without long gaps. Cells that begin in frame 0 are of class 1 only as ground
+    truth. In a sequence without any parent the neighbours of those cells, in some frame at most ``radius`` apart, stand for relatives.
+    """
+    rows, detected = stage(rows.select("seq", "cell_id", "frame", "x", "y", "label")), stage(detected.select("seq", "cell_id").distinct())
+    truth = stage(ground_truth(rows))
+    fine = stage(continuity(tracks, rows).where("continuous").select("seq", "cell_id"))
+    here = tracks.select("seq", F.col("cell_id").alias("parent_id")).distinct()
+    linked = stage(tracks.join(here, ["seq", "parent_id"], "left_semi").select("seq").distinct())
+    key = ["seq", "cell_id"]
+    forward = descendants_of(tracks, truth)
+    forward = forward.join(fine, key, "left_semi").unionByName(truth)
+    seeds = stage(detected.unionByName(truth).distinct().join(linked, "seq", "left_anti"))
+    lone = rows.join(seeds.select("seq").distinct(), "seq", "left_semi")
+    near = neighbours(lone, radius)
+    pairs = near.select("seq", F.col("a").alias("cell_id"), F.col("b").alias("other")).unionByName(near.select("seq", F.col("b").alias("cell_id"), F.col("a").alias("other"))).distinct()
+    around = pairs.join(seeds.withColumnRenamed("cell_id", "other"), ["seq", "other"], "left_semi").select("seq", "cell_id")
+    chosen = ancestors_of(tracks, detected).join(linked, "seq", "left_semi").unionByName(detected).unionByName(forward.join(linked, "seq", "left_semi")).unionByName(seeds).unionByName(around).unionByName(truth).distinct()
+    flag = lambda d, name: d.select(*key).distinct().withColumn(name, F.lit(True))
+    every = tracks.select(*key, "start_frame").join(rows.select(*key).distinct(), key, "full")
+    d = every.join(flag(chosen, "kin"), key, "left").join(flag(truth, "gt"), key, "left").join(flag(fine, "fine"), key, "left")
+    none = F.col("kin").isNull() | (F.col("start_frame") == 0)
+    reason = F.when(F.col("gt"), "ground truth").when(none, "none").when(F.col("start_frame").isNull() | F.col("fine"), F.when(F.col("start_frame").isNull(), "rows only").otherwise("continuous")).otherwise("gap")
+    return d.select(*key, F.when(reason.isin("none", "gap"), 0).otherwise(1).alias("label"), reason.alias("reason"))

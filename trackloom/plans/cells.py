@@ -148,66 +148,104 @@ def track_integrity(spark: SparkSession, d: str) -> DataFrame:
 # labels along lineages
 
 
-def _classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Existing cells, the cells of class 1 (any row), and all (cell, ancestor or itself) pairs."""
+def _classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Existing cells, and those of class 1 (any row)."""
     t = stage(cells(spark, d))
     rare = observations(spark, d).where("label = 1").select("seq", "cell_id").distinct()
-    p = hierarchy.paths(t, "seq", "cell_id", "parent_id").where("path is not null").select("seq", "cell_id", F.explode("path").alias("ancestor"))
-    return t, stage(rare.join(t.select("seq", "cell_id"), ["seq", "cell_id"], "left_semi")), stage(p)
+    return t, stage(rare.join(t.select("seq", "cell_id"), ["seq", "cell_id"], "left_semi"))
 
 
 def backward_trace(spark: SparkSession, d: str) -> DataFrame:
     """Cells of class 1 and all their ancestors."""
-    _, rare, p = _classes(spark, d)
-    return p.join(rare, ["seq", "cell_id"], "left_semi").select("seq", F.col("ancestor").alias("cell_id")).distinct()
+    return c.ancestors_of(*_classes(spark, d))
 
 
 def forward_trace(spark: SparkSession, d: str) -> DataFrame:
     """Cells of class 1 and all their descendants."""
-    _, rare, p = _classes(spark, d)
-    return p.join(rare.withColumnRenamed("cell_id", "ancestor"), ["seq", "ancestor"], "left_semi").select("seq", "cell_id").distinct()
+    return c.descendants_of(*_classes(spark, d))
 
 
 def label_setops(spark: SparkSession, d: str) -> DataFrame:
     """Every cell that either trace reaches, with the traces that reach it."""
-    _, rare, p = _classes(spark, d)
-    back = p.join(rare, ["seq", "cell_id"], "left_semi").select("seq", F.col("ancestor").alias("cell_id"))
-    on = p.join(rare.withColumnRenamed("cell_id", "ancestor"), ["seq", "ancestor"], "left_semi").select("seq", "cell_id")
+    t, rare = _classes(spark, d)
+    back, on = stage(c.ancestors_of(t, rare)), stage(c.descendants_of(t, rare))
     both = back.intersect(on).withColumn("traces", F.lit("both"))
     return both.unionByName(back.subtract(on).withColumn("traces", F.lit("backward"))).unionByName(on.subtract(back).withColumn("traces", F.lit("forward")))
 
 
 def failed_progenitors(spark: SparkSession, d: str) -> DataFrame:
     """Cells of class 1 at their first labelled row of which no row in the last frames (350 on) nor any descendant's is of class 1, and that end before frame 250."""
-    t, _, p = _classes(spark, d)
+    t = stage(cells(spark, d))
     o = observations(spark, d)
     first = o.where("label is not null").groupBy("seq", "cell_id").agg(F.min_by("label", "frame").alias("label")).where("label = 1").select("seq", "cell_id")
-    late = o.where("label = 1 and frame >= 350").select("seq", "cell_id").distinct()
-    kept = p.join(late, ["seq", "cell_id"], "left_semi").select("seq", F.col("ancestor").alias("cell_id")).distinct()
+    kept = c.ancestors_of(t, o.where("label = 1 and frame >= 350").select("seq", "cell_id").distinct())
     return t.where("end_frame < 250").select("seq", "cell_id").join(first, ["seq", "cell_id"], "left_semi").join(kept, ["seq", "cell_id"], "left_anti")
 
 
+def _kin(spark: SparkSession, d: str) -> DataFrame:
+    t, rare = _classes(spark, d)
+    return c.ancestors_of(t, rare).union(c.descendants_of(t, rare)).distinct().withColumn("retro", F.lit(1))
+
+
 def retrospective_labels(spark: SparkSession, d: str) -> DataFrame:
     """Rows per seq and label once every cell related to one of class 1 (ancestor, itself, descendant) is given class 1."""
-    _, rare, p = _classes(spark, d)
-    back = p.join(rare, ["seq", "cell_id"], "left_semi").select("seq", F.col("ancestor").alias("cell_id"))
-    on = p.join(rare.withColumnRenamed("cell_id", "ancestor"), ["seq", "ancestor"], "left_semi").select("seq", "cell_id")
-    chosen = back.union(on).distinct().withColumn("retro", F.lit(1))
-    o = observations(spark, d).join(chosen, ["seq", "cell_id"], "left").withColumn("retro", F.coalesce("retro", F.lit(0)))
+    o = observations(spark, d).join(_kin(spark, d), ["seq", "cell_id"], "left").withColumn("retro", F.coalesce("retro", F.lit(0)))
     return o.groupBy("seq", "retro").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("cell_id").alias("n_cells"))
 
 
 def phase_labels(spark: SparkSession, d: str) -> DataFrame:
     """Cells per phase by label: class 1 if the cell or a relative is of class 1 and the row lies in that phase."""
-    _, rare, p = _classes(spark, d)
-    kin = p.join(rare, ["seq", "cell_id"], "left_semi").select("seq", F.col("ancestor").alias("cell_id")).union(p.join(rare.withColumnRenamed("cell_id", "ancestor"), ["seq", "ancestor"], "left_semi").select("seq", "cell_id")).distinct().withColumn("retro", F.lit(1))
-    o = observations(spark, d).withColumn("phase", c.phase(F.col("frame"))).join(kin, ["seq", "cell_id"], "left")
+    o = observations(spark, d).withColumn("phase", c.phase(F.col("frame"))).join(_kin(spark, d), ["seq", "cell_id"], "left")
     return o.groupBy("phase", F.coalesce("retro", F.lit(0)).alias("retro")).agg(F.countDistinct("seq", "cell_id").alias("n_cells"))
 
 
+def ground_truth_cells(spark: SparkSession, d: str) -> DataFrame:
+    return c.ground_truth(observations(spark, d))
+
+
+def _final(spark: SparkSession, d: str) -> DataFrame:
+    o = observations(spark, d)
+    return c.final_labels(stage(cells(spark, d)), o, o.where("label = 1 and frame >= 350"))
+
+
+def cell_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The final label of every cell with a track or a row, and why; detected are the cells with a row of class 1 from frame 350 on."""
+    return _final(spark, d)
+
+
+def labelled_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The arranged rows with their cell's final label."""
+    return arranged(spark, d).drop("label").join(_final(spark, d).select("seq", "cell_id", "label"), ["seq", "cell_id"])
+
+
+def validated_cells(spark: SparkSession, d: str) -> DataFrame:
+    t = stage(cells(spark, d))
+    return c.validated(t, stage(c.continuity(t, observations(spark, d))))
+
+
+def missing_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Per seq and frame the cells that should be there and are not, as a list of numbers."""
+    m = c.missing_frames(cells(spark, d), observations(spark, d))
+    return m.groupBy("seq", "frame").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("cell_id")), ",").alias("cells"))
+
+
+def steady_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Cells with rows in at least 5 frames: rows, median position and mean area."""
+    o = observations(spark, d).where("x is not null and y is not null")
+    g = o.groupBy("seq", "cell_id").agg(F.count(F.lit(1)).alias("n"), F.median("x").alias("x"), F.median("y").alias("y"), F.avg("area").alias("area"))
+    return rounded(g.where("n >= 5"))
+
+
+def all_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells with a track, with rows, or both."""
+    t, o = (x.select("seq", "cell_id").distinct() for x in (cells(spark, d), observations(spark, d)))
+    side = F.when(F.col("o").isNull(), "track").when(F.col("t").isNull(), "rows").otherwise("both")
+    return t.withColumn("t", F.lit(1)).join(o.withColumn("o", F.lit(1)), ["seq", "cell_id"], "full").select("seq", "cell_id", side.alias("known"))
+
+
 QUERIES = {f.__name__: f for f in (
     arranged, interpolate_positions, speed, label_carry_forward, missing_frames, gap_runs, continuity, nearest_frame_fill, spatial_neighbours, frame_counts, overall_counts, lineage_report, families, reported_levels,
-    phase_counts, track_quality, moving_tracks, daughter_candidates, daughter_pairs, feature_stats, track_integrity, backward_trace, forward_trace, label_setops, failed_progenitors, retrospective_labels, phase_labels)}
+    phase_counts, track_quality, moving_tracks, daughter_candidates, daughter_pairs, feature_stats, track_integrity, backward_trace, forward_trace, label_setops, failed_progenitors, retrospective_labels, phase_labels, ground_truth_cells, cell_labels, labelled_rows, validated_cells, missing_cells, steady_tracks, all_cells)}
 
 _NUM = "CASE WHEN isnan({0}) THEN NULL ELSE {0} END"
 _OBS = f"""obs AS (SELECT seq, "Cell ID" AS cell_id, Frame AS frame, {_NUM.format("X")} AS x, {_NUM.format("Y")} AS y, {_NUM.format("Area")} AS area, {_NUM.format("Volume")} AS volume, Label AS label, fov FROM
@@ -263,3 +301,23 @@ ORACLE = {
     "retrospective_labels": f"{_C}{_CLASS} SELECT o.seq, CASE WHEN k.cell_id IS NULL THEN 0 ELSE 1 END AS retro, count(*) AS n_rows, count(DISTINCT o.cell_id) AS n_cells FROM obs o LEFT JOIN kin k ON k.seq = o.seq AND k.cell_id = o.cell_id GROUP BY ALL",
     "phase_labels": f"{_C}{_CLASS} SELECT {_PHASE} AS phase, CASE WHEN k.cell_id IS NULL THEN 0 ELSE 1 END AS retro, count(DISTINCT (o.seq, o.cell_id)) AS n_cells FROM obs o LEFT JOIN kin k ON k.seq = o.seq AND k.cell_id = o.cell_id GROUP BY ALL",
 }
+
+_CONT = ORACLE["continuity"].removesuffix(" SELECT *, longest <= allowed AS continuous FROM y") + ", cont AS (SELECT *, longest <= allowed AS continuous FROM y)"
+_FINAL = f"""{_CONT}{_CLASS}, lab AS (SELECT DISTINCT seq, cell_id FROM obs WHERE label = 1), lab0 AS (SELECT DISTINCT l.* FROM lab l JOIN obs o ON o.seq = l.seq AND o.cell_id = l.cell_id AND o.frame = 0),
+gt AS (SELECT * FROM lab0 UNION SELECT * FROM lab WHERE seq NOT IN (SELECT seq FROM lab0)), det AS (SELECT DISTINCT seq, cell_id FROM obs WHERE label = 1 AND frame >= 350), lk AS (SELECT DISTINCT seq FROM links),
+seeds AS (SELECT * FROM det WHERE seq NOT IN (SELECT seq FROM lk) UNION SELECT * FROM gt WHERE seq NOT IN (SELECT seq FROM lk)),
+chosen AS (SELECT a.seq, a.ancestor AS cell_id FROM anc a JOIN det d ON d.seq = a.seq AND d.cell_id = a.cell_id UNION SELECT * FROM det UNION SELECT * FROM gt
+  UNION SELECT a.seq, a.cell_id FROM anc a JOIN gt g ON g.seq = a.seq AND g.cell_id = a.ancestor JOIN cont c ON c.seq = a.seq AND c.cell_id = a.cell_id AND c.continuous WHERE a.seq IN (SELECT seq FROM lk)
+  UNION SELECT b.seq, b.cell_id FROM obs a JOIN seeds s ON s.seq = a.seq AND s.cell_id = a.cell_id JOIN obs b ON b.seq = a.seq AND b.frame = a.frame AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 50),
+every AS (SELECT coalesce(t.seq, o.seq) AS seq, coalesce(t.cell_id, o.cell_id) AS cell_id, t.start_frame FROM tk t FULL JOIN (SELECT DISTINCT seq, cell_id FROM obs) o ON o.seq = t.seq AND o.cell_id = t.cell_id),
+final AS (SELECT *, CASE WHEN reason IN ('none', 'gap') THEN 0 ELSE 1 END AS label FROM (SELECT e.seq, e.cell_id, CASE WHEN g.cell_id IS NOT NULL THEN 'ground truth' WHEN k.cell_id IS NULL OR e.start_frame = 0 THEN 'none' WHEN e.start_frame IS NULL THEN 'rows only' WHEN c.continuous THEN 'continuous' ELSE 'gap' END AS reason
+  FROM every e LEFT JOIN gt g ON g.seq = e.seq AND g.cell_id = e.cell_id LEFT JOIN chosen k ON k.seq = e.seq AND k.cell_id = e.cell_id LEFT JOIN cont c ON c.seq = e.seq AND c.cell_id = e.cell_id))"""
+ORACLE |= {
+    "ground_truth_cells": f"{_O}, lab AS (SELECT DISTINCT seq, cell_id FROM obs WHERE label = 1), lab0 AS (SELECT DISTINCT l.* FROM lab l JOIN obs o ON o.seq = l.seq AND o.cell_id = l.cell_id AND o.frame = 0) SELECT * FROM lab0 UNION SELECT * FROM lab WHERE seq NOT IN (SELECT seq FROM lab0)",
+    "cell_labels": f"{_FINAL} SELECT seq, cell_id, label, reason FROM final",
+    "labelled_rows": f"{_FINAL} SELECT o.seq, o.cell_id, o.area, o.volume, o.x, o.y, o.frame, f.label FROM obs o JOIN final f ON f.seq = o.seq AND f.cell_id = o.cell_id WHERE x IS NOT NULL AND y IS NOT NULL",
+    "validated_cells": f"{_CONT}, ok AS (SELECT seq, cell_id FROM cont WHERE continuous UNION SELECT k.seq, k.cell_id FROM ok JOIN links k ON k.seq = ok.seq AND k.parent_id = ok.cell_id JOIN cont c ON c.seq = k.seq AND c.cell_id = k.cell_id WHERE c.longest = c.allowed + 1) SELECT c.seq, c.cell_id, ok.cell_id IS NOT NULL AS stands, c.continuous AS own FROM cont c LEFT JOIN ok ON ok.seq = c.seq AND ok.cell_id = c.cell_id",
+    "missing_cells": f"{_C}{_MISSING} SELECT seq, frame, count(*) AS n, string_agg(cell_id, ',' ORDER BY cell_id) AS cells FROM miss GROUP BY ALL",
+    "steady_tracks": f"{_O} SELECT seq, cell_id, count(*) AS n, round(median(x), 6) AS x, round(median(y), 6) AS y, round(avg(area), 6) AS area FROM obs WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL HAVING count(*) >= 5",
+    "all_cells": f"{_C} SELECT coalesce(t.seq, o.seq) AS seq, coalesce(t.cell_id, o.cell_id) AS cell_id, CASE WHEN o.cell_id IS NULL THEN 'track' WHEN t.cell_id IS NULL THEN 'rows' ELSE 'both' END AS known FROM (SELECT DISTINCT seq, cell_id FROM tk) t FULL JOIN (SELECT DISTINCT seq, cell_id FROM obs) o ON o.seq = t.seq AND o.cell_id = t.cell_id",
+}
