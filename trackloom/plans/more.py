@@ -92,6 +92,18 @@ def image_objects(spark: SparkSession, d: str) -> DataFrame:
     return rounded(im.objects(im.components(im.binarized(stage(image_pixels(spark, d))).where("v > 0")), 3))
 
 
+def image_features(spark: SparkSession, d: str) -> DataFrame:
+    px = stage(image_pixels(spark, d))
+    return rounded(im.features(stage(im.components(im.binarized(px).where("v > 0"))), px))
+
+
+def image_solidity(spark: SparkSession, d: str) -> DataFrame:
+    """Perimeter, area of the convex hull and their ratio (0 without a hull) of every object."""
+    labels = stage(im.components(im.binarized(stage(image_pixels(spark, d))).where("v > 0")))
+    h = im.perimeters(labels).join(im.hulls(labels), ["seq", "frame", "ty", "tx"])
+    return rounded(h.withColumn("solidity", F.when(F.col("hull") > 0, F.col("perimeter") / F.col("hull")).otherwise(0.0)))
+
+
 def image_contrast(spark: SparkSession, d: str) -> DataFrame:
     c = im.contrasted(image_pixels(spark, d))
     return rounded(c.groupBy("seq", "frame", "factor").agg(F.avg("v").alias("mean"), F.count(F.when(F.col("v") == 255, 1)).alias("saturated")))
@@ -231,7 +243,7 @@ def stream_id_switches(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    tracker_segments, consensus_groups, late_consensus, consensus_representatives, path_extensions, renumbered, image_statistics, image_presence, image_binarized, image_components, image_objects, image_contrast,
+    tracker_segments, consensus_groups, late_consensus, consensus_representatives, path_extensions, renumbered, image_statistics, image_presence, image_binarized, image_components, image_objects, image_features, image_solidity, image_contrast,
     image_transforms, segmentation_dice, overlap_detection, noise_splits, noise_matches, noise_false_positives, noise_false_negatives, noise_switches, noise_effect, noise_settings, track_files, feature_files,
     sequence_discovery, shared_columns, image_files, stream_windows, stream_id_switches)}
 
@@ -267,6 +279,14 @@ ORACLE = {
     "image_binarized": f"{_I} SELECT * FROM bin",
     "image_components": f"{_I}{_K} SELECT seq, frame, y, x, cast(ty AS INTEGER) AS ty, cast(tx AS INTEGER) AS tx FROM cc",
     "image_objects": f"{_I}{_K} SELECT seq, frame, cast(ty AS INTEGER) AS ty, cast(tx AS INTEGER) AS tx, count(*) AS area, round(avg(y), 6) AS cy, round(avg(x), 6) AS cx, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1, round(count(*) / ((max(y) - min(y) + 1) * (max(x) - min(x) + 1)), 6) AS extent FROM cc GROUP BY ALL HAVING count(*) >= 3",
+    "image_features": f"""{_I}{_K}, qd AS (SELECT seq, frame, ty, tx, y - i AS qy, x - j AS qx, sum(1 << (2 * i + j)) AS m FROM cc CROSS JOIN (VALUES (0), (1)) a(i) CROSS JOIN (VALUES (0), (1)) b(j) GROUP BY ALL),
+      pm AS (SELECT seq, frame, ty, tx, sum(CASE WHEN m IN (6, 9) THEN sqrt(2) WHEN m IN (3, 5, 10, 12) THEN 1 WHEN m = 15 THEN 0 ELSE 1 / sqrt(2) END) AS p FROM qd GROUP BY ALL),
+      gr AS (SELECT o.seq, o.frame, o.y, o.x, o.v, sqrt(((coalesce(r.v, o.v) - coalesce(l.v, o.v)) / 2) ** 2 + ((coalesce(n.v, o.v) - coalesce(u.v, o.v)) / 2) ** 2) AS g FROM ip o {" ".join(f"LEFT JOIN ip {k} ON {k}.seq = o.seq AND {k}.frame = o.frame AND {k}.y = o.y {i} AND {k}.x = o.x {j}" for k, i, j in (("r", "", "+ 1"), ("l", "", "- 1"), ("n", "+ 1", ""), ("u", "- 1", "")))}),
+      ob AS (SELECT cc.seq, cc.frame, cast(ty AS INTEGER) AS ty, cast(tx AS INTEGER) AS tx, count(*) AS n, avg(cc.y) AS cy, avg(cc.x) AS cx, var_pop(cc.y) AS vy, var_pop(cc.x) AS vx, covar_pop(cc.x, cc.y) AS cxy, (max(cc.y) - min(cc.y) + 1) * (max(cc.x) - min(cc.x) + 1) AS box, avg(v) AS im, sum(v) AS isum, stddev_pop(v) AS isd, max(v) AS imax, min(v) AS imin, avg(g) AS g
+        FROM cc JOIN gr ON gr.seq = cc.seq AND gr.frame = cc.frame AND gr.y = cc.y AND gr.x = cc.x GROUP BY ALL),
+      ax AS (SELECT ob.*, p, greatest(2 * sqrt(greatest(round((vx + vy + sqrt((vx - vy) ** 2 + 4 * cxy ** 2)) / 2, 9), 0)), 0.001) ** 2 AS b2, greatest(2 * sqrt(greatest(round((vx + vy - sqrt((vx - vy) ** 2 + 4 * cxy ** 2)) / 2, 9), 0)), 0.001) ** 2 AS c2 FROM ob JOIN pm ON pm.seq = ob.seq AND pm.frame = ob.frame AND pm.ty = ob.ty AND pm.tx = ob.tx)
+      SELECT seq, frame, ty, tx, n AS volume, round(p, 6) AS area, round(p, 6) AS perimeter, round(p / (4 * pi()), 6) AS compactness, round(pi() ** (1.0 / 3) * (6 * n) ** (2.0 / 3) / p, 6) AS sphericity, round(p / box, 6) AS extent, round(0.5 / (0.25 + b2) * greatest(1 - (0.25 + b2) / (2 * c2), 0), 6) AS prolate,
+      round(2 * b2 / (b2 + c2) * greatest(1 - 0.5 / (b2 + c2), 0), 6) AS oblate, cast(1.5 AS DOUBLE) AS nucleus_ratio, round(sqrt(cy ** 2 + cx ** 2), 6) AS displacement, round(im, 6) AS intensity_mean, round(isum, 6) AS intensity_sum, round(isd, 6) AS intensity_std, imax AS intensity_max, imin AS intensity_min, round(g, 6) AS gradient FROM ax""",
     "image_contrast": f"{_I} SELECT seq, frame, f.factor, round(avg(least(v * f.factor, 255)), 6) AS mean, count(*) FILTER (v * f.factor >= 255) AS saturated FROM ip CROSS JOIN (SELECT unnest([0.8, 0.9, 1.1, 1.2, 1.3, 1.4, 1.5]::DOUBLE[]) AS factor) f GROUP BY ALL",
     "image_transforms": f"{_I} SELECT seq, frame, y - 16 AS y, 31 - (x - 16) AS x, round((v / 255 - 0.5) / 0.5, 6) AS v FROM ip WHERE y BETWEEN 16 AND 47 AND x BETWEEN 16 AND 47",
     "segmentation_dice": f"{_N} SELECT seq, frame, round((2 * count(*) FILTER (ref > 0 AND comp > 0) + 1e-6) / (count(*) FILTER (ref > 0) + count(*) FILTER (comp > 0) + 1e-6), 6) AS dice FROM px GROUP BY ALL",
