@@ -50,6 +50,24 @@ def extensions(reps: DataFrame, seg: DataFrame, apart: float = 50.0, ratio: floa
     return best.select("fov", "start", "gx", "gy", "m.via", "m.next", (-F.col("m.k")).alias("length"), "m.distance")
 
 
+def divisions(reps: DataFrame, seg: DataFrame, apart: float = 400.0, low: float = 0.2, high: float = 0.9) -> DataFrame:
+    """The two segments that begin right after a representative's end and are its daughters: fov, start, gx, gy, via_a, cell_a, via_b, cell_b, same, sibling, error.
+
+    Pairs of one tracker go first, the first tracker by name that has any (siblings 10 to 300 apart, sizes that add up to the parent's within a half), then pairs of two trackers (15 to
+    350, 0.6). The best pair has the smallest error of size, then the nearest siblings, then the smallest names and numbers.
+    """
+    key = ["fov", "start", "gx", "gy"]
+    p = reps.where("area1 > 0").select(*key, (F.col("end") + 1).alias("next"), "x1", "y1", "area1")
+    c = p.join(seg.select("fov", F.col("start").alias("next"), F.col("algorithm").alias("via"), F.col("cell_id").alias("cell"), "x0", "y0", "area0"), ["fov", "next"])
+    c = c.withColumn("ratio", F.col("area0") / F.col("area1")).where((F.hypot(F.col("x0") - F.col("x1"), F.col("y0") - F.col("y1")) < apart) & (F.col("ratio") > low) & (F.col("ratio") < high))
+    a, b = (c.select(*key, *(F.col(n).alias(f"{n}_{s}") for n in ("via", "cell", "x0", "y0", "ratio"))) for s in "ab")
+    d = a.join(b, key).where(F.struct("via_a", "cell_a") < F.struct("via_b", "cell_b")).withColumn("same", F.col("via_a") == F.col("via_b"))
+    d = d.withColumn("sibling", F.hypot(F.col("x0_a") - F.col("x0_b"), F.col("y0_a") - F.col("y0_b"))).withColumn("error", F.abs(F.col("ratio_a") + F.col("ratio_b") - 1))
+    d = d.where((F.col("same") & F.col("sibling").between(10, 300) & (F.col("error") <= 0.5)) | (~F.col("same") & F.col("sibling").between(15, 350) & (F.col("error") <= 0.6)))
+    order = F.struct((~F.col("same")).alias("s"), F.when(F.col("same"), F.col("via_a")).otherwise("").alias("v"), F.round("error", 9).alias("e"), F.round("sibling", 9).alias("d"), "via_a", "cell_a", "via_b", "cell_b", "same", "sibling", "error")
+    return d.groupBy(*key).agg(F.min(order).alias("m")).select(*key, *(f"m.{n}" for n in ("via_a", "cell_a", "via_b", "cell_b", "same", "sibling", "error")))
+
+
 def renumber(tracks: DataFrame) -> DataFrame:
     """New numbers from 1 per seq, generation by generation, then by first frame and old number: seq, cell_id, new_id, new_parent.
 

@@ -56,14 +56,16 @@ def balanced(q: DataFrame, ratio: int = 10) -> DataFrame:
     return d.where("label = 1").select(*columns).unionByName(others.select(*columns))
 
 
-def scaled(rows: DataFrame, by: str, features: list[str]) -> DataFrame:
+def scaled(rows: DataFrame, by: str, features: list[str], fit: Column | None = None) -> DataFrame:
     """Features clipped to their 1 and 99 % quantiles, less the median, over the interquartile range (1 if 0), per ``by``; NULL stays NULL.
 
     Quantiles are those of the clipped values, as a scaler fitted after clipping sees them: clipping moves no value across a quartile.
+    ``fit`` tells the rows that the quantiles come from (all if None), such as those of the training part.
     """
+    fitted = rows if fit is None else rows.where(fit)
     out = rows
     for f in features:
-        q = quantiles(rows, [by], f, [0.01, 0.25, 0.5, 0.75, 0.99]).select(by, F.col("q").alias(f"_{f}"))
+        q = quantiles(fitted, [by], f, [0.01, 0.25, 0.5, 0.75, 0.99]).select(by, F.col("q").alias(f"_{f}"))
         x, iqr = F.col(f"_{f}"), F.col(f"_{f}")[3] - F.col(f"_{f}")[1]
         out = out.join(q, by, "left").withColumn(f, F.when(F.col(f).isNotNull(), F.least(F.greatest(F.col(f), x[0]), x[4]) - x[2]) / F.when(iqr == 0, 1.0).otherwise(iqr)).drop(f"_{f}")
     return out
@@ -110,3 +112,38 @@ def best_threshold(scored: DataFrame, by: list[str]) -> DataFrame:
     d = c.join(total, by) if by else c.crossJoin(F.broadcast(total))  # one row
     f1 = 2 * F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum") + F.col("p"))
     return d.groupBy(*by).agg(F.max(F.struct(F.round(f1, 12).alias("f1"), "score")).alias("m")).select(*by, F.col("m.score").alias("threshold"), F.col("m.f1").alias("f1"))
+
+
+def hashed(*parts: Column, n: int) -> Column:
+    """A number 0..n-1 out of an MD5 of the parts, which any engine can compute."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 6), 16, 10).cast("long"), F.lit(n)).cast("int")
+
+
+#: Thousandths below which a Poisson number of mean 1 is at most 0, 1, 2 and 3.
+POISSON = (368, 736, 920, 981)
+
+
+def resampled(rows: DataFrame, keys: list[str], times: int = 20) -> DataFrame:
+    """Every row once per resample ``round`` with a weight 0..4 that is nearly Poisson, the limit of drawing as many rows with replacement. Rows with weight 0 are left out.
+
+    Weights come from hashes of the keys, so that the draws are independent of the partitions and can be repeated.
+    """
+    d = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("round"))
+    h = hashed(F.col("round"), *(F.col(k) for k in keys), n=1000)
+    weight = F.lit(len(POISSON))
+    for k, below in reversed(list(enumerate(POISSON))):
+        weight = F.when(h < below, k).otherwise(weight)
+    return d.withColumn("weight", weight).where("weight > 0")
+
+
+def holdouts(cells: DataFrame, reach: int = 3, starts: tuple[tuple[int, int], ...] = STARTS, length: int = LENGTH) -> DataFrame:
+    """Cells that live through a phase's window moved by -reach..reach frames, with their part: phase, offset, seq, cell_id, label, part.
+
+    At offset 0 a fifth of the cells, by hash, is 'test' and the rest 'train'; at the others all are 'holdout'.
+    """
+    out = None
+    for o in range(-reach, reach + 1):
+        q = qualifying(cells, tuple((p, s + o) for p, s in starts), length).select("phase", F.lit(o).alias("offset"), "seq", "cell_id", "label")
+        out = q if out is None else out.unionByName(q)
+    part = F.when(F.col("offset") != 0, "holdout").when(hashed(F.col("phase"), F.col("seq"), F.col("cell_id"), n=5) == 0, "test").otherwise("train")
+    return out.withColumn("part", part)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ranks
 from ..operators import cells as c
 from ..operators import learning as ml
-from ..session import stage, table
+from ..session import shared_folder, stage, table
 from .scores import rounded
 
 FEATURES = {"Area": "area", "Volume": "volume", "Perimeter": "perimeter", "Solidity": "solidity", "Speed": "speed"}
@@ -44,12 +46,9 @@ def _phased(spark: SparkSession, d: str) -> DataFrame:
 
 def feature_quantiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact quantiles of Area and Volume by phase."""
-    r = stage(_phased(spark, d))
-    out = None
-    for v in ("area", "volume"):
-        q = ranks.quantiles(r, ["phase"], v, [0.01, 0.25, 0.5, 0.75, 0.99]).select("phase", F.lit(v).alias("feature"), F.col("n_values").alias("n"), *(F.col("q")[i].alias(n) for i, n in enumerate(("q01", "q25", "q50", "q75", "q99"))))
-        out = q if out is None else out.unionByName(q)
-    return rounded(out)
+    each = F.explode(F.array(*(F.struct(F.lit(v).alias("feature"), F.col(v).alias("value")) for v in ("area", "volume")))).alias("f")
+    q = ranks.quantiles(_phased(spark, d).select("phase", each).select("phase", "f.*"), ["phase", "feature"], "value", [0.01, 0.25, 0.5, 0.75, 0.99])
+    return rounded(q.select("phase", "feature", F.col("n_values").alias("n"), *(F.col("q")[i].alias(n) for i, n in enumerate(("q01", "q25", "q50", "q75", "q99")))))
 
 
 def robust_scaled(spark: SparkSession, d: str) -> DataFrame:
@@ -133,8 +132,71 @@ def model_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ml.areas(s, ["model"]).join(ml.confusion(s, F.lit(0.5), ["model"]), "model"))
 
 
+def train_scaled(spark: SparkSession, d: str) -> DataFrame:
+    """Features scaled by quantiles of the training part alone (folds 1 to 4)."""
+    r = _phased(spark, d).withColumn("fold", ml.hashed(F.col("seq"), F.col("cell_id"), n=5))
+    return rounded(ml.scaled(stage(r.select("seq", "cell_id", "frame", "phase", "fold", "area", "volume")), "phase", ["area", "volume"], F.col("fold") != 0))
+
+
+def bootstrap_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and population deviation of F1 over 20 resamples of the rows at a fixed threshold, by phase."""
+    r = _phased(spark, d).where("label is not null and area is not null").select("phase", "seq", "cell_id", "frame", "label", F.col("area").alias("score"))
+    b = ml.resampled(r, ["seq", "cell_id", "frame"])
+    hit, y = F.col("score") >= 300.0, F.col("label") == 1
+    n = lambda c: F.sum(F.when(c, F.col("weight")).otherwise(0)).cast("double")
+    m = b.groupBy("phase", "round").agg(n(hit & y).alias("tp"), n(hit & ~y).alias("fp"), n(~hit & y).alias("fn"), F.sum("weight").alias("drawn"))
+    both = 2 * F.col("tp") + F.col("fp") + F.col("fn")
+    m = m.withColumn("f1", F.when(both > 0, 2 * F.col("tp") / both).otherwise(0.0))
+    return rounded(m.groupBy("phase").agg(F.count(F.lit(1)).alias("rounds"), F.avg("drawn").alias("drawn"), F.avg("f1").alias("f1_mean"), F.stddev_pop("f1").alias("f1_std")))
+
+
+def holdout_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Cells by phase, offset of the window, part and label."""
+    h = ml.holdouts(stage(ml.life(labelled(spark, d))), length=5)
+    return h.groupBy("phase", "offset", "part", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def repeated_folds(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and deviation of the best F1 of each of 5 times 5 folds by rows, the threshold tuned on the fold: by repeat."""
+    r = _phased(spark, d).where("label is not null and area is not null").select("seq", "cell_id", "frame", "label", F.col("area").alias("score"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("repeat"))
+    r = r.withColumn("fold", ml.hashed(F.col("repeat"), F.col("seq"), F.col("cell_id"), F.col("frame"), n=5))
+    b = ml.best_threshold(stage(r.select("repeat", "fold", "label", "score")), ["repeat", "fold"])
+    return rounded(b.groupBy("repeat").agg(F.count(F.lit(1)).alias("folds"), F.avg("f1").alias("f1_mean"), F.stddev_pop("f1").alias("f1_std")))
+
+
+def json_results(spark: SparkSession, d: str) -> DataFrame:
+    """The classifier measures written as a bundle of JSON and read again."""
+    m = classifier_measures(spark, d)
+    path = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    m.write.json(path)
+    return spark.read.schema(m.schema).json(path)
+
+
+def next_phase_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Measures of a logistic regression fitted on one phase (1 to 4) and tried on the next (after 4 comes 1), on that one's own scaled features."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    names = ["area", "volume"]
+    r = ml.scaled(stage(_phased(spark, d).where("phase <= 4").select("seq", "cell_id", "frame", "phase", "label", *names)), "phase", names)
+    r = r.na.drop(subset=["label", *names]).withColumn("label", F.col("label").cast("double")).withColumn("weight", F.when(F.col("label") == 1, 8.0).otherwise(1.0))
+    v = stage(r.select("phase", "label", "weight", *names))
+    kinds = {p for p, _ in v.where("label in (0, 1)").groupBy("phase", "label").count().select("phase", "label").collect()}
+    both = v.groupBy("phase").agg(F.countDistinct("label").alias("k")).where("k = 2").select("phase").collect()
+    v, s = VectorAssembler(inputCols=names, outputCol="features").transform(v), None
+    for p in sorted(kinds & {x[0] for x in both}):
+        m = LogisticRegression(weightCol="weight", maxIter=20, regParam=0.01).fit(v.where(F.col("phase") == p))
+        t = m.transform(v.where(F.col("phase") == p % 4 + 1)).select(F.lit(p).alias("trained"), F.col("phase").alias("tried"), "label", vector_to_array("probability")[1].alias("score"))
+        s = t if s is None else s.unionByName(t)
+    if s is None:
+        s = v.where("false").select(F.col("phase").alias("trained"), F.col("phase").alias("tried"), "label", F.lit(0.0).alias("score"))
+    s = stage(s)
+    return rounded(ml.areas(s, ["trained", "tried"]).join(ml.confusion(s, F.lit(0.5), ["trained", "tried"]), ["trained", "tried"]))
+
+
 QUERIES = {f.__name__: f for f in (
-    cell_life, qualifying_cells, survival_windows, balanced_sample, feature_quantiles, robust_scaled, classifier_measures, curve_areas, best_thresholds, precision_recall_curve, fold_measures, correlations, histograms, class_balance, model_scores)}
+    cell_life, qualifying_cells, survival_windows, balanced_sample, feature_quantiles, robust_scaled, classifier_measures, curve_areas, best_thresholds, precision_recall_curve, fold_measures, correlations, histograms, class_balance, model_scores, train_scaled, bootstrap_measures, holdout_windows, repeated_folds, json_results, next_phase_scores)}
 
 _V = "CASE WHEN isnan({0}) THEN NULL ELSE {0} END AS {1}"
 _L = f"""WITH lab AS (SELECT seq, "Cell ID" AS cell_id, Frame AS frame, Label AS label, coalesce(try_cast(regexp_replace(trim("Parent ID"), '[.]0+$', '') AS INTEGER), 0) <> 0 AS daughter, {", ".join(_V.format(k, v) for k, v in FEATURES.items())} FROM
@@ -177,3 +239,15 @@ ORACLE = {
     "histograms": f"{_P}, m AS (SELECT phase, min(area) AS lo, max(area) AS hi FROM ph GROUP BY phase) SELECT ph.phase, cast(coalesce(least(floor((area - lo) / nullif(hi - lo, 0) * 25), 24), 0) AS BIGINT) AS bin, count(*) AS n FROM ph JOIN m ON m.phase = ph.phase WHERE area IS NOT NULL GROUP BY ALL",
     "class_balance": f"{_L} SELECT seq, count(*) FILTER (label = 1) AS rare, count(*) FILTER (label = 0) AS common, count(*) FILTER (label IS NULL) AS unknown, round(count(*) FILTER (label = 0) / nullif(count(*) FILTER (label = 1), 0), 6) AS ratio FROM lab GROUP BY seq",
 }
+
+_H = "('0x' || substr(md5({}), 1, 6))::BIGINT % {}"
+_ROWS = f"{_P}, rw AS (SELECT phase, seq, cell_id, frame, label, area AS score FROM ph WHERE label IS NOT NULL AND area IS NOT NULL)"
+_WEIGHT = "CASE " + " ".join(f"WHEN h < {below} THEN {k}" for k, below in enumerate(ml.POISSON)) + f" ELSE {len(ml.POISSON)} END"
+_QUAL5 = " UNION ALL ".join(f"SELECT {o} AS \"offset\", w.phase, l.seq, l.cell_id, l.label FROM life l CROSS JOIN (VALUES {_STARTS}) w(phase, s) WHERE NOT daughter AND label IS NOT NULL AND birth <= w.s + {o} AND death >= w.s + {o} + 4" for o in range(-3, 4))
+ORACLE |= {
+    "train_scaled": ORACLE["robust_scaled"].replace(" FROM ph GROUP BY phase) SELECT seq, cell_id, frame, ph.phase,", f" FROM ph WHERE {_H.format("seq || '|' || cell_id", 5)} <> 0 GROUP BY phase) SELECT seq, cell_id, frame, ph.phase, cast({_H.format("seq || '|' || cell_id", 5)} AS INTEGER) AS fold,"),
+    "bootstrap_measures": f"{_ROWS}, bs AS (SELECT *, {_WEIGHT} AS weight FROM (SELECT rw.*, g.r AS round, {_H.format("g.r || '|' || seq || '|' || cell_id || '|' || frame", 1000)} AS h FROM rw CROSS JOIN range(0, 20) g(r))), m AS (SELECT phase, round, sum(weight) AS drawn, coalesce(sum(weight) FILTER (score >= 300 AND label = 1), 0) AS tp, coalesce(sum(weight) FILTER (score >= 300 AND label <> 1), 0) AS fp, coalesce(sum(weight) FILTER (score < 300 AND label = 1), 0) AS fn FROM bs WHERE weight > 0 GROUP BY ALL) SELECT phase, count(*) AS rounds, round(avg(drawn), 6) AS drawn, round(avg(f1), 6) AS f1_mean, round(stddev_pop(f1), 6) AS f1_std FROM (SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM m) GROUP BY phase",
+    "holdout_windows": f"{_L} SELECT phase, \"offset\", CASE WHEN \"offset\" <> 0 THEN 'holdout' WHEN {_H.format("phase || '|' || seq || '|' || cell_id", 5)} = 0 THEN 'test' ELSE 'train' END AS part, label, count(*) AS n FROM ({_QUAL5}) GROUP BY ALL",
+    "repeated_folds": f"{_ROWS}, rp AS (SELECT cast(g.r AS INTEGER) AS repeat, {_H.format("g.r || '|' || seq || '|' || cell_id || '|' || frame", 5)} AS fold, label, score FROM rw CROSS JOIN range(0, 5) g(r)), cv AS (SELECT repeat, fold, score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label <> 1) AS neg FROM rp GROUP BY ALL), cu AS (SELECT *, sum(pos) OVER w AS pc, sum(neg) OVER w AS nc, sum(pos) OVER (PARTITION BY repeat, fold) AS p FROM cv WINDOW w AS (PARTITION BY repeat, fold ORDER BY score DESC)), bf AS (SELECT repeat, fold, max(round(2 * pc / (pc + nc + p), 12)) AS f1 FROM cu GROUP BY ALL) SELECT repeat, count(*) AS folds, round(avg(f1), 6) AS f1_mean, round(stddev_pop(f1), 6) AS f1_std FROM bf GROUP BY repeat",
+    "json_results": ORACLE["classifier_measures"],
+}

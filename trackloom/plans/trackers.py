@@ -10,7 +10,7 @@ from ..operators import images as im
 from ..operators import tracking as tr
 from ..session import stage
 from .cells import _O, observations
-from .more import _I, _K, image_pixels, tracker_rows
+from .more import _I, _K, _T, image_pixels, tracker_rows
 from .scores import rounded
 
 
@@ -56,10 +56,12 @@ def tracking_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extended_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Consensus paths extended round by round, at most five times: fov, start, gx, gy, rounds, last frame reached."""
+    """Consensus paths extended round by round until none moves: fov, start, gx, gy, rounds, last frame reached."""
     seg = stage(k.segments(tracker_rows(spark, d)))
     path = stage(k.representatives(seg).select("fov", "start", "gx", "gy", "algorithm", "cell_id", "end", "x1", "y1", "area1", F.lit(0).alias("rounds")))
-    for i in range(1, 6):
+    i = 0
+    while True:
+        i += 1
         e = k.extensions(path.where(F.col("rounds") == i - 1), seg)
         end = seg.select("fov", F.col("algorithm").alias("via"), F.col("cell_id").alias("next"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("x1").alias("nx"), F.col("y1").alias("ny"), F.col("area1").alias("na"))
         step = path.join(e.select("fov", "start", "gx", "gy", "via", "next"), ["fov", "start", "gx", "gy"], "left").withColumn("s", F.col("end") + 1).join(end, ["fov", "via", "next", "s"], "left")
@@ -71,7 +73,13 @@ def extended_paths(spark: SparkSession, d: str) -> DataFrame:
     return path.select("fov", "start", "gx", "gy", "rounds", F.col("end").alias("reached"))
 
 
-QUERIES = {f.__name__: f for f in (overlap_links, overlap_tracks, link_candidates, tracked_positions, tracking_agreement, extended_paths)}
+def division_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The daughters of consensus paths: fov, start, gx, gy, via_a, cell_a, via_b, cell_b, same (tracker), sibling, error."""
+    seg = stage(k.segments(tracker_rows(spark, d)))
+    return rounded(k.divisions(k.representatives(seg), seg))
+
+
+QUERIES = {f.__name__: f for f in (overlap_links, overlap_tracks, link_candidates, tracked_positions, tracking_agreement, extended_paths, division_pairs)}
 
 _OV = """, pxl AS (SELECT seq, frame, y, x, cast(ty * 64 + tx AS INTEGER) AS label FROM cc),
 gr AS (SELECT DISTINCT p.seq, p.frame, p.label, p.y + i.i AS y, p.x + j.j AS x FROM pxl p CROSS JOIN (VALUES (-1), (0), (1)) i(i) CROSS JOIN (VALUES (-1), (0), (1)) j(j)),
@@ -89,3 +97,8 @@ ORACLE = {
     "overlap_tracks": f"{_I}{_K}{_OV}{_TR} SELECT g.seq, g.frame, g.label, cast(g.track AS INTEGER) AS track, cast(coalesce(pa.parent, 0) AS INTEGER) AS parent FROM go g LEFT JOIN pa ON pa.seq = g.seq AND pa.track = g.track",
     "link_candidates": f"{_O}{_PS} SELECT b.seq, b.frame, a.label AS a, b.label AS b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS distance FROM ps a JOIN ps b ON b.seq = a.seq AND b.frame = a.frame + 1 WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 20",
 }
+ORACLE |= {
+    "division_pairs": f"""{_T}, ca AS (SELECT r.fov, r.start, r.gx, r.gy, s.algorithm AS via, s.cell_id AS cell, s.x0, s.y0, s.area0 / r.area1 AS ratio FROM rep r JOIN seg s ON s.fov = r.fov AND s.start = r."end" + 1 WHERE r.area1 > 0 AND sqrt((s.x0 - r.x1) ** 2 + (s.y0 - r.y1) ** 2) < 400 AND s.area0 / r.area1 > 0.2 AND s.area0 / r.area1 < 0.9),
+      dp AS (SELECT a.fov, a.start, a.gx, a.gy, a.via AS via_a, a.cell AS cell_a, b.via AS via_b, b.cell AS cell_b, a.via = b.via AS same, sqrt((a.x0 - b.x0) ** 2 + (a.y0 - b.y0) ** 2) AS sibling, abs(a.ratio + b.ratio - 1) AS error FROM ca a JOIN ca b ON b.fov = a.fov AND b.start = a.start AND b.gx = a.gx AND b.gy = a.gy AND (a.via, a.cell) < (b.via, b.cell))
+      SELECT fov, start, gx, gy, via_a, cell_a, via_b, cell_b, same, round(sibling, 6) AS sibling, round(error, 6) AS error FROM (SELECT *, row_number() OVER (PARTITION BY fov, start, gx, gy ORDER BY NOT same, CASE WHEN same THEN via_a ELSE '' END, round(error, 9), round(sibling, 9), via_a, cell_a, via_b, cell_b) AS rn FROM dp WHERE same AND sibling BETWEEN 10 AND 300 AND error <= 0.5 OR NOT same AND sibling BETWEEN 15 AND 350 AND error <= 0.6) WHERE rn = 1""",
+}
