@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.functions.ranks import quantiles, running
+from trackloom.functions.ranks import numbered, quantiles, ranged, running
 from trackloom.operators.scoring import assign
 
 
@@ -38,3 +38,23 @@ def test_assignment_is_cheapest(seed):
     got = assign(cost)
     assert len(set(got)) == n
     assert cost[np.arange(n), got].sum() == min(sum(cost[i, p[i]] for i in range(n)) for p in permutations(range(m), int(n)))
+
+
+def test_ranges_hold_even_shares_whatever_the_values(spark):
+    rnd = random.Random(3)
+    rows = [("a", rnd.gauss(0, 1)) for _ in range(20_000)] + [("a", 1e9), ("b", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double").distinct()
+    got = ranged(df, ["g"], "v", 16).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("lo").collect()
+    assert max(r["n"] for r in got) <= 2 * 20_000 / 16
+    assert all(a["hi"] < b["lo"] for a, b in zip(got, got[1:]) if b["lo"] != 1.0 and a["lo"] != 1.0)
+
+
+def test_numbers_as_row_number_gives_them(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice("aab"), rnd.choice([None, 1, 2, 3]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v int, i int").repartition(5)
+    got = {r["i"]: r["n"] for r in numbered(df, ["g"], [F.col("v").asc_nulls_last(), F.col("i").desc()], "n").collect()}
+    for g in "ab":
+        order = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, r[1] or 0, -r[2]))
+        assert [got[r[2]] for r in order] == list(range(1, len(order) + 1))
+    assert numbered(df.where("false"), ["g"], [F.col("i").asc()], "n").collect() == []

@@ -35,6 +35,15 @@ def running(df: DataFrame, by: list[str], value: str, sums: dict[str, Column], d
     return d.select(*by, value, *sums, *((F.sum(k).over(inside) + F.col(f"_{k}")).alias(f"{k}_cum") for k in sums))
 
 
+def numbered(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``: 1, 2, .. in ``order`` within each group ``by``, as row_number does, over ranges of rows instead of a window over a whole group. ``order`` must tell rows apart."""
+    d = stage(df.repartitionByRange(*(F.col(c) for c in by), *order).withColumn("_bucket", F.spark_partition_id()))
+    over = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = d.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n")).select(*by, "_bucket", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_before"))
+    d = d.withColumn(name, F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order))).join(before, [*by, "_bucket"])
+    return d.withColumn(name, (F.col(name) + F.col("_before")).cast("int")).drop("_bucket", "_before")
+
+
 def quantiles(df: DataFrame, by: list[str], value: str, at: list[float], n: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation: by.., n_values, q (array, in the order of ``at``).
 

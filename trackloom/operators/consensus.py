@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import numbered
 from . import hierarchy
 
 
@@ -75,6 +76,6 @@ def renumber(tracks: DataFrame) -> DataFrame:
     """
     f = hierarchy.forest(tracks, "seq", "cell_id", "parent_id").select("seq", "cell_id", "depth")
     d = tracks.join(f, ["seq", "cell_id"])
-    new = d.withColumn("new_id", F.row_number().over(Window.partitionBy("seq").orderBy(F.col("depth").asc_nulls_last(), "start_frame", "cell_id")))
+    new = numbered(d, ["seq"], [F.col("depth").asc_nulls_last(), F.col("start_frame").asc(), F.col("cell_id").asc()], "new_id")
     up = new.select("seq", F.col("cell_id").alias("parent_id"), F.col("new_id").alias("new_parent"))
     return new.join(up, ["seq", "parent_id"], "left").select("seq", "cell_id", "new_id", F.coalesce("new_parent", F.lit(0)).alias("new_parent"))

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import numbered
 from ..session import stage
 from . import hierarchy
 
@@ -285,7 +286,7 @@ def merge_tracks(tracks: DataFrame) -> DataFrame:
     f = stage(hierarchy.forest(t, "seq", "label", "up").select("seq", "label", F.coalesce("root", "label").alias("root")))
     d = t.join(f, ["seq", "label"])
     g = d.groupBy("seq", "root").agg(F.min("birth").alias("birth"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("label") == F.col("root"), F.col("parent"))).alias("parent"))
-    new = g.select("seq", "root", "birth", "end", "n", "parent", F.dense_rank().over(Window.partitionBy("seq").orderBy("root")).alias("label"))
+    new = numbered(g, ["seq"], [F.col("root").asc()], "label")
     up = f.select("seq", F.col("label").alias("parent"), "root").join(new.select("seq", "root", F.col("label").alias("up")), ["seq", "root"]).select("seq", "parent", "up")
     return new.join(up, ["seq", "parent"], "left").select("seq", "label", "birth", "end", F.coalesce("up", F.lit(0)).alias("parent"), "n")
 

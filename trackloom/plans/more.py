@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import consensus as k
@@ -219,9 +219,31 @@ def image_files(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy("seq").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.count(F.lit(1)).alias("n"), (F.max("frame") - F.min("frame") + 1 - F.count(F.lit(1))).alias("missing"))
 
 
+def challenge_folders(spark: SparkSession, d: str) -> DataFrame:
+    """The existing cells written as track files by field of view (challenge), sequence and side, found again and paired; odd fields have no reference."""
+    t = cells(spark, d).where("fov is not null and start_frame is not null and end_frame is not null")
+    number = t.select("fov", "seq").distinct().withColumn("number", F.row_number().over(Window.partitionBy("fov").orderBy("seq")))  # a row per sequence
+    t = t.join(number, ["fov", "seq"]).withColumn("sequence", F.lpad(F.col("number").cast("string"), 2, "0"))
+    t = t.select(F.concat(F.lit("F"), F.col("fov").cast("string")).alias("challenge"), "sequence", "fov", F.col("cell_id").alias("label"), F.col("start_frame").alias("birth"), F.col("end_frame").alias("end"), F.coalesce("parent_id", F.lit(0)).alias("parent"))
+    t = stage(t.where("sequence in ('01', '02', '03')"))
+    root = _folder(spark, "challenges")
+    files.write_challenges(t.withColumn("side", F.lit("RES")).unionByName(t.where("fov % 2 = 0").withColumn("side", F.lit("GT"))), root)
+    return files.paired(files.read_challenges(spark, root))
+
+
 # streams
 
 
+def stream_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The label carried on and the speed of every row, from a stream that arrives in four parts by frame; both live on as state between them."""
+    path, out, state = _folder(spark, "rows"), _folder(spark, "carried"), _folder(spark, "state")
+    o = stage(observations(spark, d).select("seq", "cell_id", "frame", "label", "x", "y"))
+    for part in range(4):
+        o.where(F.col("frame").between(101 * part, 101 * part + 100)).write.mode("append").parquet(path)
+        streams.run_once(streams.carried(spark.readStream.schema(o.schema).parquet(path)), out, state)
+    return rounded(spark.read.parquet(out))
+
+
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Daily counts of events by type, from a stream; the last windows stay open until the watermark passes them."""
     path, out = _folder(spark, "events"), _folder(spark, "windows")
@@ -245,7 +267,7 @@ def stream_id_switches(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     tracker_segments, consensus_groups, late_consensus, consensus_representatives, path_extensions, renumbered, image_statistics, image_presence, image_binarized, image_components, image_objects, image_features, image_solidity, image_contrast,
     image_transforms, segmentation_dice, overlap_detection, noise_splits, noise_matches, noise_false_positives, noise_false_negatives, noise_switches, noise_effect, noise_settings, track_files, feature_files,
-    sequence_discovery, shared_columns, image_files, stream_windows, stream_id_switches)}
+    sequence_discovery, shared_columns, image_files, challenge_folders, stream_windows, stream_id_switches, stream_cells)}
 
 _T = """WITH rw AS (SELECT event_type AS algorithm, cast(user_id % 3 AS INTEGER) AS fov, cast(user_id AS INTEGER) AS cell_id, cast(date_diff('day', DATE '2024-01-01', ts::DATE) AS INTEGER) AS frame, avg(value) AS area, sum(value) AS volume, bool_or(value > 450) AS label FROM events GROUP BY ALL),
 rx AS (SELECT *, cast(cell_id * 37 % 400 + frame * 2 AS DOUBLE) AS x, cast(cell_id * 53 % 400 + frame * 2 AS DOUBLE) AS y, frame - row_number() OVER (PARTITION BY algorithm, fov, cell_id ORDER BY frame) AS g FROM rw),
@@ -306,3 +328,7 @@ ORACLE = {
     "stream_windows": "SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE ts::DATE < (SELECT max(ts)::DATE FROM events) GROUP BY ALL",
     "stream_id_switches": f"{_N} SELECT seq, ref, frame, comp, before FROM (SELECT *, lag(comp) OVER (PARTITION BY seq, ref ORDER BY frame) AS before FROM m) WHERE before <> comp",
 }
+ORACLE |= {
+    "challenge_folders": f"""{_C}, sq AS (SELECT *, dense_rank() OVER (PARTITION BY fov ORDER BY seq) AS k FROM tk WHERE fov IS NOT NULL AND start_frame IS NOT NULL AND end_frame IS NOT NULL) SELECT 'F' || fov AS challenge, lpad(cast(k AS VARCHAR), 2, '0') AS sequence, count(*) AS res_tracks, CASE WHEN fov % 2 = 0 THEN count(*) END AS gt_tracks FROM sq WHERE k <= 2 GROUP BY fov, k""",
+    "stream_cells": f"{_O}, k AS (SELECT *, max(CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN frame END) OVER w AS fp, last_value(CASE WHEN label IN (0, 1) THEN label END IGNORE NULLS) OVER (PARTITION BY seq, cell_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lb FROM obs WINDOW w AS (PARTITION BY seq, cell_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT k.seq, k.cell_id, k.frame, k.lb AS label, round(sqrt((k.x - p.x) ** 2 + (k.y - p.y) ** 2), 6) AS speed FROM k LEFT JOIN obs p ON p.seq = k.seq AND p.cell_id = k.cell_id AND p.frame = k.fp",
+}

@@ -1,4 +1,4 @@
-"""Stateful operators over streams of files: windows with a watermark, last match per reference, last label per cell."""
+"""Stateful operators over streams of files: windows with a watermark, last match per reference, last label and position per cell."""
 
 from __future__ import annotations
 
@@ -30,6 +30,29 @@ def switches(matches: DataFrame) -> DataFrame:
         _switches, "seq string, ref int, frame int, comp int, before int", "comp int", "append", GroupStateTimeout.NoTimeout)
 
 
+def _carried(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    label, x, y = state.get if state.exists else (None, None, None)
+    rows = pd.concat(list(batches)).sort_values("frame")
+    known = rows["label"].where(rows["label"].isin([0, 1])).astype("float64").ffill()
+    known = known if label is None else known.fillna(float(label))
+    seen = rows["x"].notna() & rows["y"].notna()
+    before = {}
+    for name, first in (("x", x), ("y", y)):
+        v = rows[name].where(seen).ffill()
+        before[name] = v.shift(1) if first is None else v.shift(1).fillna(first)
+        before[f"last_{name}"] = v.iloc[-1] if pd.notna(v.iloc[-1]) else first
+    last = known.iloc[-1]
+    state.update((int(last) if pd.notna(last) else None, *(float(before[f"last_{n}"]) if before[f"last_{n}"] is not None else None for n in "xy")))
+    speed = ((rows["x"] - before["x"]) ** 2 + (rows["y"] - before["y"]) ** 2) ** 0.5
+    yield pd.DataFrame({"seq": key[0], "cell_id": key[1], "frame": rows["frame"], "label": known.astype("Int32"), "speed": speed})
+
+
+def carried(rows: DataFrame) -> DataFrame:
+    """For a stream of rows (seq, cell_id, frame, label, x, y) whose frames come in order: the last label 0 or 1 and the distance to the last position of each cell, which are state."""
+    return rows.groupBy("seq", "cell_id").applyInPandasWithState(
+        _carried, "seq string, cell_id int, frame int, label int, speed double", "label int, x double, y double", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_once(stream: DataFrame, out: str, checkpoint: str) -> None:
     """Process what is there, append it to ``out`` and stop; a later call goes on from ``checkpoint``."""
     q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
