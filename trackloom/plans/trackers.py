@@ -101,4 +101,8 @@ ORACLE |= {
     "division_pairs": f"""{_T}, ca AS (SELECT r.fov, r.start, r.gx, r.gy, s.algorithm AS via, s.cell_id AS cell, s.x0, s.y0, s.area0 / r.area1 AS ratio FROM rep r JOIN seg s ON s.fov = r.fov AND s.start = r."end" + 1 WHERE r.area1 > 0 AND sqrt((s.x0 - r.x1) ** 2 + (s.y0 - r.y1) ** 2) < 400 AND s.area0 / r.area1 > 0.2 AND s.area0 / r.area1 < 0.9),
       dp AS (SELECT a.fov, a.start, a.gx, a.gy, a.via AS via_a, a.cell AS cell_a, b.via AS via_b, b.cell AS cell_b, a.via = b.via AS same, sqrt((a.x0 - b.x0) ** 2 + (a.y0 - b.y0) ** 2) AS sibling, abs(a.ratio + b.ratio - 1) AS error FROM ca a JOIN ca b ON b.fov = a.fov AND b.start = a.start AND b.gx = a.gx AND b.gy = a.gy AND (a.via, a.cell) < (b.via, b.cell))
       SELECT fov, start, gx, gy, via_a, cell_a, via_b, cell_b, same, round(sibling, 6) AS sibling, round(error, 6) AS error FROM (SELECT *, row_number() OVER (PARTITION BY fov, start, gx, gy ORDER BY NOT same, CASE WHEN same THEN via_a ELSE '' END, round(error, 9), round(sibling, 9), via_a, cell_a, via_b, cell_b) AS rn FROM dp WHERE same AND sibling BETWEEN 10 AND 300 AND error <= 0.5 OR NOT same AND sibling BETWEEN 15 AND 350 AND error <= 0.6) WHERE rn = 1""",
+    "extended_paths": f"""{_T.replace("WITH rw", "WITH RECURSIVE rw", 1)}, go AS (SELECT fov, start, gx, gy, "end", x1, y1, area1, 0 AS rounds FROM rep UNION ALL SELECT fov, start, gx, gy, e2, nx, ny, na, rounds + 1 FROM
+      (SELECT g.*, s."end" AS e2, s.x1 AS nx, s.y1 AS ny, s.area1 AS na, row_number() OVER (PARTITION BY g.fov, g.start, g.gx, g.gy ORDER BY s.n DESC, sqrt((s.x0 - g.x1) ** 2 + (s.y0 - g.y1) ** 2), s.algorithm, s.cell_id) AS rn FROM go g JOIN seg s ON s.fov = g.fov AND s.start = g."end" + 1
+        WHERE least(s.area0, g.area1) >= 0.6 * greatest(s.area0, g.area1) AND sqrt((s.x0 - g.x1) ** 2 + (s.y0 - g.y1) ** 2) <= 50) WHERE rn = 1)
+      SELECT fov, start, gx, gy, cast(max(rounds) AS INTEGER) AS rounds, max("end") AS reached FROM go GROUP BY ALL""",
 }
