@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import quantiles, running
+from ..functions.ranks import numbered, quantiles, running
 from ..session import stage
 
 #: First frame of the window of each phase used for learning, and the windows' length.
@@ -56,6 +56,12 @@ def balanced(q: DataFrame, ratio: int = 10) -> DataFrame:
     return d.where("label = 1").select(*columns).unionByName(others.select(*columns))
 
 
+def first_of_each(q: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` cells of each class by ``sample_order``, per phase: as many of one as of the other where both have enough."""
+    d = numbered(q.withColumn("h", sample_order("phase", "seq", "cell_id")), ["phase", "label"], [F.col("h").asc(), F.col("seq").asc(), F.col("cell_id").asc()], "place")
+    return d.where(F.col("place") <= most).select("phase", "seq", "cell_id", "label")
+
+
 def scaled(rows: DataFrame, by: str, features: list[str], fit: Column | None = None) -> DataFrame:
     """Features clipped to their 1 and 99 % quantiles, less the median, over the interquartile range (1 if 0), per ``by``; NULL stays NULL.
 

@@ -53,15 +53,15 @@ def tracks_of(objects: DataFrame, links: DataFrame) -> DataFrame:
     return d.join(f, ["seq", "node"]).join(parents, ["seq", "track"], "left").select("seq", "frame", "label", "track", F.coalesce("parent", F.lit(0)).alias("parent"))
 
 
-def near_candidates(objects: DataFrame, radius: float) -> DataFrame:
-    """Pairs of objects of successive frames at most ``radius`` apart: seq, frame (of the later), a (before), b, distance."""
+def near_candidates(objects: DataFrame, radius: float, steps: int = 1) -> DataFrame:
+    """Pairs of objects at most ``steps`` frames and ``radius`` apart: seq, frame (of the later), a (before), b, distance and, for several steps, step."""
     d = objects.where("x is not null and y is not null").select("seq", "frame", "label", "x", "y", F.floor(F.col("x") / radius).alias("gx"), F.floor(F.col("y") / radius).alias("gy"))
     o = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("o")
-    a = d.select("seq", (F.col("frame") + 1).alias("frame"), F.col("label").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), "gx", "gy", o)
-    a = a.select("seq", "frame", "a", "xa", "ya", (F.col("gx") + F.col("o.i")).alias("gx"), (F.col("gy") + F.col("o.j")).alias("gy"))
+    a = d.select("seq", "frame", F.col("label").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), "gx", "gy", o).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    a = a.select("seq", (F.col("frame") + F.col("step")).alias("frame"), "step", "a", "xa", "ya", (F.col("gx") + F.col("o.i")).alias("gx"), (F.col("gy") + F.col("o.j")).alias("gy"))
     b = d.select("seq", "frame", F.col("label").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"), "gx", "gy")
     p = a.join(b, ["seq", "frame", "gx", "gy"]).withColumn("distance", F.hypot(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")))
-    return p.where(F.col("distance") <= radius).select("seq", "frame", "a", "b", "distance")
+    return p.where(F.col("distance") <= radius).select("seq", "frame", "a", "b", "distance", *(["step"] if steps > 1 else []))
 
 
 def _choose(a: np.ndarray, b: np.ndarray, distance: np.ndarray, radius: float, split: float) -> tuple[np.ndarray, np.ndarray]:

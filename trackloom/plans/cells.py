@@ -243,9 +243,41 @@ def all_cells(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("t", F.lit(1)).join(o.withColumn("o", F.lit(1)), ["seq", "cell_id"], "full").select("seq", "cell_id", side.alias("known"))
 
 
+def generation_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Every cell's descendants, generation by generation: seq, cell_id, generations, such as Gen+1: 4, 5 | Gen+2: 9."""
+    below = hierarchy.descendants(hierarchy.paths(cells(spark, d), "seq", "cell_id", "parent_id"), "seq", "cell_id")
+    g = below.groupBy("seq", "cell_id", "distance").agg(F.array_join(F.sort_array(F.collect_list("descendant")), ", ").alias("members"))
+    lists = F.sort_array(F.collect_list(F.struct(F.col("distance").cast("int").alias("k"), "members")))
+    text = F.array_join(F.transform(lists, lambda x: F.concat(F.lit("Gen+"), x["k"].cast("string"), F.lit(": "), x["members"])), " | ")
+    return g.groupBy("seq", "cell_id").agg(text.alias("generations"))
+
+
+def kept_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Existing cells less those of a single frame that have neither a parent nor children."""
+    t = stage(cells(spark, d))
+    own = t.select("seq", F.col("cell_id").alias("parent_id"), F.lit(True).alias("up"))
+    kids = t.where("parent_id is not null").select("seq", F.col("parent_id").alias("cell_id")).distinct().withColumn("down", F.lit(True))
+    k = t.join(own, ["seq", "parent_id"], "left").join(kids, ["seq", "cell_id"], "left")
+    return k.where("not (start_frame <=> end_frame) or up is not null or down is not null").select("seq", "cell_id", "start_frame", "end_frame")
+
+
+def class_by_frame(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each class by frame, with the frame's phase."""
+    o = observations(spark, d).withColumn("phase", c.phase(F.col("frame")))
+    n = lambda cond: F.count(F.when(cond, 1))
+    return o.groupBy("frame", "phase").agg(n(F.col("label") == 1).alias("rare"), n(F.col("label") == 0).alias("common"), n(F.col("label").isNull()).alias("unknown"))
+
+
+def lineage_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """The lineage report's second form: length, frame of division (the last one, of cells with children) and whether the cell has rows."""
+    r = c.lineage(stage(cells(spark, d)))
+    seen = observations(spark, d).select("seq", "cell_id").distinct().withColumn("seen", F.lit(True))
+    return r.join(seen, ["seq", "cell_id"], "left").select("seq", "cell_id", F.col("lifespan").alias("track_length"), F.when(F.col("children").isNotNull(), F.col("end_frame")).alias("division_frame"), F.coalesce("seen", F.lit(False)).alias("detected"), "generation", "position")
+
+
 QUERIES = {f.__name__: f for f in (
     arranged, interpolate_positions, speed, label_carry_forward, missing_frames, gap_runs, continuity, nearest_frame_fill, spatial_neighbours, frame_counts, overall_counts, lineage_report, families, reported_levels,
-    phase_counts, track_quality, moving_tracks, daughter_candidates, daughter_pairs, feature_stats, track_integrity, backward_trace, forward_trace, label_setops, failed_progenitors, retrospective_labels, phase_labels, ground_truth_cells, cell_labels, labelled_rows, validated_cells, missing_cells, steady_tracks, all_cells)}
+    phase_counts, track_quality, moving_tracks, daughter_candidates, daughter_pairs, feature_stats, track_integrity, backward_trace, forward_trace, label_setops, failed_progenitors, retrospective_labels, phase_labels, ground_truth_cells, cell_labels, labelled_rows, validated_cells, missing_cells, steady_tracks, all_cells, generation_lists, kept_tracks, class_by_frame, lineage_tracks)}
 
 _NUM = "CASE WHEN isnan({0}) THEN NULL ELSE {0} END"
 _OBS = f"""obs AS (SELECT seq, "Cell ID" AS cell_id, Frame AS frame, {_NUM.format("X")} AS x, {_NUM.format("Y")} AS y, {_NUM.format("Area")} AS area, {_NUM.format("Volume")} AS volume, Label AS label, fov FROM
@@ -320,4 +352,8 @@ ORACLE |= {
     "missing_cells": f"{_C}{_MISSING} SELECT seq, frame, count(*) AS n, string_agg(cell_id, ',' ORDER BY cell_id) AS cells FROM miss GROUP BY ALL",
     "steady_tracks": f"{_O} SELECT seq, cell_id, count(*) AS n, round(median(x), 6) AS x, round(median(y), 6) AS y, round(avg(area), 6) AS area FROM obs WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL HAVING count(*) >= 5",
     "all_cells": f"{_C} SELECT coalesce(t.seq, o.seq) AS seq, coalesce(t.cell_id, o.cell_id) AS cell_id, CASE WHEN o.cell_id IS NULL THEN 'track' WHEN t.cell_id IS NULL THEN 'rows' ELSE 'both' END AS known FROM (SELECT DISTINCT seq, cell_id FROM tk) t FULL JOIN (SELECT DISTINCT seq, cell_id FROM obs) o ON o.seq = t.seq AND o.cell_id = t.cell_id",
+    "generation_lists": f"{_C}, below AS (SELECT l.seq, l.parent_id AS cell_id, l.cell_id AS kid, 1 AS k FROM links l JOIN tree t ON t.seq = l.seq AND t.cell_id = l.cell_id UNION ALL SELECT b.seq, b.cell_id, l.cell_id, b.k + 1 FROM below b JOIN links l ON l.seq = b.seq AND l.parent_id = b.kid), g AS (SELECT seq, cell_id, k, string_agg(kid, ', ' ORDER BY kid) AS members FROM below GROUP BY ALL) SELECT seq, cell_id, string_agg('Gen+' || k || ': ' || members, ' | ' ORDER BY k) AS generations FROM g GROUP BY ALL",
+    "kept_tracks": f"{_C} SELECT t.seq, t.cell_id, t.start_frame, t.end_frame FROM tk t WHERE t.start_frame IS DISTINCT FROM t.end_frame OR EXISTS (SELECT 1 FROM tk p WHERE p.seq = t.seq AND p.cell_id = t.parent_id) OR EXISTS (SELECT 1 FROM tk k WHERE k.seq = t.seq AND k.parent_id = t.cell_id)",
+    "class_by_frame": f"{_O} SELECT frame, {_PHASE} AS phase, count(*) FILTER (label = 1) AS rare, count(*) FILTER (label = 0) AS common, count(*) FILTER (label IS NULL) AS unknown FROM obs GROUP BY frame",
+    "lineage_tracks": f"{_C}{_CLASS}{_REPORT} SELECT r.seq, r.cell_id, lifespan AS track_length, CASE WHEN children IS NOT NULL THEN end_frame END AS division_frame, EXISTS (SELECT 1 FROM obs o WHERE o.seq = r.seq AND o.cell_id = r.cell_id) AS detected, generation, position FROM report r",
 }

@@ -10,17 +10,17 @@ from ..session import stage, table
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
-    """lineitem as pixels: seq, frame, ref, comp. Labels follow the keys; the computed side differs in known places."""
+    """lineitem as pixels: seq, frame, ref, comp and a brightness v. Labels follow the keys; the computed side differs in known places."""
     t = table(spark, d, "lineitem").where(F.col("l_shipdate") < F.lit("2001-09-01").cast("timestamp_ntz"))
     frame = ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).cast("int")
     t = t.select(
         F.concat(F.lit("L"), (F.col("l_linenumber") % 2).cast("string")).alias("seq"), frame.alias("frame"), (F.col("l_orderkey") % 7).cast("int").alias("idx"),
-        (F.col("l_suppkey") % 7).cast("int").alias("alt"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 10).cast("int").alias("h"))
+        (F.col("l_suppkey") % 7).cast("int").alias("alt"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 10).cast("int").alias("h"), F.least(F.col("l_quantity") * 5, F.lit(255.0)).alias("v"))
     seg = F.floor(F.col("frame") / 8).cast("int")
     other = F.when(F.col("alt") == 0, 0).otherwise(seg * 6 + F.col("alt"))
     swapped = F.when((F.col("frame") % 8 >= 5) & F.col("idx").isin(1, 2), 3 - F.col("idx")).otherwise(F.col("idx"))
     comp = F.when((F.col("idx") == 0) & (F.col("h") < 8), 0).when((F.col("idx") > 0) & (F.col("h") < 4 + (F.col("idx") + F.col("frame")) % 5), seg * 6 + swapped).otherwise(other)
-    return t.select("seq", "frame", F.when(F.col("idx") == 0, 0).otherwise(seg * 6 + F.col("idx")).alias("ref"), comp.cast("int").alias("comp"))
+    return t.select("seq", "frame", F.when(F.col("idx") == 0, 0).otherwise(seg * 6 + F.col("idx")).alias("ref"), comp.cast("int").alias("comp"), "v")
 
 
 def _parent() -> F.Column:
@@ -61,10 +61,10 @@ def lineage_comparison(spark: SparkSession, d: str) -> Comparison:
 #: The same projections in SQL: px, cont, m (matches), vr, vc (objects), tr, tc (tracks).
 SQL = """
 p0 AS (SELECT 'L' || cast(l_linenumber % 2 AS VARCHAR) AS seq, cast((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INTEGER) AS frame, cast(l_orderkey % 7 AS INTEGER) AS idx,
-  cast(l_suppkey % 7 AS INTEGER) AS alt, cast((l_partkey * 7 + l_suppkey) % 10 AS INTEGER) AS h FROM lineitem WHERE l_shipdate < TIMESTAMP '2001-09-01'),
+  cast(l_suppkey % 7 AS INTEGER) AS alt, cast((l_partkey * 7 + l_suppkey) % 10 AS INTEGER) AS h, least(l_quantity * 5, 255) AS v FROM lineitem WHERE l_shipdate < TIMESTAMP '2001-09-01'),
 p1 AS (SELECT *, frame // 8 AS seg FROM p0),
 px AS (SELECT seq, frame, CASE WHEN idx = 0 THEN 0 ELSE seg * 6 + idx END AS ref, CASE WHEN idx = 0 AND h < 8 THEN 0
-  WHEN idx > 0 AND h < 4 + (idx + frame) % 5 THEN seg * 6 + CASE WHEN frame % 8 >= 5 AND idx IN (1, 2) THEN 3 - idx ELSE idx END WHEN alt = 0 THEN 0 ELSE seg * 6 + alt END AS comp FROM p1),
+  WHEN idx > 0 AND h < 4 + (idx + frame) % 5 THEN seg * 6 + CASE WHEN frame % 8 >= 5 AND idx IN (1, 2) THEN 3 - idx ELSE idx END WHEN alt = 0 THEN 0 ELSE seg * 6 + alt END AS comp, v FROM p1),
 cont AS (SELECT seq, frame, ref, comp, count(*) AS n FROM px GROUP BY ALL),
 m AS (SELECT seq, frame, ref, comp, n AS inter, ra AS ref_area, ca AS comp_area, n / (ra + ca - n) AS iou FROM (SELECT *, cast(sum(n) OVER (PARTITION BY seq, frame, ref) AS BIGINT) AS ra, cast(sum(n) OVER (PARTITION BY seq, frame, comp) AS BIGINT) AS ca FROM cont) WHERE ref <> 0 AND comp <> 0 AND 2 * n > ra),
 vr AS (SELECT DISTINCT seq, frame, ref AS label FROM px WHERE ref <> 0), vc AS (SELECT DISTINCT seq, frame, comp AS label FROM px WHERE comp <> 0),

@@ -40,6 +40,11 @@ def balanced_sample(spark: SparkSession, d: str) -> DataFrame:
     return ml.balanced(ml.qualifying(ml.life(labelled(spark, d)), length=5))
 
 
+def half_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Up to 20 cells of each class by phase."""
+    return ml.first_of_each(ml.qualifying(ml.life(labelled(spark, d)), length=5), 20)
+
+
 def _phased(spark: SparkSession, d: str) -> DataFrame:
     return labelled(spark, d).withColumn("phase", c.phase(F.col("frame"))).where("phase is not null")
 
@@ -196,7 +201,7 @@ def next_phase_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    cell_life, qualifying_cells, survival_windows, balanced_sample, feature_quantiles, robust_scaled, classifier_measures, curve_areas, best_thresholds, precision_recall_curve, fold_measures, correlations, histograms, class_balance, model_scores, train_scaled, bootstrap_measures, holdout_windows, repeated_folds, json_results, next_phase_scores)}
+    cell_life, qualifying_cells, survival_windows, balanced_sample, half_sample, feature_quantiles, robust_scaled, classifier_measures, curve_areas, best_thresholds, precision_recall_curve, fold_measures, correlations, histograms, class_balance, model_scores, train_scaled, bootstrap_measures, holdout_windows, repeated_folds, json_results, next_phase_scores)}
 
 _V = "CASE WHEN isnan({0}) THEN NULL ELSE {0} END AS {1}"
 _L = f"""WITH lab AS (SELECT seq, "Cell ID" AS cell_id, Frame AS frame, Label AS label, coalesce(try_cast(regexp_replace(trim("Parent ID"), '[.]0+$', '') AS INTEGER), 0) <> 0 AS daughter, {", ".join(_V.format(k, v) for k, v in FEATURES.items())} FROM
@@ -250,4 +255,5 @@ ORACLE |= {
     "holdout_windows": f"{_L} SELECT phase, \"offset\", CASE WHEN \"offset\" <> 0 THEN 'holdout' WHEN {_H.format("phase || '|' || seq || '|' || cell_id", 5)} = 0 THEN 'test' ELSE 'train' END AS part, label, count(*) AS n FROM ({_QUAL5}) GROUP BY ALL",
     "repeated_folds": f"{_ROWS}, rp AS (SELECT cast(g.r AS INTEGER) AS repeat, {_H.format("g.r || '|' || seq || '|' || cell_id || '|' || frame", 5)} AS fold, label, score FROM rw CROSS JOIN range(0, 5) g(r)), cv AS (SELECT repeat, fold, score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label <> 1) AS neg FROM rp GROUP BY ALL), cu AS (SELECT *, sum(pos) OVER w AS pc, sum(neg) OVER w AS nc, sum(pos) OVER (PARTITION BY repeat, fold) AS p FROM cv WINDOW w AS (PARTITION BY repeat, fold ORDER BY score DESC)), bf AS (SELECT repeat, fold, max(round(2 * pc / (pc + nc + p), 12)) AS f1 FROM cu GROUP BY ALL) SELECT repeat, count(*) AS folds, round(avg(f1), 6) AS f1_mean, round(stddev_pop(f1), 6) AS f1_std FROM bf GROUP BY repeat",
     "json_results": ORACLE["classifier_measures"],
+    "half_sample": f"{_L}, q AS ({_qual('5')}) SELECT phase, seq, cell_id, label FROM (SELECT *, row_number() OVER (PARTITION BY phase, label ORDER BY md5(phase || '|' || seq || '|' || cell_id), seq, cell_id) AS rn FROM q) WHERE rn <= 20",
 }

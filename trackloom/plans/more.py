@@ -129,6 +129,26 @@ def overlap_detection(spark: SparkSession, d: str) -> DataFrame:
     return rounded(g.where("frames >= 2 and mean_share >= 0.15"))
 
 
+def strict_detection(spark: SparkSession, d: str) -> DataFrame:
+    """As overlap_detection, by the strict rule: frames where at least 0.3 is covered count, a cell needs 2 of them, a mean score (covered pixels) of 15 and a mean share of 0.4."""
+    p = pixels(spark, d).where("frame >= 40 and ref > 0").groupBy("seq", "frame", "ref").agg(F.sum((F.col("comp") > 0).cast("int")).alias("score"), F.avg((F.col("comp") > 0).cast("int")).alias("share")).where("share >= 0.3")
+    g = p.groupBy("seq", "ref").agg(F.count(F.lit(1)).alias("frames"), F.avg("score").alias("mean_score"), F.avg("share").alias("mean_share"))
+    return rounded(g.where("frames >= 2 and mean_score >= 15 and mean_share >= 0.4"))
+
+
+def brightness_scores(spark: SparkSession, d: str) -> DataFrame:
+    """How far late cells stand out from their frame's background: frames, mean and largest score, and whether the cell is chosen.
+
+    A score is the difference of the means over the background's deviation, times the cell's size over 100 (2 at most), 0 if darker; chosen are cells with 2 frames, a mean of 2.5 and a largest one of 3.
+    """
+    p = stage(pixels(spark, d).where("frame >= 40").select("seq", "frame", "ref", "v"))
+    back = p.where("ref = 0").groupBy("seq", "frame").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    c = p.where("ref > 0").groupBy("seq", "frame", "ref").agg(F.avg("v").alias("mean"), F.count(F.lit(1)).alias("area")).join(back, ["seq", "frame"])
+    score = F.greatest((F.col("mean") - F.col("m")) / (F.col("s") + 1e-6) * F.least(F.col("area") / 100, F.lit(2.0)), F.lit(0.0))
+    g = c.withColumn("score", score).groupBy("seq", "ref").agg(F.count(F.lit(1)).alias("frames"), F.avg("score").alias("mean_score"), F.max("score").alias("top_score"))
+    return rounded(g.withColumn("chosen", (F.col("frames") >= 2) & (F.col("mean_score") >= 2.5) & (F.col("top_score") >= 3)))
+
+
 # noise
 
 
@@ -266,7 +286,7 @@ def stream_id_switches(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     tracker_segments, consensus_groups, late_consensus, consensus_representatives, path_extensions, renumbered, image_statistics, image_presence, image_binarized, image_components, image_objects, image_features, image_solidity, image_contrast,
-    image_transforms, segmentation_dice, overlap_detection, noise_splits, noise_matches, noise_false_positives, noise_false_negatives, noise_switches, noise_effect, noise_settings, track_files, feature_files,
+    image_transforms, segmentation_dice, overlap_detection, strict_detection, brightness_scores, noise_splits, noise_matches, noise_false_positives, noise_false_negatives, noise_switches, noise_effect, noise_settings, track_files, feature_files,
     sequence_discovery, shared_columns, image_files, challenge_folders, stream_windows, stream_id_switches, stream_cells)}
 
 _T = """WITH rw AS (SELECT event_type AS algorithm, cast(user_id % 3 AS INTEGER) AS fov, cast(user_id AS INTEGER) AS cell_id, cast(date_diff('day', DATE '2024-01-01', ts::DATE) AS INTEGER) AS frame, avg(value) AS area, sum(value) AS volume, bool_or(value > 450) AS label FROM events GROUP BY ALL),
@@ -331,4 +351,6 @@ ORACLE = {
 ORACLE |= {
     "challenge_folders": f"""{_C}, sq AS (SELECT *, dense_rank() OVER (PARTITION BY fov ORDER BY seq) AS k FROM tk WHERE fov IS NOT NULL AND start_frame IS NOT NULL AND end_frame IS NOT NULL) SELECT 'F' || fov AS challenge, lpad(cast(k AS VARCHAR), 2, '0') AS sequence, count(*) AS res_tracks, CASE WHEN fov % 2 = 0 THEN count(*) END AS gt_tracks FROM sq WHERE k <= 2 GROUP BY fov, k""",
     "stream_cells": f"{_O}, k AS (SELECT *, max(CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN frame END) OVER w AS fp, last_value(CASE WHEN label IN (0, 1) THEN label END IGNORE NULLS) OVER (PARTITION BY seq, cell_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lb FROM obs WINDOW w AS (PARTITION BY seq, cell_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT k.seq, k.cell_id, k.frame, k.lb AS label, round(sqrt((k.x - p.x) ** 2 + (k.y - p.y) ** 2), 6) AS speed FROM k LEFT JOIN obs p ON p.seq = k.seq AND p.cell_id = k.cell_id AND p.frame = k.fp",
+    "strict_detection": f"{_N}, ov AS (SELECT seq, frame, ref, count(*) FILTER (comp > 0) AS score, avg(CASE WHEN comp > 0 THEN 1 ELSE 0 END) AS share FROM px WHERE frame >= 40 AND ref > 0 GROUP BY ALL) SELECT seq, ref, count(*) AS frames, round(avg(score), 6) AS mean_score, round(avg(share), 6) AS mean_share FROM ov WHERE share >= 0.3 GROUP BY ALL HAVING count(*) >= 2 AND avg(score) >= 15 AND avg(share) >= 0.4",
+    "brightness_scores": f"{_N}, bg AS (SELECT seq, frame, avg(v) AS m, stddev_pop(v) AS s FROM px WHERE frame >= 40 AND ref = 0 GROUP BY ALL), ce AS (SELECT seq, frame, ref, avg(v) AS mean, count(*) AS area FROM px WHERE frame >= 40 AND ref > 0 GROUP BY ALL), sc AS (SELECT ce.seq, ref, greatest((mean - m) / (s + 1e-6) * least(area / 100, 2), 0) AS score FROM ce JOIN bg ON bg.seq = ce.seq AND bg.frame = ce.frame) SELECT seq, ref, count(*) AS frames, round(avg(score), 6) AS mean_score, round(max(score), 6) AS top_score, count(*) >= 2 AND avg(score) >= 2.5 AND max(score) >= 3 AS chosen FROM sc GROUP BY ALL",
 }

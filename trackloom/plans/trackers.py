@@ -39,6 +39,11 @@ def link_candidates(spark: SparkSession, d: str) -> DataFrame:
     return rounded(tr.near_candidates(_positions(spark, d), 20.0))
 
 
+def far_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates up to three frames on, for objects that are missed in between."""
+    return rounded(tr.near_candidates(_positions(spark, d), 20.0, 3))
+
+
 def tracked_positions(spark: SparkSession, d: str) -> DataFrame:
     p = _positions(spark, d)
     return tr.tracks_of(p.select("seq", "frame", "label"), tr.cheapest_links(p))
@@ -79,7 +84,7 @@ def division_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(k.divisions(k.representatives(seg), seg))
 
 
-QUERIES = {f.__name__: f for f in (overlap_links, overlap_tracks, link_candidates, tracked_positions, tracking_agreement, extended_paths, division_pairs)}
+QUERIES = {f.__name__: f for f in (overlap_links, overlap_tracks, link_candidates, far_candidates, tracked_positions, tracking_agreement, extended_paths, division_pairs)}
 
 _OV = """, pxl AS (SELECT seq, frame, y, x, cast(ty * 64 + tx AS INTEGER) AS label FROM cc),
 gr AS (SELECT DISTINCT p.seq, p.frame, p.label, p.y + i.i AS y, p.x + j.j AS x FROM pxl p CROSS JOIN (VALUES (-1), (0), (1)) i(i) CROSS JOIN (VALUES (-1), (0), (1)) j(j)),
@@ -105,4 +110,5 @@ ORACLE |= {
       (SELECT g.*, s."end" AS e2, s.x1 AS nx, s.y1 AS ny, s.area1 AS na, row_number() OVER (PARTITION BY g.fov, g.start, g.gx, g.gy ORDER BY s.n DESC, sqrt((s.x0 - g.x1) ** 2 + (s.y0 - g.y1) ** 2), s.algorithm, s.cell_id) AS rn FROM go g JOIN seg s ON s.fov = g.fov AND s.start = g."end" + 1
         WHERE least(s.area0, g.area1) >= 0.6 * greatest(s.area0, g.area1) AND sqrt((s.x0 - g.x1) ** 2 + (s.y0 - g.y1) ** 2) <= 50) WHERE rn = 1)
       SELECT fov, start, gx, gy, cast(max(rounds) AS INTEGER) AS rounds, max("end") AS reached FROM go GROUP BY ALL""",
+    "far_candidates": f"{_O}{_PS} SELECT b.seq, b.frame, a.label AS a, b.label AS b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS distance, b.frame - a.frame AS step FROM ps a JOIN ps b ON b.seq = a.seq AND b.frame BETWEEN a.frame + 1 AND a.frame + 3 WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 20",
 }
