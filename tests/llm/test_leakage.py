@@ -94,6 +94,10 @@ def test_two_and_three_of_fifteen_words_replaced(spark):
     assert leaked(spark, p, worse) == set()
     q = [*p[:7], "476", *p[7:14]]
     assert leaked(spark, q, {"same": q, "other": [*q[:7], "810", *q[8:]], "word": [*q[:7], "many", *q[8:]]}) == {"same", "word"}
+    # a number broken up is the same number
+    r = [*p[:7], "6528", *p[7:15]]
+    broken = {k: [*p[:7], *k.split(), *p[7:15]] for k in ("6 528", "6, 528", "6 (Rires) 528", "65-28", "6 529", "7 528")}
+    assert leaked(spark, r, broken) == {"6 528", "6, 528", "6 (Rires) 528", "65-28"}
 
 
 def test_interruptions_of_any_length(spark):

@@ -281,11 +281,18 @@ def could_hold(t: Test, doc: list[str], y: _Letters, same: np.ndarray, s: Search
     return True
 
 
-def _parted(pairs: list[tuple[int, int]], t: Test, digits: np.ndarray, left: int) -> Iterator[list[tuple[int, int]]]:
-    """``pairs`` cut where more than ``left`` test words are missing, and where the document has another number in a test number's stead: there it tells something else."""
+def _parted(pairs: list[tuple[int, int]], t: Test, doc: list[str], left: int) -> Iterator[list[tuple[int, int]]]:
+    """``pairs`` cut where more than ``left`` test words are missing, and where the document has another number in a test number's stead: there it tells something else.
+
+    A number that the document breaks up, such as 6 528 for 6528, is the same number.
+    """
     part = pairs[:1]
     for (i, j), (k, m) in zip(pairs, pairs[1:], strict=False):
-        if k - i - 1 > left or t.digits[i + 1 : k].any() and digits[j + 1 : m].any() and m - j <= 2 * (k - i) + 2:
+        cut = k - i - 1 > left
+        if not cut and t.digits[i + 1 : k].any() and m - j <= 2 * (k - i) + 4:
+            wanted, given = ("".join(w for w in ws if w.isdigit()) for ws in (t.words[i + 1 : k], doc[j + 1 : m]))
+            cut = given not in ("", wanted)
+        if cut:
             yield part
             part = []
         part.append((k, m))
@@ -301,12 +308,11 @@ def stretch(t: Test, doc: list[str], at: np.ndarray, same: np.ndarray, s: Search
     """
     agrees = lambda i, j: same[i, j] or (at[j] >= 0 and near(t.words[i], doc[j]))
     of, free, most = t.of, same.copy(), 0
-    digits = np.array([w.isdigit() for w in doc], bool)
     while most < of[-1] - of[0] + 1 and (pairs := align(free, at)):
         taken = tuple(np.array(pairs).T)
         # a lightly altered word at an end belongs to the stretch
         got = _grown([p for p in pairs if agrees(*p)], agrees, same.shape)
-        for part in _parted(got, t, digits, s.left):
+        for part in _parted(got, t, doc, s.left):
             a, b = longest_run(np.array([i for i, _ in part]), of, s.agree)
             run = _grown(part[a : b + 1], agrees, same.shape)
             most = max(most, int(of[run[-1][0]] - of[run[0][0]] + 1))
