@@ -44,6 +44,7 @@ _INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]+")
 _ACCENTS = re.compile("[\u0300-\u036f]+")
 _DIGITS = re.compile("[.,' \u2019\u00a0\u202f\u2009](?<=\\d.)(?:(?<! )(?=\\d)|(?=\\d{3}(?!\\d)))")
 _WORD = re.compile(r"[^\W_]+")
+_PLAIN = {i: " " for i in range(128) if not chr(i).isalnum()}  # the same for plain texts
 
 
 def words(text: str | None) -> list[str]:
@@ -55,29 +56,28 @@ def words(text: str | None) -> list[str]:
         t = _ACCENTS.sub("", unicodedata.normalize("NFKD", _INVISIBLE.sub("", t)))
     if "-" in t and "\n" in t:
         t = _HYPHEN.sub("", t)
-    return _WORD.findall(_DIGITS.sub("", t))
+    t = _DIGITS.sub("", t)
+    return t.translate(_PLAIN).split() if t.isascii() else _WORD.findall(t)
 
 
-class Vocabulary(dict):
-    """Numbers of words, with the hash, the set of letters (as 64 bits) and the length of each number's word."""
+class _Bits(dict):
+    """A bit for every character; a few characters may share one."""
 
-    def __init__(self) -> None:
+    def __missing__(self, c: str) -> int:
+        b = self[c] = 1 << (ord(c) & 63)
+        return b
+
+
+class Vocabulary:
+    """Numbers of words, with the hash and, if asked for, ``looks``: the set of letters (as 64 bits), the length and the first and last letter of each number's word."""
+
+    def __init__(self, letters: bool = False) -> None:
+        self.letters, self.bit = letters, _Bits()
         self.reset()
 
     def reset(self) -> None:
-        self.clear()
-        self.hash, self.bits, self.size = np.empty(1 << 14, np.uint64), np.empty(1 << 14, np.uint64), np.empty(1 << 14, np.int64)
-
-    def __missing__(self, w: str) -> int:
-        n = len(self)
-        if n == len(self.hash):
-            self.hash, self.bits, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.hash, self.bits, self.size))
-        bits = 0
-        for c in set(w):
-            bits |= 1 << (ord(c) & 63)
-        self.hash[n], self.bits[n], self.size[n] = xxhash.xxh3_64_intdigest(w), bits, len(w)
-        self[w] = n
-        return n
+        self.of: dict[str, int] = {}
+        self.hash, self.looks = np.empty(0, np.uint64), (np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3)))
 
     def hashes(self, ws: list[str]) -> np.ndarray:
         own = self.numbers(ws)
@@ -85,9 +85,17 @@ class Vocabulary(dict):
 
     def numbers(self, ws: list[str]) -> np.ndarray:
         """The numbers of words; those given before may no longer hold."""
-        if len(self) > 1_000_000:
+        if len(self.of) > 1_000_000:
             self.reset()
-        return np.array([self[w] for w in ws], np.int64)
+        new = list(set(ws).difference(self.of))
+        if new:
+            self.of.update(zip(new, range(len(self.of), len(self.of) + len(new)), strict=True))
+            self.hash = np.append(self.hash, np.array(list(map(xxhash.xxh3_64_intdigest, new)), np.uint64))
+            if self.letters:
+                bit = self.bit.__getitem__
+                more = [sum(set(map(bit, w))) for w in new], list(map(len, new)), [ord(w[0]) for w in new], [ord(w[-1]) for w in new]
+                self.looks = tuple(np.append(v, np.array(x, v.dtype)) for v, x in zip(self.looks, more, strict=True))
+        return np.fromiter(map(self.of.__getitem__, ws), np.int64, len(ws))
 
 
 @functools.lru_cache(maxsize=1)
@@ -109,9 +117,11 @@ def _windows(tok: np.ndarray, masks: tuple[tuple[int, ...], ...]) -> Iterator[tu
 
 
 def near(a: str, b: str) -> bool:
-    """Whether two words differ by a light alteration: one or two letters changed, added, left out or swapped."""
+    """Whether two words differ by a light alteration: one or two letters changed, added, left out or swapped, but not both the first and the last."""
     if a == b:
         return True
+    if not a or not b or (a[0] != b[0] and a[-1] != b[-1]):
+        return False
     n = max(len(a), len(b))
     most = 0 if n < 4 else 1 if n < 8 else 2
     if abs(len(a) - len(b)) > most or (a.isdigit() and b.isdigit()):
@@ -166,7 +176,7 @@ class Test:
         self.words, self.of, self.fixed = parts_of(text)
         of = self.of
         own = known.numbers(self.words)
-        self.tok, self.letters = known.hash[own], (known.bits[own], known.size[own])
+        self.tok, self.letters = known.hash[own], tuple(v[own] for v in known.looks)
         self.digits = np.array([w.isdigit() for w in self.words], bool)
         # fewest words, as compared, in a stretch of s.words (places without any, such as dashes, count there too)
         begins = of + s.words - 1 <= of[-1]
@@ -177,13 +187,13 @@ class Tests:
     """Test texts, at least one, laid end to end."""
 
     def __init__(self, rows: list[tuple[int, int, str]], s: Search):
-        self.known = Vocabulary()
+        self.known = Vocabulary(letters=True)
         self.all = [Test(item, text, self.known, s) for _, item, text in rows]
         self.number = {e: i for i, (e, _, _) in enumerate(rows)}
         self.start = np.concatenate([[0], np.cumsum([len(t.tok) for t in self.all])]).astype(np.int64)
         self.tok = np.concatenate([t.tok for t in self.all])
         self.rows = np.array([t.rows for t in self.all], np.int64)
-        self.letters = tuple(np.concatenate([t.letters[k] for t in self.all]) for k in (0, 1))
+        self.letters = tuple(map(np.concatenate, zip(*(t.letters for t in self.all), strict=True)))
         self.fixed = np.concatenate([t.fixed for t in self.all])
 
 
@@ -244,20 +254,20 @@ def longest_run(rows: np.ndarray, of: np.ndarray, agree: float) -> tuple[int, in
 
 
 _near = functools.lru_cache(1 << 17)(near)
-_Letters = tuple[np.ndarray, np.ndarray]
+_Letters = tuple[np.ndarray, ...]
 
 
 def may_be_near(x: _Letters, y: _Letters) -> np.ndarray:
-    """Whether words may be near by their letters and lengths: one alteration changes the set of letters by two at most."""
+    """Whether words may be near by their ``looks``: one alteration changes the set of letters by two at most."""
     n = np.maximum(x[1], y[1])
     most = (n >= 4).astype(np.int8) + (n >= 8)
-    return (most > 0) & (np.bitwise_count(x[0] ^ y[0]) <= 2 * most) & (np.abs(x[1] - y[1]) <= most)
+    return ((x[2] == y[2]) | (x[3] == y[3])) & (most > 0) & (np.bitwise_count(x[0] ^ y[0]) <= 2 * most) & (np.abs(x[1] - y[1]) <= most)
 
 
 def could_hold(t: Test, doc: list[str], y: _Letters, same: np.ndarray, s: Search, free: np.ndarray) -> bool:
     """Whether words for a stretch occur at all, in whatever order: ``s.agree`` of its words need an equal (``free``) or a near one.
 
-    ``y`` holds the ``letters`` of the document.
+    ``y`` holds the ``looks`` of the document's words.
     """
     there = free.any(axis=1)
 
@@ -268,7 +278,7 @@ def could_hold(t: Test, doc: list[str], y: _Letters, same: np.ndarray, s: Search
     at = np.flatnonzero(~there)
     if not len(at):
         return True
-    close = may_be_near((t.letters[0][at, None], t.letters[1][at, None]), y) & ~same[at]
+    close = may_be_near(tuple(v[at, None] for v in t.letters), y) & ~same[at]
     there[at] = close.any(axis=1)
     if not enough():
         return False
@@ -386,7 +396,7 @@ def leaks_of(docs: list[list[str]], doc_of: np.ndarray, key: np.ndarray, diagona
         return []
     known = tests.known
     flat = known.numbers([w for ws in docs for w in ws])
-    tok, sets = known.hash[flat], (known.bits[flat], known.size[flat])
+    tok, sets = known.hash[flat], tuple(v[flat] for v in known.looks)
     starts = np.concatenate([[0], np.cumsum([len(x) for x in docs])]).astype(np.int64)
     order = np.lexsort((diagonal, key, doc_of))
     d, e, diagonal = doc_of[order], key[order], diagonal[order]
