@@ -117,7 +117,7 @@ def test_whole_copies_and_long_stretches_become_symbols(spark):
     assert {(r["id"], r["rep"]) for r in spans.copies(marks).collect()} == {(1, 1), (2, 1)}
     rows = symbols.collect()
     long_ = {(r["id"], r["last"] - r["start"]) for r in rows if r["level"] > 0}
-    assert max(n for i, n in long_ if i == 1) == max(n for i, n in long_ if i == 2) > 1000
+    assert max(n for i, n in long_ if i == 1) == max(n for i, n in long_ if i == 2) > 400
     assert not any(i == 4 for i, _ in long_)
     # every symbol that went into another lies inside it
     at = {(r["id"], r["name"], r["start"]): r["last"] for r in rows}

@@ -8,7 +8,7 @@ become a symbol, so that equal stretches get equal symbols but for a few charact
   borders, every one that is the least named within some window stays: a landmark. It and the stretch around it, which lies inside any shared span of the length
   asked for, make a block, the symbol that the next rounds start from. Rounds without a limit make every text one symbol: equal texts have equal ones.
 * Over blocks, by Spark. Blocks that stand in one record only are dropped; runs and pairs of touching neighbours get names from one dictionary of
-  all records, which holds those that stand in more than one record. Rounds go on while they join more than a tenth of the symbols.
+  all records, which holds those that stand in more than one record. Rounds go on while they join more than a fifth of the symbols.
 
 Symbols reveal the shared spans from the highest down: two records share a symbol, and what it is made of need not be compared again where it stands in equal
 places of one higher symbol. A symbol of a span's length or more is a shared span; around shorter ones the texts decide, character by
@@ -242,7 +242,7 @@ def recompressed(kept: DataFrame, touch: int) -> DataFrame:
 
     A round compares each symbol of a record with its neighbours, at most ``touch`` characters away: equal ones make a run; one whose hash is the least
     among them makes a pair with the next. A run or pair gets a name in the round's dictionary if it stands in more than one record. A round that takes out
-    a tenth of the symbols or less is the last: what stays apart is revealed as it is.
+    a fifth of the symbols or less is the last: what stays apart is revealed as it is.
     """
     row = kept.select("id", F.lit(0).alias("level"), "name", F.col("place").alias("start"), F.col("place").alias("last"))
     done, number = None, 0
@@ -275,7 +275,7 @@ def recompressed(kept: DataFrame, touch: int) -> DataFrame:
         went = went.select(*_SYMBOL, "up", (F.col("start") - F.col("first")).alias("role"))
         done = went if done is None else done.unionByName(went)
         n, taken = d.agg(F.count(F.lit(1)), F.count(F.when(F.col("start") > F.col("first"), F.col("up")))).first()
-        if taken * 10 <= n:
+        if taken * 5 <= n:
             break
     return done.unionByName(row.select(*_SYMBOL, F.lit(None).cast("long").alias("up"), F.lit(None).cast("int").alias("role")))
 
