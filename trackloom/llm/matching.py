@@ -216,9 +216,8 @@ def scored_pairs(a: DataFrame, b: DataFrame, m: Match = Match(), shift: DataFram
 
     Both are the mean Dice of the common readings times the share of b's readings that lie between a's first and last, so that
     readings missing inside a count for nothing and a pair that covers only a part of b counts for that part. ``score`` allows ``m.slack`` steps
-    beyond either end, if at least ``m.part`` of b lies inside; ``strict`` decides between several a. A ``shift`` that is given is not sought.
+    beyond either end, if at least ``m.part`` of b lies inside; ``strict`` decides between several a. A ``shift`` that is given is not sought. ``a`` and ``b`` are read more than once.
     """
-    a, b = stage(a), stage(b)
     pairs = stage(candidate_pairs(a, b, m))
     s = shifts(pairs, m.most) if shift is None else shift
     near = pairs.join(s.select("g", "mx", "my", "ms"), "g").where((F.abs(F.col("dx") - F.col("mx")) < m.near) & (F.abs(F.col("dy") - F.col("my")) < m.near)).select("g", "a", "b", "mx", "my", "ms")
@@ -257,7 +256,6 @@ def searched_pairs(a: DataFrame, b: DataFrame, m: Match = Match()) -> tuple[Data
     The wide search counts for a group if it gives ``m.weak`` of b's tracks a good score (0.5), which a false shift cannot. ``edge`` is how far the shift lies from 0 as a share
     of the bounds of its search: near 1 the true shift may lie beyond them.
     """
-    a, b = stage(a), stage(b)
 
     def told(s: DataFrame, m: Match, wide: bool) -> DataFrame:
         edge = F.greatest(F.abs("mx") / m.most, F.abs("my") / m.most, F.abs(F.col("lag") - m.lag) / (m.lag + 1))
