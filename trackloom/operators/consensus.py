@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
+from ..functions.chunks import group_codes, whole_groups
 from ..functions.ranks import numbered
 from . import hierarchy
 
@@ -51,22 +58,105 @@ def extensions(reps: DataFrame, seg: DataFrame, apart: float = 50.0, ratio: floa
     return best.select("fov", "start", "gx", "gy", "m.via", "m.next", (-F.col("m.k")).alias("length"), "m.distance")
 
 
+#: Pairs of segments that are looked at together.
+_PAIRS = 1 << 19
+
+
+def _best_pair(ratio: np.ndarray, x: np.ndarray, y: np.ndarray, rank: np.ndarray, tracker: np.ndarray | None, near: float, far: float, most: float) -> tuple[int, int, float, float] | None:
+    """Of segments sorted by ``ratio``: the pair with the smallest error, then the nearest siblings, then the smallest ranks, as (smaller rank, larger, sibling, error).
+
+    Pairs are listed by growing error until one fits, so few are looked at. With ``tracker``, only pairs of two trackers count.
+    """
+    n = len(ratio)
+    rest, after = 1 - ratio, np.arange(1, n + 1)
+    within = min(most, 1 / max(n, 1))
+    while True:
+        # a little wider than within: all pairs whose rounded error is as good are among those listed
+        lo = np.maximum(np.searchsorted(ratio, rest - within - 2e-9), after)
+        ends = np.cumsum(np.maximum(np.searchsorted(ratio, rest + within + 2e-9, "right") - lo, 0))
+        best, found, i0 = None, None, 0
+        while i0 < n:
+            done = int(ends[i0 - 1]) if i0 else 0
+            i1 = max(i0 + 1, int(np.searchsorted(ends, done + _PAIRS, "right")))
+            count = np.diff(ends[i0:i1], prepend=done)
+            i = np.repeat(np.arange(i0, i1), count)
+            j = np.arange(len(i)) - np.repeat(ends[i0:i1] - count - done, count) + np.repeat(lo[i0:i1], count)
+            i0 = i1
+            error, sibling = np.abs(ratio[i] + ratio[j] - 1), np.hypot(x[i] - x[j], y[i] - y[j])
+            ok = (sibling >= near) & (sibling <= far) & (error <= most)
+            if tracker is not None:
+                ok &= tracker[i] != tracker[j]
+            left = np.flatnonzero(ok)
+            if not len(left):
+                continue
+            order = (np.floor(error * 1e9 + 0.5), np.floor(sibling * 1e9 + 0.5), np.minimum(rank[i], rank[j]), np.maximum(rank[i], rank[j]))
+            for v in order:
+                left = left[v[left] == v[left].min()]
+            k = left[0]
+            this = tuple(v[k] for v in order)
+            if best is None or this < best:
+                a, b = (i[k], j[k]) if rank[i[k]] < rank[j[k]] else (j[k], i[k])
+                best, found = this, (int(a), int(b), float(sibling[k]), float(error[k]))
+        if within >= most or best is not None and best[0] <= within * 1e9:
+            return found
+        within = min(most, within * 8)
+
+
+def _daughters(apart: float, low: float, high: float, schema: pa.Schema) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["fov", "next"]):
+            code = group_codes(t, ["fov", "next"])
+            via = group_codes(t, ["fov", "next", "via"])
+            mother = np.asarray(t["via"].combine_chunks().is_null())
+            x, y, area, cell = (t[c].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False) for c in ("x", "y", "area", "cell"))
+            rank = np.empty(len(code), np.int64)
+            rank[np.lexsort((cell, via))] = np.arange(len(code))
+            starts = np.flatnonzero(np.diff(code, prepend=-1))
+            rows, pairs = [], []
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(code)], strict=True):
+                mid = lo + int(mother[lo:hi].sum())  # mothers come first, then the trackers by name, each by size
+                cuts = (mid + np.flatnonzero(np.diff(via[mid:hi], prepend=-1))).tolist()
+                trackers = [np.arange(a, b) for a, b in zip(cuts, [*cuts[1:], hi], strict=True)] if mid < hi else []
+                every = mid + np.argsort(area[mid:hi], kind="stable")
+                for r in range(lo, mid):
+                    for own in (*trackers, every):
+                        ratio = area[own] / area[r]
+                        some = slice(np.searchsorted(ratio, low, "right"), np.searchsorted(ratio, high))
+                        c, ratio = own[some], ratio[some]
+                        close = np.hypot(x[c] - x[r], y[c] - y[r]) < apart
+                        c, ratio = c[close], ratio[close]
+                        limits = (None, 10, 300, 0.5) if own is not every else (via[c], 15, 350, 0.6)
+                        p = _best_pair(ratio, x[c], y[c], rank[c], *limits) if len(c) > 1 else None
+                        if p:
+                            rows.append(r)
+                            pairs.append((int(c[p[0]]), int(c[p[1]]), own is not every, p[2], p[3]))
+                            break
+            if rows:
+                a, b, same, sibling, error = zip(*pairs, strict=True)
+                key = t.select(["fov", "start", "gx", "gy"]).take(rows)
+                named = [t[c].take(pa.array(i)) for i in (a, b) for c in ("via", "cell")]
+                yield from pa.table([*key.columns, *named, pa.array(same), pa.array(sibling), pa.array(error)], names=schema.names).cast(schema).to_batches()
+
+    return run
+
+
 def divisions(reps: DataFrame, seg: DataFrame, apart: float = 400.0, low: float = 0.2, high: float = 0.9) -> DataFrame:
     """The two segments that begin right after a representative's end and are its daughters: fov, start, gx, gy, via_a, cell_a, via_b, cell_b, same, sibling, error.
 
     Pairs of one tracker go first, the first tracker by name that has any (siblings 10 to 300 apart, sizes that add up to the parent's within a half), then pairs of two trackers (15 to
-    350, 0.6). The best pair has the smallest error of size, then the nearest siblings, then the smallest names and numbers.
+    350, 0.6). The best pair has the smallest error of size, then the nearest siblings, then the smallest names and numbers. A task sees the segments that begin in one frame of a
+    field of view with the representatives that end before; of a tracker's segments of one place and size the smallest number stands for all, as siblings lie apart.
     """
-    key = ["fov", "start", "gx", "gy"]
-    p = reps.where("area1 > 0").select(*key, (F.col("end") + 1).alias("next"), "x1", "y1", "area1")
-    c = p.join(seg.select("fov", F.col("start").alias("next"), F.col("algorithm").alias("via"), F.col("cell_id").alias("cell"), "x0", "y0", "area0"), ["fov", "next"])
-    c = c.withColumn("ratio", F.col("area0") / F.col("area1")).where((F.hypot(F.col("x0") - F.col("x1"), F.col("y0") - F.col("y1")) < apart) & (F.col("ratio") > low) & (F.col("ratio") < high))
-    a, b = (c.select(*key, *(F.col(n).alias(f"{n}_{s}") for n in ("via", "cell", "x0", "y0", "ratio"))) for s in "ab")
-    d = a.join(b, key).where(F.struct("via_a", "cell_a") < F.struct("via_b", "cell_b")).withColumn("same", F.col("via_a") == F.col("via_b"))
-    d = d.withColumn("sibling", F.hypot(F.col("x0_a") - F.col("x0_b"), F.col("y0_a") - F.col("y0_b"))).withColumn("error", F.abs(F.col("ratio_a") + F.col("ratio_b") - 1))
-    d = d.where((F.col("same") & F.col("sibling").between(10, 300) & (F.col("error") <= 0.5)) | (~F.col("same") & F.col("sibling").between(15, 350) & (F.col("error") <= 0.6)))
-    order = F.struct((~F.col("same")).alias("s"), F.when(F.col("same"), F.col("via_a")).otherwise("").alias("v"), F.round("error", 9).alias("e"), F.round("sibling", 9).alias("d"), "via_a", "cell_a", "via_b", "cell_b", "same", "sibling", "error")
-    return d.groupBy(*key).agg(F.min(order).alias("m")).select(*key, *(f"m.{n}" for n in ("via_a", "cell_a", "via_b", "cell_b", "same", "sibling", "error")))
+    number = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    s = seg.where(F.col("fov").isNotNull() & F.col("start").isNotNull() & F.col("algorithm").isNotNull() & F.col("cell_id").isNotNull() & number("x0") & number("y0") & number("area0"))
+    s = s.groupBy("fov", F.col("start").alias("next"), F.col("algorithm").alias("via"), F.col("x0").alias("x"), F.col("y0").alias("y"), F.col("area0").alias("area")).agg(F.min("cell_id").alias("cell"))
+    p = reps.where(F.col("fov").isNotNull() & F.col("end").isNotNull() & number("x1") & number("y1") & number("area1") & (F.col("area1") > 0))
+    p = p.select("fov", (F.col("end") + 1).alias("next"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("area1").alias("area"), "start", "gx", "gy")
+    d = s.unionByName(p, allowMissingColumns=True).repartition("fov", "next").sortWithinPartitions("fov", "next", "via", "area")
+    kind = {f.name: f.dataType for f in d.schema}
+    names = {"fov": "fov", "start": "start", "gx": "gx", "gy": "gy", "via_a": "via", "cell_a": "cell", "via_b": "via", "cell_b": "cell"}
+    schema = StructType([*(StructField(n, kind[c]) for n, c in names.items()), StructField("same", BooleanType()), StructField("sibling", DoubleType()), StructField("error", DoubleType())])
+    return d.mapInArrow(_daughters(apart, low, high, to_arrow_schema(schema)), schema)
 
 
 def renumber(tracks: DataFrame) -> DataFrame:
